@@ -102,7 +102,7 @@ def asof_at_times(df: DataFrame, *, id: str, start: str, end: str, times: Sequen
     """
     rows = ordered_scan(df, [id], [start, end], lead={"__next": start}, totals={"follow_up": ("max", end)}, hot=hot)
     hit = F.filter(_times(times), lambda t: (t >= F.col(start)) & (F.col("__next").isNull() | (t < F.col("__next"))))
-    return rows.withColumn("at", F.explode(hit)).drop("__next")
+    return rows.withColumn("eval_t", F.explode(hit)).drop("__next")
 
 
 def stitch_predictions(df: DataFrame, *, id: str, start: str, end: str, times: Sequence[float], hot: Sequence | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def stitch_predictions(df: DataFrame, *, id: str, start: str, end: str, times: S
     """
     rows = ordered_scan(df, [id], [start, end], lead={"__next": start}, hot=hot)
     inside = F.filter(_times(times), lambda t: (t >= F.col(start)) & (F.col("__next").isNull() | (t < F.col(end))))
-    return rows.withColumn("at", F.explode(inside)).drop("__next")
+    return rows.withColumn("eval_t", F.explode(inside)).drop("__next")
 
 
 def last_interval(df: DataFrame, *, id: str, end: str, hot: Sequence | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ def decision_curve(df: DataFrame, by: Sequence[str], y: str, score: str, steps:
     return at.withColumns({"tp": above("pos"), "fp": above("neg")}).select(
         *by,
         t.alias("threshold"),
-        (F.col("tp") / n - F.col("fp") / n * odds).alias("model"),
+        (F.col("tp") / n - F.col("fp") / n * odds).alias("net_benefit"),
         (P / n - (n - P) / n * odds).alias("treat_all"),
         F.lit(0.0).alias("treat_none"),
     )

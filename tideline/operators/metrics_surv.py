@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
 from .ordered import lookup, ordered_scan
 from .quantiles import grouped_quantiles
 
 Z95 = 1.959963984540054
 
 
-def _life_table(df: DataFrame, by: Sequence[str], time: str, event: str) -> DataFrame:
+def _life_table(df: DataFrame, by: Sequence[str], time: str, event: str, copies: str | None = None) -> DataFrame:
     """Events, censorings and numbers at risk per distinct time."""
+    k = F.lit(1) if copies is None else F.col(copies)
     happened = F.col(event).cast("double") > 0
     at = df.filter(F.col(time).isNotNull()).groupBy(*by, F.col(time).cast("double").alias("t")).agg(
-        F.count_if(happened).alias("n_event"), F.count_if(~F.coalesce(happened, F.lit(False))).alias("n_censor")
+        F.sum(F.when(happened, k).otherwise(0)).alias("n_event"), F.sum(F.when(happened, 0).otherwise(k)).alias("n_censor")
     )
     at = at.withColumn("__k", F.col("n_event") + F.col("n_censor"))
     run = ordered_scan(at, by, ["t"], sums={"__upto": "__k"}, totals={"__all": ("sum", "__k")}, hot="all")
@@ -49,12 +51,12 @@ def kaplan_meier(df: DataFrame, by: Sequence[str], time: str, event: str) -> Dat
     )
 
 
-def censoring_survival(df: DataFrame, by: Sequence[str], time: str, event: str) -> DataFrame:
+def censoring_survival(df: DataFrame, by: Sequence[str], time: str, event: str, copies: str | None = None) -> DataFrame:
     """Reverse product-limit curve: ``g`` at each time and ``g_before`` just before it.
 
     Entities with an event at a time are no longer at risk of being censored at it.
     """
-    table = _life_table(df, by, time, event)
+    table = _life_table(df, by, time, event, copies)
     c, n = F.col("n_censor"), F.col("n_risk") - F.col("n_event")
     factor = F.when(c < n, F.log1p(-c / n)).otherwise(0.0)
     steps = table.withColumns({"__ln": factor, "__z": F.when((c > 0) & (c >= n), 1).otherwise(0)})
@@ -111,12 +113,12 @@ def c_index(df: DataFrame, by: Sequence[str], *, time: str, event: str, risk: st
         *by, F.col(time).cast("double").alias("t"), (F.col(event).cast("double") > 0).alias("e"), F.col(risk).cast("double").alias("r"),
         (F.lit(None).cast("double") if tau is None else F.col(tau).cast("double")).alias("tau"),
     )
-    cells = rows.groupBy(*by, "t", "e", "r").agg(F.count("*").alias("k"), F.max("tau").alias("tau"))
-    ranks = ordered_scan(cells.select(*by, "r").distinct(), by, ["r"], number="rank", hot="all")
+    cells = stage(rows.groupBy(*by, "t", "e", "r").agg(F.count("*").alias("k"), F.max("tau").alias("tau")))
+    ranks = stage(ordered_scan(cells.select(*by, "r").distinct(), by, ["r"], number="rank", hot="all"))
     cells = lookup(cells, ranks, [*by, "r"], hot="all", salts=8)
     usable = F.col("e") & (F.col("tau").isNull() | (F.col("t") <= F.col("tau")))
     if weights == "ipcw":
-        g = censoring_survival(rows, by, "t", "e")
+        g = censoring_survival(cells, by, "t", "e", "k")
         cells = lookup(cells, g, [*by, "t"], hot="all", salts=8)
         pair_weight = F.try_divide(F.lit(1.0), F.col("g") * F.col("g_before"))
     else:

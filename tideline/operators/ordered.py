@@ -13,6 +13,7 @@ same answers with every group cut into chunks along its own order:
 Cut points are pooled over all rows being cut, so no ``(group, chunk)`` holds more than
 about ``rows / buckets`` rows, whatever the sizes of the groups.  Groups by entity are cut
 only for entities found to be large; when there are none the plan is a plain window.
+A table that is cut is staged first, so whatever produced it runs once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
+
 # A key is "hot" above this share of all rows, hence there are at most 1/HOT_SHARE hot
 # keys: the bound that makes a literal list of them safe at any data size.
 HOT_SHARE = 1.0 / 1024
@@ -105,6 +108,7 @@ def ordered_scan(
     if not cut_all and not hot:
         rows, chunk = df, [F.col(b) for b in by]
     else:
+        df = stage(df)  # read three times below: cut points, chunk summaries, rows
         cut_rows = df if cut_all else df.filter(F.col(by[0]).isin(list(hot)))
         cuts = cut_points(cut_rows, order[0], buckets or default_buckets(df.sparkSession))
         at = bucket_of(F.col(order[0]).cast("double"), F.col("__cuts"))

@@ -240,13 +240,13 @@ sql("interval_check", """SELECT count(*) AS n_intervals, count(*) FILTER (NOT co
 sql("locf", """SELECT id, event_id, t, last_value(CASE WHEN measure = 'click' THEN value END IGNORE NULLS) OVER c AS click,
   last_value(CASE WHEN measure = 'view' THEN value END IGNORE NULLS) OVER c AS view FROM x_em
   WINDOW c AS (PARTITION BY id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)""", "t click view")
-CTE["x_t"] = "SELECT unnest([182.625e0, 365.25e0, 547.875e0, 730.5e0, 913.125e0]) AS at"
-CTE["x_asof"] = """SELECT id, landmark, treatment, start, "end", event, fu AS follow_up, at FROM (
-  SELECT i.*, at, row_number() OVER (PARTITION BY id, at ORDER BY start DESC, "end" DESC) AS rn
-  FROM (SELECT *, max("end") OVER (PARTITION BY id) AS fu FROM x_ti) i JOIN x_t ON start <= at) WHERE rn = 1"""
-sql("asof_at_times", "SELECT * FROM x_asof", 'landmark start "end" event follow_up at')
-CTE["x_st"] = """SELECT i.* EXCLUDE (rn), at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start DESC, "end" DESC) AS rn FROM x_ti) i JOIN x_t ON at >= start AND (rn = 1 OR at < "end")"""
-sql("stitch_predictions", "SELECT *, exp(-at / (2000 + start)) AS surv FROM x_st", 'landmark start "end" event at surv')
+CTE["x_t"] = "SELECT unnest([182.625e0, 365.25e0, 547.875e0, 730.5e0, 913.125e0]) AS eval_t"
+CTE["x_asof"] = """SELECT id, landmark, treatment, start, "end", event, fu AS follow_up, eval_t FROM (
+  SELECT i.*, eval_t, row_number() OVER (PARTITION BY id, eval_t ORDER BY start DESC, "end" DESC) AS rn
+  FROM (SELECT *, max("end") OVER (PARTITION BY id) AS fu FROM x_ti) i JOIN x_t ON start <= eval_t) WHERE rn = 1"""
+sql("asof_at_times", "SELECT * FROM x_asof", 'landmark start "end" event follow_up eval_t')
+CTE["x_st"] = """SELECT i.* EXCLUDE (rn), eval_t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start DESC, "end" DESC) AS rn FROM x_ti) i JOIN x_t ON eval_t >= start AND (rn = 1 OR eval_t < "end")"""
+sql("stitch_predictions", "SELECT *, exp(-eval_t / (2000 + start)) AS surv FROM x_st", 'landmark start "end" event eval_t surv')
 CTE["x_last"] = """SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY "end" DESC) AS r FROM x_ti) WHERE r = 1"""
 sql("last_interval", "SELECT * FROM x_last", 'landmark start "end" event')
 sql("collapse_static", """SELECT id, segment, region, CASE WHEN bool_or(treatment = 'switched') THEN 'switched' ELSE 'originator' END AS treatment, max(event) AS event
@@ -254,6 +254,261 @@ sql("collapse_static", """SELECT id, segment, region, CASE WHEN bool_or(treatmen
 _E = [0.0, 365.25, 730.5, 1095.75, 1461.0, 2500.0]
 CTE["x_bins"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}e0, {b}e0)" for i, (a, b) in enumerate(zip(_E, _E[1:]))) + ") v(bin, lo, hi)"
 sql("person_period", """SELECT x_ti.*, bin, lo, hi, CASE WHEN event > 0 AND "end" > lo AND "end" <= hi THEN 1e0 ELSE 0e0 END AS y FROM x_ti JOIN x_bins ON start < hi AND "end" > lo""", 'landmark start "end" event lo hi')
-CTE["x_et"] = """SELECT DISTINCT t FROM (SELECT "end" AS t FROM x_ti WHERE event > 0 UNION ALL SELECT at FROM x_t)"""
+CTE["x_et"] = """SELECT DISTINCT t FROM (SELECT "end" AS t FROM x_ti WHERE event > 0 UNION ALL SELECT eval_t FROM x_t)"""
 sql("eval_times", "SELECT t FROM x_et", "t")
 sql("eval_times_thinned", "SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n FROM x_et) WHERE (i - 1) % greatest(1, ceil(n / 50))::BIGINT = 0", "t")
+
+# sampling and features
+sql("keyed_uniform", f"SELECT id, seed, {uniform('seed', 'draw', 'id')} AS u, CASE WHEN {uniform('seed', 'sign', 'id')} < 0.5 THEN 1e0 ELSE -1e0 END AS sign FROM x_sp, (SELECT unnest([1, 2, 3, 4, 5])::INT AS seed)", "u sign")
+CTE["x_split"] = f"SELECT id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.75 THEN 'validation' ELSE 'test' END AS split FROM (SELECT id, {uniform(chr(39) + '11' + chr(39), 'split', 'id')} AS u FROM x_sp)"
+sql("split_assign", """SELECT id, start, "end", split FROM x_ti JOIN x_split USING (id) WHERE split <> 'train'""", 'start "end"')
+sql("stratified_split", f"""SELECT doc_id, quality, CASE WHEN i <= a THEN 'train' WHEN i <= a + round((n - a) * 0.5) THEN 'validation' ELSE 'test' END AS split,
+  CASE WHEN i <= a + round((n - a) * 0.5) THEN 'train' ELSE 'test' END AS test_mode FROM (SELECT *, round(n * 0.6) AS a FROM (
+  SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {uniform("'11'", 'stratified', 'doc_id')}, doc_id) AS i, count(*) OVER (PARTITION BY quality) AS n FROM labels))""")
+sql("subsample", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {uniform(chr(39) + '11' + chr(39), 'subsample', 'o_orderkey')} < 0.1", "o_totalprice")
+
+
+def permuted(n: int) -> str:
+    return f"""SELECT t.id, t.replicate, t.acctbal, s.acctbal AS permuted FROM (
+      SELECT id, replicate, acctbal, row_number() OVER (PARTITION BY replicate ORDER BY id) AS pos FROM x_sp, (SELECT unnest(range(1, {n + 1})) AS replicate)) t JOIN (
+      SELECT replicate, acctbal, row_number() OVER (PARTITION BY replicate ORDER BY {uniform("'11'", 'permute', 'replicate', 'id')}, id) AS pos
+      FROM x_sp, (SELECT unnest(range(1, {n + 1})) AS replicate)) s ON s.replicate = t.replicate AND s.pos = t.pos"""
+
+
+sql("permute_column", f"SELECT * REPLACE (replicate::INT AS replicate) FROM ({permuted(3)})", "acctbal permuted")
+sql("permute_static", f"""SELECT i.id, i.start, i."end", p.acctbal, p.replicate::INT AS replicate, p.permuted FROM x_ti i JOIN ({permuted(2).replace('x_sp', '(SELECT * FROM x_sp WHERE id IN (SELECT id FROM x_ti))')}) p ON p.id = i.id""", 'start "end" acctbal permuted')
+
+
+def ones(col: str, levels: list[str], expr: str | None = None) -> str:
+    return ", ".join(f"CASE WHEN {expr or col} = '{v}' THEN 1e0 ELSE 0e0 END AS \"{col}_{v}\"" for v in levels)
+
+
+_SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_BAL = ["debt", "high", "low", "mid"]
+sql("one_hot", f"SELECT id, {ones('segment', _SEG)}, {ones('balance', _BAL)}, CASE WHEN death IS NULL THEN 1e0 ELSE 0e0 END AS vital_none FROM x_sp")
+sql("one_hot_full_rank", f"SELECT id, {ones('balance', ['low', 'mid', 'high'])} FROM x_sp")
+sql("standardize", "SELECT id, (acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER () AS acctbal, (study_end - avg(study_end) OVER ()) / stddev_pop(study_end) OVER () AS study_end, 0e0 AS constant FROM x_sp", "acctbal study_end")
+sql("standardize_train", """SELECT id, (acctbal - ma) / sa AS acctbal, (study_end - ms) / ss AS study_end, split FROM x_sp JOIN x_split USING (id), (
+  SELECT avg(acctbal) AS ma, stddev_samp(acctbal) AS sa, avg(study_end) AS ms, stddev_samp(study_end) AS ss FROM x_sp JOIN x_split USING (id) WHERE split = 'train')""", "acctbal study_end")
+sql("attach_names", """SELECT method, seed, i::INT AS position, (CASE i WHEN 0 THEN a WHEN 1 THEN lo ELSE hi END) AS importance, ['average', 'lowest', 'highest'][i + 1] AS name
+  FROM (SELECT method, seed, avg(metric) AS a, min(metric) AS lo, max(metric) AS hi FROM x_rg GROUP BY 1, 2), (SELECT unnest([0, 1, 2]) AS i)""", "importance")
+
+# classifier metrics
+CTE["x_sc"] = """SELECT l_orderkey % 5 AS seed, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, model,
+  CASE model WHEN 'm1' THEN l_discount * 6e0 + l_linenumber / 100e0 ELSE l_quantity / 64e0 END AS score FROM lineitem, (VALUES ('m1'), ('m2')) v(model)"""
+CTE["x_ld"] = "SELECT doc_id, quality AS y, n_chars::DOUBLE / (n_chars::DOUBLE + 1500e0) AS score, source, lang FROM labels JOIN documents USING (doc_id)"
+sql("threshold_label", "SELECT *, CASE WHEN score > 0.6e0 THEN 1e0 ELSE 0e0 END AS label FROM x_ld", "score")
+sql("accuracy_f1", """SELECT model, seed, avg(CASE WHEN y = p THEN 1e0 ELSE 0e0 END) AS accuracy,
+  coalesce(2e0 * count(*) FILTER (y = 1 AND p = 1) / nullif(2 * count(*) FILTER (y = 1 AND p = 1) + count(*) FILTER (y <> p), 0), 0) AS f1
+  FROM (SELECT *, CASE WHEN score > 0.5e0 THEN 1 ELSE 0 END AS p FROM x_sc) GROUP BY 1, 2""", "accuracy f1")
+
+
+def curve(source: str, by: str, weight: str = "1") -> str:
+    """Counts at or above each distinct score."""
+    part = f"PARTITION BY {by}" if by else ""
+    cols = f"{by}, " if by else ""
+    return f"""SELECT *, sum(pos) OVER ({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(neg) OVER ({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+      sum(pos) OVER ({part}) AS p, sum(neg) OVER ({part}) AS n, row_number() OVER ({part} ORDER BY score DESC) AS i,
+      lead(pos) OVER ({part} ORDER BY score DESC) AS npos, lead(neg) OVER ({part} ORDER BY score DESC) AS nneg FROM (
+      SELECT {cols}score, sum(CASE WHEN y = 1 THEN {weight} ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE {weight} END)::DOUBLE AS neg FROM {source} GROUP BY {cols}score)"""
+
+
+AUROC = "sum(pos * (n - fp + neg / 2)) / nullif(any_value(p) * any_value(n), 0) AS auroc"
+AP = "sum(pos * tp / nullif(tp + fp, 0)) / nullif(any_value(p), 0) AS average_precision"
+CTE["x_curve"] = curve("x_sc", "model, seed")
+sql("auroc", f"SELECT model, seed, {AUROC} FROM x_curve GROUP BY 1, 2", "auroc")
+CTE["x_both"] = "SELECT 'chars' AS model, y, score FROM x_ld UNION ALL SELECT model, y, score FROM x_sc"
+sql("average_precision", f"SELECT model, {AUROC}, {AP} FROM ({curve('x_both', 'model')}) GROUP BY 1", "auroc average_precision")
+CTE["x_roc"] = """SELECT model, seed, fp / n AS fpr, tp / p AS tpr, score AS threshold, i FROM x_curve WHERE i = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg
+  UNION ALL SELECT DISTINCT model, seed, 0e0, 0e0, NULL::DOUBLE, 0 FROM x_curve"""
+sql("roc_curve", "SELECT model, seed, fpr, tpr, threshold FROM x_roc", "fpr tpr threshold")
+CTE["x_curve_l"] = curve("x_ld", "lang")
+sql("roc_curve_all_points", "SELECT lang, fp / nullif(n, 0) AS fpr, tp / nullif(p, 0) AS tpr, score AS threshold, i AS position FROM x_curve_l UNION ALL SELECT DISTINCT lang, 0e0, 0e0, NULL::DOUBLE, 0 FROM x_curve_l", "fpr tpr threshold")
+sql("best_cutoff", """SELECT model, seed, tpr AS sensitivity, 1 - fpr AS specificity, threshold FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, seed ORDER BY round((1 - tpr) * (1 - tpr) + fpr * fpr, 12), i) AS r FROM x_roc) WHERE r = 1""", "sensitivity specificity threshold")
+sql("calibration_bins", """SELECT model, seed, (CASE WHEN score <= q1 THEN 1 WHEN score <= q2 THEN 2 ELSE 3 END)::INT AS quantile, sum(y)::BIGINT AS observed, sum(score) AS predicted
+  FROM x_sc JOIN (SELECT model, seed, quantile_cont(score, 0.33e0) AS q1, quantile_cont(score, 0.66e0) AS q2 FROM x_sc GROUP BY 1, 2) USING (model, seed) GROUP BY 1, 2, 3""", "predicted")
+CTE["x_th"] = "SELECT i / 100e0 AS threshold FROM (SELECT unnest(range(100)) AS i)"
+CTE["x_dc"] = """SELECT model, seed, threshold, count(*) FILTER (y = 1 AND score >= threshold) / count(*)::DOUBLE - count(*) FILTER (y = 0 AND score >= threshold) / count(*)::DOUBLE * (threshold / (1 - threshold)) AS net_benefit,
+  avg(y) - (1 - avg(y)) * (threshold / (1 - threshold)) AS treat_all, 0e0 AS treat_none FROM x_sc, x_th GROUP BY 1, 2, 3"""
+sql("decision_curve", "SELECT * FROM x_dc", "threshold net_benefit treat_all")
+
+
+def poisson(u: str) -> str:
+    import math
+
+    total, term, parts = 0.0, math.exp(-1.0), []
+    for k in range(60):
+        if 1.0 - total <= 1e-15:
+            break
+        total += term
+        parts.append(f"CASE WHEN {u} >= {total!r}::DOUBLE THEN 1 ELSE 0 END")
+        term /= k + 1
+    return "(" + " + ".join(parts) + ")"
+
+
+CTE["x_boot"] = f"""SELECT y, score, replicate, {poisson('u')} AS w FROM (SELECT y, score, replicate, {uniform("'11'", 'bootstrap', 'replicate', 'doc_id')} AS u
+  FROM x_ld, (SELECT unnest(range(1, 101))::INT AS replicate))"""
+CTE["x_boot_c"] = curve("(SELECT * FROM x_boot WHERE w > 0)", "replicate", "w")
+sql("bootstrap_metric", f"SELECT replicate, {AUROC}, {AP} FROM x_boot_c GROUP BY 1", "auroc average_precision")
+
+# survival metrics
+CTE["x_sr"] = "SELECT id, segment, region, acctbal, landmark, event::INT AS event, switch FROM x_se"
+
+
+def life_table(source: str, by: str, t: str = "landmark", event: str = "event") -> str:
+    return f"""SELECT *, sum(n_event + n_censor) OVER (PARTITION BY {by} ORDER BY t DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS n_risk FROM (
+      SELECT {by}, {t} AS t, count(*) FILTER ({event} > 0) AS n_event, count(*) FILTER (NOT {event} > 0) AS n_censor FROM {source} GROUP BY {by}, {t})"""
+
+
+def km(source: str, by: str, t: str = "landmark") -> str:
+    w = f"OVER (PARTITION BY {by} ORDER BY t ROWS UNBOUNDED PRECEDING)"
+    return f"""SELECT {by}, t, n_risk, n_event, n_censor, CASE WHEN z = 0 THEN exp(l) ELSE 0 END AS surv, CASE WHEN z = 0 THEN sqrt(v) END AS std_err,
+      CASE WHEN z = 0 THEN least(1, exp(l - 1.959963984540054e0 * sqrt(v))) END AS lower, CASE WHEN z = 0 THEN least(1, exp(l + 1.959963984540054e0 * sqrt(v))) END AS upper FROM (
+      SELECT *, sum(CASE WHEN n_event < n_risk THEN ln(1 - n_event / n_risk::DOUBLE) ELSE 0 END) {w} AS l,
+        sum(CASE WHEN n_event < n_risk THEN n_event / (n_risk::DOUBLE * (n_risk - n_event)) ELSE 0 END) {w} AS v,
+        sum(CASE WHEN n_event < n_risk THEN 0 ELSE 1 END) {w} AS z FROM ({life_table(source, by, t)}))"""
+
+
+KM_COLS = "t surv std_err lower upper"
+sql("kaplan_meier", km("x_sr", "segment"), KM_COLS)
+
+
+def censoring(source: str, by: str, t: str) -> str:
+    w = f"OVER (PARTITION BY {by} ORDER BY t ROWS UNBOUNDED PRECEDING)"
+    c, n = "n_censor", "(n_risk - n_event)"
+    return f"""SELECT {by}, t, CASE WHEN z = 0 THEN exp(l) ELSE 0 END AS g, CASE WHEN z - z0 = 0 THEN exp(l - l0) ELSE 0 END AS g_before FROM (
+      SELECT *, sum(l0) {w} AS l, sum(z0) {w} AS z FROM (SELECT *, CASE WHEN {c} < {n} THEN ln(1 - {c} / {n}::DOUBLE) ELSE 0 END AS l0,
+        CASE WHEN {c} > 0 AND {c} >= {n} THEN 1 ELSE 0 END AS z0 FROM ({life_table(source, by, t)})))"""
+
+
+sql("censoring_survival", censoring("x_sr", "segment", "landmark"), "t g g_before")
+CTE["x_bh"] = """SELECT region, start, "end", event, exp(acctbal / 20000 + CASE WHEN treatment = 'switched' THEN 0.3e0 ELSE 0e0 END) AS w FROM x_ti JOIN x_sp USING (id)"""
+sql("baseline_hazard", """SELECT *, sum(d / risk_sum) OVER (PARTITION BY region ORDER BY t ROWS UNBOUNDED PRECEDING) AS cum_hazard FROM (
+  SELECT e.region, e.t, any_value(e.d) AS d, sum(x_bh.w) AS risk_sum FROM (SELECT region, "end" AS t, count(*)::DOUBLE AS d FROM x_bh WHERE event > 0 GROUP BY 1, 2) e
+  JOIN x_bh ON x_bh.region = e.region AND x_bh.start < e.t AND x_bh."end" >= e.t GROUP BY 1, 2)""", "t d risk_sum cum_hazard")
+CTE["x_rr"] = """SELECT id, eval_t, follow_up, event, model, CASE model WHEN 'balance' THEN -acctbal ELSE -floor(acctbal / 2500) END AS risk
+  FROM x_asof JOIN x_sp USING (id), (VALUES ('balance'), ('tied')) v(model) WHERE eval_t < 600"""
+
+
+def concordance(source: str, by: str, t: str, tau: str | None = None, weight: str = "1e0") -> str:
+    on = " AND ".join(f"i.{b} = j.{b}" for b in by.split(", ") if b) or "true"
+    cols = ", ".join(f"i.{b}" for b in by.split(", ") if b)
+    head = f"{cols}, " if cols else ""
+    until = f" AND i.{t} <= i.{tau}" if tau else ""
+    return f"""SELECT *, (concordant + tied / 2) / nullif(usable, 0) AS c_index FROM (
+      SELECT {head}coalesce(sum({weight}), 0) AS usable, coalesce(sum(CASE WHEN i.risk > j.risk THEN {weight} ELSE 0 END), 0) AS concordant,
+      coalesce(sum(CASE WHEN i.risk = j.risk THEN {weight} ELSE 0 END), 0) AS tied FROM {source} i JOIN {source} j
+      ON {on} AND i.event > 0{until} AND (j.{t} > i.{t} OR (j.{t} = i.{t} AND NOT j.event > 0)) {'GROUP BY ' + cols if cols else ''})"""
+
+
+sql("c_index", f"""SELECT g.model, g.eval_t, coalesce(usable, 0) AS usable, coalesce(concordant, 0) AS concordant, coalesce(tied, 0) AS tied, c_index
+  FROM (SELECT DISTINCT model, eval_t FROM x_rr) g LEFT JOIN ({concordance('x_rr', 'model, eval_t', 'follow_up', 'eval_t')}) USING (model, eval_t)""", "usable concordant tied c_index eval_t")
+CTE["x_sr2"] = "SELECT *, -acctbal AS risk FROM x_sr"
+sql("c_index_overall", concordance("x_sr2", "", "landmark"), "usable concordant tied c_index")
+CTE["x_g"] = censoring("x_rr", "model, eval_t", "follow_up")
+CTE["x_rrw"] = "SELECT x_rr.*, 1 / nullif(g * g_before, 0) AS w FROM x_rr JOIN x_g ON x_g.model = x_rr.model AND x_g.eval_t = x_rr.eval_t AND x_g.t = x_rr.follow_up"
+sql("c_index_ipcw", concordance("x_rrw", "model, eval_t", "follow_up", None, "i.w"), "usable concordant tied c_index eval_t")
+CTE["x_ps"] = "SELECT x_st.*, acctbal, segment, exp(-eval_t / 2000 * exp(acctbal / 20000)) AS surv FROM x_st JOIN x_sp USING (id)"
+sql("risk_strata", "SELECT id, start, eval_t, segment, surv, CASE WHEN surv > median(surv) OVER (PARTITION BY eval_t, segment) THEN 'low' ELSE 'high' END AS risk FROM x_ps", "start eval_t surv")
+CTE["x_strata"] = """SELECT x_ps.id, eval_t, CASE WHEN surv > median(surv) OVER (PARTITION BY eval_t) THEN 'low' ELSE 'high' END AS risk, l.event, l."end" / 365.25 AS years FROM x_ps JOIN x_last l USING (id)"""
+sql("km_by_stratum", km("x_strata", "eval_t, risk", "years"), "eval_t " + KM_COLS)
+CTE["x_sry"] = "SELECT *, landmark / 365.25 AS years FROM x_sr"
+CTE["x_kmc"] = km("x_sry", "region, segment", "years")
+
+
+def interpolated(cols: list[str]) -> str:
+    def value(c):
+        return f"CASE WHEN a.t = g.t OR b.t IS NULL OR b.t = a.t THEN a.{c} ELSE a.{c} + (g.t - a.t) / (b.t - a.t) * (b.{c} - a.{c}) END AS {c}"
+
+    return f"""SELECT g.region, g.segment, g.step, g.t, {', '.join(value(c) for c in cols)} FROM (
+      SELECT region, segment, i AS step, i * 0.05e0 AS t FROM (SELECT region, segment, unnest(range(0, floor(m / 0.05e0 + 1e-9)::BIGINT + 1)) AS i FROM (
+        SELECT region, segment, max(t) AS m FROM x_kmc GROUP BY 1, 2))) g
+      ASOF LEFT JOIN x_kmc a ON a.region = g.region AND a.segment = g.segment AND a.t <= g.t
+      ASOF LEFT JOIN x_kmc b ON b.region = g.region AND b.segment = g.segment AND b.t >= g.t"""
+
+
+sql("curve_interpolate", interpolated(["surv", "std_err"]), "t surv std_err")
+CTE["x_ci"] = interpolated(["surv", "std_err", "lower", "upper"])
+sql("km_average", "SELECT segment, step, avg(surv) AS surv, avg(std_err) AS std_err, avg(lower) AS lower, avg(upper) AS upper FROM x_ci GROUP BY 1, 2", "surv std_err lower upper")
+
+# results
+sql("grid_rollup", """SELECT g.method, g.forecast, n, m AS mean_metric, s AS sd_metric, s / sqrt(n) AS se_metric, cutoff, printf('%.2f (%.2f)', round(m, 6), round(s, 6)) AS label FROM (
+  SELECT method, forecast, count(*) AS n, avg(metric) AS m, stddev_samp(metric) AS s FROM x_rg GROUP BY 1, 2) g
+  LEFT JOIN (SELECT event_type AS method, user_id % 3 AS forecast, max(value) AS cutoff FROM events GROUP BY 1, 2) c USING (method, forecast)""", "mean_metric sd_metric se_metric cutoff")
+sql("percentile_ci", """SELECT *, printf('(%.1f, %.1f)', lower, upper) AS label FROM (
+  SELECT method, forecast, quantile_cont(metric, 0.025e0) AS lower, quantile_cont(metric, 0.975e0) AS upper FROM x_rg GROUP BY 1, 2)""", "lower upper")
+sql("event_rate", "SELECT segment, region, sum(event) AS n_event, count(*) AS n, sum(event) / count(*) AS rate FROM x_mc GROUP BY 1, 2", "n_event rate")
+
+
+def ranked(source: str, tag: str = "config") -> str:
+    return f"""SELECT *, rank() OVER (PARTITION BY {tag} ORDER BY importance_mean DESC) + (count(*) OVER (PARTITION BY {tag}, importance_mean) - 1) / 2 AS importance_rank FROM (
+      SELECT {tag}, variable, avg(importance) AS importance_mean FROM {source} GROUP BY 1, 2)"""
+
+
+sql("importance_rank", ranked("""(SELECT o_orderstatus AS config, (o_custkey % 40)::VARCHAR AS variable, round(avg(round(o_totalprice / 50000)), 1) AS importance FROM orders GROUP BY 1, 2)"""), "importance_mean importance_rank")
+sql("importance_top", f"""SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY importance_mean DESC, variable) AS i FROM ({ranked("(SELECT l_returnflag AS config, l_suppkey::VARCHAR AS variable, l_quantity AS importance FROM lineitem)")})) WHERE i <= 10""", "importance_mean importance_rank")
+CTE["x_vo"] = """SELECT p_brand AS config, unnest([split_part(p_type, ' ', 1) || ': ' || split_part(p_type, ' ', 2), split_part(p_type, ' ', 1)]) AS variable, p_retailprice AS importance FROM part"""
+CTE["x_vr"] = ranked("x_vo")
+sql("variable_order", """SELECT config, root, variable, importance_rank, coalesce(min(CASE WHEN variable = root THEN importance_rank END) OVER p, min(importance_rank) OVER p) AS root_rank,
+  CASE WHEN variable = root THEN '' ELSE variable END AS level_key FROM (SELECT *, split_part(variable, ':', 1) AS root FROM x_vr) WINDOW p AS (PARTITION BY config, root)""", "importance_rank root_rank")
+CTE["x_diff"] = "SELECT a.forecast, a.seed, a.method, b.metric - a.metric AS diff FROM x_rg a JOIN x_rg b ON b.forecast = a.forecast AND b.seed = a.seed AND b.method = 'view' WHERE a.method <> 'view'"
+sql("paired_diff_tests", f"""SELECT method, forecast, n, mean_diff, sd_diff, perm_pval, n_rank, signed_rank, mean_diff / (sd_diff / sqrt(n)) AS t_stat,
+  CASE WHEN perm_pval < 0.001 THEN '***' WHEN perm_pval < 0.01 THEN '**' WHEN perm_pval < 0.05 THEN '*' ELSE '' END AS stars
+  FROM (SELECT method, forecast, count(*) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff FROM x_diff GROUP BY 1, 2)
+  JOIN (SELECT method, forecast, avg(CASE WHEN s > o + 1e-9 THEN 1e0 ELSE 0e0 END) AS perm_pval FROM (
+    SELECT method, forecast, replicate, sum(diff * CASE WHEN {uniform("'11'", 'flip', 'replicate', 'seed')} < 0.5 THEN 1 ELSE -1 END) AS s, sum(diff) AS o
+    FROM x_diff, (SELECT unnest(range(1, 1001)) AS replicate) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (method, forecast)
+  JOIN (SELECT method, forecast, count(*) AS n_rank, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS signed_rank FROM (
+    SELECT *, rank() OVER (PARTITION BY method, forecast ORDER BY a) + (count(*) OVER (PARTITION BY method, forecast, a) - 1) / 2 AS r FROM (
+      SELECT *, round(abs(diff), 12) AS a FROM x_diff WHERE diff <> 0)) GROUP BY 1, 2) USING (method, forecast)""", "mean_diff sd_diff perm_pval signed_rank t_stat")
+CTE["x_oc0"] = "SELECT region, round((acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER (), 1) AS grid, avg(acctbal) OVER () AS m, stddev_pop(acctbal) OVER () AS s, price FROM x_sp JOIN (SELECT id, avg(o_totalprice) AS price FROM x_od GROUP BY id) USING (id)"
+CTE["x_oc"] = "SELECT region, grid * any_value(s) + any_value(m) AS x, avg(price) AS average FROM x_oc0 GROUP BY region, grid"
+CTE["x_pg"] = """SELECT region, point, gx AS x, y0 + slope * (gx - x0) AS y FROM (SELECT r.region, point, lo + (hi - lo) * point / 49e0 AS gx FROM (SELECT DISTINCT region FROM x_oc) r,
+  (SELECT quantile_cont(x, 0.01e0) AS lo, quantile_cont(x, 0.99e0) AS hi FROM x_oc), (SELECT unnest(range(50))::INT AS point)) g
+  JOIN (SELECT region, x AS kx, CASE WHEN nx IS NULL THEN px ELSE x END AS x0, CASE WHEN nx IS NULL THEN py ELSE average END AS y0,
+    CASE WHEN nx IS NULL THEN (average - py) / (x - px) ELSE (ny - average) / (nx - x) END AS slope, CASE WHEN px IS NULL THEN -1e300 ELSE x END AS lo_x, coalesce(nx, 1e300) AS hi_x FROM (
+    SELECT *, lag(x) OVER w AS px, lag(average) OVER w AS py, lead(x) OVER w AS nx, lead(average) OVER w AS ny FROM x_oc WINDOW w AS (PARTITION BY region ORDER BY x))) k
+  USING (region) WHERE gx >= lo_x AND gx < hi_x"""
+sql("pdp_common_grid", "SELECT * FROM x_pg", "x y")
+sql("pdp_summary", "SELECT point, avg(y) AS mean, quantile_cont(y, 0.025e0) AS lower, quantile_cont(y, 0.975e0) AS upper FROM x_pg GROUP BY 1", "mean lower upper")
+
+# profiles
+_FLAGS = {"all": "true", "event": "event = 1", "no_event": "event <> 1", "switched": "switch = 1", "not_switched": "switch <> 1"}
+CTE["x_sl"] = "SELECT unnest(['segment', 'balance', 'region']) AS variable, unnest([segment, balance, region]) AS category, event, switch FROM x_mc"
+sql("strata_table", "SELECT variable, category, " + ", ".join(
+    f"count(*) FILTER ({c}) AS n_{k}, count(*) FILTER ({c}) * 100e0 / any_value(t_{k}) AS pct_{k}, printf('%d (%.1f%%)', count(*) FILTER ({c}), count(*) FILTER ({c}) * 100e0 / any_value(t_{k})) AS label_{k}" for k, c in _FLAGS.items()
+) + " FROM x_sl, (SELECT " + ", ".join(f"count(*) FILTER ({c}) AS t_{k}" for k, c in _FLAGS.items()) + " FROM x_mc) GROUP BY 1, 2", " ".join(f"pct_{k}" for k in _FLAGS))
+sql("measure_coverage", """SELECT *, n_entities * 100e0 / (SELECT count(*) FROM x_sp) AS pct_entities, n_preindex * 100e0 / (SELECT count(*) FROM x_sp) AS pct_preindex FROM (
+  SELECT measure, count(DISTINCT id) AS n_entities, count(DISTINCT id) FILTER (t <= 0) AS n_preindex, count(*) AS n_rows FROM x_m GROUP BY 1)""", "pct_entities pct_preindex")
+sql("event_overview", """SELECT count(*) FILTER (first) AS n_with_event, avg(CASE WHEN kind = 'hosp' THEN 1e0 ELSE 0e0 END) * 100 AS pct_hosp, avg(CASE WHEN kind = 'er' THEN 1e0 ELSE 0e0 END) * 100 AS pct_er,
+  count(*) FILTER (first) * 100e0 / (SELECT count(*) FROM x_sp) AS pct_with_event FROM x_flags""", "pct_hosp pct_er pct_with_event")
+sql("count_of_counts", "SELECT n_events, count(*) AS n_entities FROM (SELECT id, count(*) AS n_events FROM x_log GROUP BY id) GROUP BY 1")
+CTE["x_pl"] = "SELECT unnest(['acctbal', 'death', 'study_end', 'switch_t']) AS variable, unnest([acctbal, death, study_end, switch_t]) AS value FROM x_sp LEFT JOIN x_sw USING (id)"
+sql("profile_table", """SELECT variable, count(*) AS n, count(*) FILTER (value IS NULL) AS n_missing, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS p0, quantile_cont(value, 0.25e0) AS p25,
+  quantile_cont(value, 0.5e0) AS p50, quantile_cont(value, 0.75e0) AS p75, max(value) AS p100, count(value) / count(*)::DOUBLE AS complete_rate FROM x_pl GROUP BY 1""", "mean sd p0 p25 p50 p75 p100 complete_rate")
+CTE["x_pt"] = "SELECT unnest(['o_orderstatus', 'o_orderpriority']) AS variable, unnest([o_orderstatus, o_orderpriority]) AS value FROM orders"
+sql("profile_text", """SELECT variable, n, n_missing, n_distinct, top_counts FROM (SELECT variable, count(*) AS n, count(*) FILTER (value IS NULL) AS n_missing, count(DISTINCT value) AS n_distinct FROM x_pt GROUP BY 1)
+  JOIN (SELECT variable, string_agg(value || ': ' || k, ', ' ORDER BY k DESC, value) AS top_counts FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY k DESC, value) AS r FROM (
+    SELECT variable, value, count(*) AS k FROM x_pt WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE r <= 4 GROUP BY 1) USING (variable)""")
+_M6 = ["AF", "AO", "NF", "NO", "RF", "RO"]
+CTE["x_cw"] = "SELECT id, month, " + ", ".join(f"max(CASE WHEN measure = '{m}' THEN value END) AS {m}" for m in _M6) + """ FROM (
+  SELECT *, row_number() OVER (PARTITION BY id, month, measure ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, value) AS r FROM (SELECT *, floor(t / 90)::BIGINT AS month FROM x_m)) WHERE r = 1 GROUP BY 1, 2"""
+sql("measure_corr", " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, CASE WHEN NOT isnan(corr({a}, {b})) THEN corr({a}, {b}) END AS r FROM x_cw"
+    for i, a in enumerate(_M6) for b in _M6[i + 1 :]), "r")
+sql("histogram", "SELECT kind, floor(t / 365.25e0 / 0.25e0)::BIGINT AS bin, count(*) AS n FROM x_flags WHERE first GROUP BY 1, 2")
+sql("histogram_equal", """SELECT measure, least(19, coalesce(floor((n - lo) * 20e0 / nullif(hi - lo, 0)), 0))::BIGINT AS bin, count(*) AS n FROM (
+  SELECT *, min(n) OVER (PARTITION BY measure) AS lo, max(n) OVER (PARTITION BY measure) AS hi FROM (SELECT id, measure, count(*) AS n FROM x_m GROUP BY 1, 2)) GROUP BY 1, 2""")
+CTE["x_ds"] = """SELECT *, 0.9e0 * least(sd, CASE WHEN q3 > q1 THEN (q3 - q1) / 1.34e0 END) * n ** -0.2e0 AS h FROM (
+  SELECT measure, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25e0) AS q1, quantile_cont(value, 0.75e0) AS q3 FROM x_m GROUP BY 1)"""
+CTE["x_db"] = """SELECT measure, n, lo, hi, h, least(511, floor((value - lo) / ((hi - lo) / 512e0)))::BIGINT AS cell, count(*) AS k FROM x_m JOIN x_ds USING (measure) GROUP BY ALL"""
+sql("density_curve", """SELECT measure, point, x, sum(k * exp(-0.5e0 * ((x - mid) / h) * ((x - mid) / h))) / any_value(n * h) / sqrt(2 * pi()) AS density FROM (
+  SELECT *, lo + (cell + 0.5e0) * ((hi - lo) / 512e0) AS mid, lo + (hi - lo) * point / 63e0 AS x FROM x_db, (SELECT unnest(range(64))::INT AS point)) GROUP BY 1, 2, 3""", "x density")
+
+# sinks: what is read back
+sql("partition_sink", "SELECT method, forecast, count(*) AS n, avg(metric) AS mean_metric FROM x_rg GROUP BY 1, 2", "mean_metric")
+sql("bundle_sink", "SELECT id, segment, n_intervals FROM x_sp LEFT JOIN (SELECT id, count(*) AS n_intervals FROM x_ti GROUP BY id) USING (id)")
+sql("curve_sink", """SELECT model AS feature, threshold, count(*) FILTER (y = 1 AND score >= threshold) / count(*)::DOUBLE - count(*) FILTER (y = 0 AND score >= threshold) / count(*)::DOUBLE * (threshold / (1 - threshold)) AS net_benefit,
+  avg(y) - (1 - avg(y)) * (threshold / (1 - threshold)) AS treat_all, 0e0 AS treat_none FROM x_sc, x_th GROUP BY 1, 2""", "threshold net_benefit treat_all")
+sql("materialize", "SELECT * FROM x_lab", "event_t")

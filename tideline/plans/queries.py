@@ -340,7 +340,7 @@ def asof_at_times(spark, d):
 def stitch_predictions(spark, d):
     i = co.survival_intervals(spark, d, with_measures=False)
     out = intervals.stitch_predictions(i, id="id", start="start", end="end", times=TIMES, hot=fx.hot_ids(spark, d))
-    return out.withColumn("surv", F.exp(-F.col("at") / (2000.0 + F.col("start"))))
+    return out.withColumn("surv", F.exp(-F.col("eval_t") / (2000.0 + F.col("start"))))
 
 
 @query
@@ -373,3 +373,395 @@ def eval_times(spark, d):
 def eval_times_thinned(spark, d):
     i = co.survival_intervals(spark, d, with_measures=False)
     return intervals.eval_times(i, time="end", event="event", extra=TIMES, at_most=50)
+
+
+# sampling and features -----------------------------------------------------------------
+
+
+@query
+def keyed_uniform(spark, d):
+    s = sampling.with_repetitions(fx.spine(spark, d).select("id"), 5)
+    return s.withColumn("u", keyed.keyed_uniform(F.col("seed"), "draw", F.col("id"))).withColumn("sign", keyed.keyed_sign(F.col("seed"), "sign", F.col("id")))
+
+
+SPLIT = {"train": 0.6, "validation": 0.15, "test": 0.25}
+
+
+@query
+def split_assign(spark, d):
+    assigned = sampling.split_assign(fx.spine(spark, d).select("id"), id="id", seed=fx.SEED, fractions=SPLIT)
+    rows = sampling.in_split(co.survival_intervals(spark, d, with_measures=False), assigned, "id", ["validation", "test"])
+    return rows.join(assigned, "id").select("id", "start", "end", "split")
+
+
+@query
+def stratified_split(spark, d):
+    s = sampling.stratified_split(fx.table(spark, d, "labels").select("doc_id", "quality"), id="doc_id", stratum="quality", seed=fx.SEED)
+    t = sampling.stratified_split(fx.table(spark, d, "labels").select("doc_id", "quality"), id="doc_id", stratum="quality", seed=fx.SEED, mode="test")
+    return s.join(t.select("doc_id", F.col("split").alias("test_mode")), "doc_id")
+
+
+@query
+def subsample(spark, d):
+    return sampling.subsample(fx.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), key=["o_orderkey"], seed=fx.SEED, fraction=0.1)
+
+
+@query
+def permute_column(spark, d):
+    return sampling.permute_column(fx.spine(spark, d).select("id", "acctbal"), key=["id"], column="acctbal", seed=fx.SEED, replicates=3)
+
+
+@query
+def permute_static(spark, d):
+    i = co.survival_intervals(spark, d, with_measures=False).join(fx.spine(spark, d).select("id", "acctbal"), "id").select("id", "start", "end", "acctbal")
+    return sampling.permute_static(i, id="id", column="acctbal", seed=fx.SEED, replicates=2, hot=fx.hot_ids(spark, d))
+
+
+@query
+def one_hot(spark, d):
+    s = fx.spine(spark, d).select("id", "segment", "balance", F.when(F.col("death").isNotNull(), "dead").alias("vital"))
+    return features.one_hot(s, ["segment", "balance", "vital"], missing="none")
+
+
+@query
+def one_hot_full_rank(spark, d):
+    s = fx.spine(spark, d).select("id", "balance")
+    return features.one_hot(s, ["balance"], levels={"balance": ["debt", "low", "mid", "high"]}, drop="first")
+
+
+@query
+def standardize(spark, d):
+    return features.standardize(fx.spine(spark, d).select("id", "acctbal", "study_end", F.lit(3.0).alias("constant")), ["acctbal", "study_end", "constant"])
+
+
+@query
+def standardize_train(spark, d):
+    s = sampling.split_assign(fx.spine(spark, d).select("id", "acctbal", "study_end"), id="id", seed=fx.SEED, fractions=SPLIT)
+    return features.standardize(s, ["acctbal", "study_end"], fit_on=s.filter("split = 'train'"), sample_sd=True)
+
+
+@query
+def attach_names(spark, d):
+    e = fx.result_grid(spark, d).groupBy("method", "seed").agg(F.array(F.avg("metric"), F.min("metric"), F.max("metric")).alias("v"))
+    return features.attach_names(e, "v", ["average", "lowest", "highest"])
+
+
+# classifier metrics ----------------------------------------------------------------------
+
+
+@query
+def threshold_label(spark, d):
+    return metrics_cls.threshold_label(fx.labelled_documents(spark, d), "score", cut=0.6)
+
+
+@query
+def accuracy_f1(spark, d):
+    s = metrics_cls.threshold_label(fx.scored_rows(spark, d), "score")
+    return metrics_cls.accuracy_f1(s, ["model", "seed"], "y", "label")
+
+
+@query
+def auroc(spark, d):
+    return metrics_cls.auroc_ap(fx.scored_rows(spark, d), ["model", "seed"], "y", "score").select("model", "seed", "auroc")
+
+
+@query
+def average_precision(spark, d):
+    both = fx.labelled_documents(spark, d).withColumn("model", F.lit("chars")).select("model", "y", "score")
+    both = both.unionByName(fx.scored_rows(spark, d).select("model", "y", "score"))
+    return metrics_cls.auroc_ap(both, ["model"], "y", "score")
+
+
+@query
+def roc_curve(spark, d):
+    return metrics_cls.roc_curve(fx.scored_rows(spark, d), ["model", "seed"], "y", "score").drop("position")
+
+
+@query
+def roc_curve_all_points(spark, d):
+    return metrics_cls.roc_curve(fx.labelled_documents(spark, d), ["lang"], "y", "score", drop_intermediate=False)
+
+
+@query
+def best_cutoff(spark, d):
+    return metrics_cls.best_cutoff(fx.scored_rows(spark, d), ["model", "seed"], "y", "score")
+
+
+@query
+def calibration_bins(spark, d):
+    return metrics_cls.calibration_bins(fx.scored_rows(spark, d), ["model", "seed"], "y", "score")
+
+
+@query
+def decision_curve(spark, d):
+    return metrics_cls.decision_curve(fx.scored_rows(spark, d), ["model", "seed"], "y", "score")
+
+
+@query
+def bootstrap_metric(spark, d):
+    return metrics_cls.bootstrap_metric(fx.labelled_documents(spark, d), [], "y", "score", key=["doc_id"], seed=fx.SEED, replicates=100)
+
+
+# survival metrics --------------------------------------------------------------------------
+
+
+def survival_rows(spark, d):
+    """One row per entity: follow-up and event after the landmark shift, with covariates."""
+    e = co.survival_entities(spark, d)
+    return e.select("id", "segment", "region", "acctbal", "landmark", F.col("event").cast("int").alias("event"), "switch")
+
+
+@query
+def kaplan_meier(spark, d):
+    return metrics_surv.kaplan_meier(survival_rows(spark, d), ["segment"], "landmark", "event")
+
+
+@query
+def censoring_survival(spark, d):
+    return metrics_surv.censoring_survival(survival_rows(spark, d), ["segment"], "landmark", "event")
+
+
+@query
+def baseline_hazard(spark, d):
+    i = co.survival_intervals(spark, d, with_measures=False).join(fx.spine(spark, d).select("id", "acctbal", "region"), "id")
+    lp = F.col("acctbal") / 20000.0 + F.when(F.col("treatment") == "switched", 0.3).otherwise(0.0)
+    return metrics_surv.baseline_hazard(i.withColumn("risk", F.exp(lp)), ["region"], start="start", end="end", event="event", risk="risk")
+
+
+def risk_rows(spark, d):
+    """As-of rows at the evaluation times with two risk scores, one heavily tied."""
+    a = intervals.asof_at_times(co.survival_intervals(spark, d, with_measures=False), id="id", start="start", end="end", times=TIMES[:3], hot=fx.hot_ids(spark, d))
+    a = a.join(fx.spine(spark, d).select("id", "acctbal"), "id")
+    tied = F.floor(F.col("acctbal") / 2500.0)
+    models = F.map_from_arrays(F.array(F.lit("balance"), F.lit("tied")), F.array(-F.col("acctbal"), -tied.cast("double")))
+    return a.select("id", "eval_t", "follow_up", "event", F.explode(models).alias("model", "risk"))
+
+
+@query
+def c_index(spark, d):
+    return metrics_surv.c_index(risk_rows(spark, d), ["model", "eval_t"], time="follow_up", event="event", risk="risk", tau="eval_t")
+
+
+@query
+def c_index_overall(spark, d):
+    return metrics_surv.c_index(survival_rows(spark, d).withColumn("risk", -F.col("acctbal")), [], time="landmark", event="event", risk="risk")
+
+
+@query
+def c_index_ipcw(spark, d):
+    return metrics_surv.c_index(risk_rows(spark, d), ["model", "eval_t"], time="follow_up", event="event", risk="risk", weights="ipcw")
+
+
+def predicted_survival(spark, d):
+    """Survival predictions stitched at the evaluation times from a fixed risk formula."""
+    out = intervals.stitch_predictions(co.survival_intervals(spark, d, with_measures=False), id="id", start="start", end="end", times=TIMES, hot=fx.hot_ids(spark, d))
+    out = out.join(fx.spine(spark, d).select("id", "acctbal", "segment"), "id")
+    return out.withColumn("surv", F.exp(-F.col("eval_t") / 2000.0 * F.exp(F.col("acctbal") / 20000.0)))
+
+
+@query
+def risk_strata(spark, d):
+    return metrics_surv.risk_strata(predicted_survival(spark, d), ["eval_t", "segment"], "surv").select("id", "start", "eval_t", "segment", "surv", "risk")
+
+
+@query
+def km_by_stratum(spark, d):
+    """Predicted risk above or below the median, observed curve per stratum and time."""
+    strata = metrics_surv.risk_strata(predicted_survival(spark, d), ["eval_t"], "surv").select("id", "eval_t", "risk")
+    last = intervals.last_interval(co.survival_intervals(spark, d, with_measures=False), id="id", end="end", hot=fx.hot_ids(spark, d))
+    rows = strata.join(last.select("id", "event", scalars.years("end").alias("years")), "id")
+    return metrics_surv.kaplan_meier(rows, ["eval_t", "risk"], "years", "event")
+
+
+def km_curves(spark, d):
+    e = survival_rows(spark, d).withColumn("years", scalars.years("landmark"))
+    return metrics_surv.kaplan_meier(e, ["region", "segment"], "years", "event")
+
+
+@query
+def curve_interpolate(spark, d):
+    return results.curve_interpolate(km_curves(spark, d), ["region", "segment"], "t", ["surv", "std_err"], 0.05, hot=[])
+
+
+@query
+def km_average(spark, d):
+    c = results.curve_interpolate(km_curves(spark, d), ["region", "segment"], "t", ["surv", "std_err", "lower", "upper"], 0.05, hot=[])
+    return results.average_curves(c, ["segment", "step"], ["surv", "std_err", "lower", "upper"])
+
+
+# results -------------------------------------------------------------------------------------
+
+
+@query
+def grid_rollup(spark, d):
+    g = results.grid_rollup(fx.result_grid(spark, d), ["method", "forecast"], ["metric"])
+    cut = fx.table(spark, d, "events").groupBy(F.col("event_type").alias("method"), (F.col("user_id") % 3).alias("forecast")).agg(F.max("value").alias("cutoff"))
+    g = results.join_on_tags(g, cut, ["method", "forecast"])
+    return g.withColumn("label", scalars.center_spread(F.round("mean_metric", 6), F.round("sd_metric", 6)))
+
+
+@query
+def percentile_ci(spark, d):
+    return results.percentile_ci(fx.result_grid(spark, d), ["method", "forecast"], "metric").withColumn("label", scalars.bounds_label("lower", "upper", 1))
+
+
+@query
+def event_rate(spark, d):
+    return results.event_rate(co.feature_table(spark, d, wide=False), ["segment", "region"], "event")
+
+
+@query
+def importance_rank(spark, d):
+    g = fx.table(spark, d, "orders").select(F.col("o_orderstatus").alias("config"), (F.col("o_custkey") % 40).cast("string").alias("variable"), F.round(F.col("o_totalprice") / 50000).alias("importance"))
+    g = g.groupBy("config", "variable").agg(F.round(F.avg("importance"), 1).alias("importance"))
+    return results.importance_rank(g, ["config"], "variable", "importance")
+
+
+@query
+def importance_top(spark, d):
+    g = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("config"), F.col("l_suppkey").cast("string").alias("variable"), F.col("l_quantity").alias("importance"))
+    return results.importance_rank(g, ["config"], "variable", "importance", top=10)
+
+
+@query
+def variable_order(spark, d):
+    g = fx.table(spark, d, "part").select(F.concat_ws(": ", F.split_part("p_type", F.lit(" "), F.lit(1)), F.split_part("p_type", F.lit(" "), F.lit(2))).alias("v"), F.col("p_brand").alias("config"), "p_retailprice")
+    both = g.select("config", F.col("v").alias("variable"), "p_retailprice").unionByName(g.select("config", F.split_part("v", F.lit(":"), F.lit(1)).alias("variable"), "p_retailprice"))
+    r = results.importance_rank(both, ["config"], "variable", "p_retailprice")
+    return results.variable_order(r, ["config"], "variable", "importance_rank").drop("importance_mean")
+
+
+@query
+def paired_diff_tests(spark, d):
+    diff = results.paired_differences(fx.result_grid(spark, d), ["forecast"], "seed", "method", "metric", "view")
+    return results.paired_diff_tests(diff, ["method", "forecast"], "diff", "seed", seed=fx.SEED, p_values=False)
+
+
+@query
+def paired_diff_p_values(spark, d):
+    diff = results.paired_differences(fx.result_grid(spark, d), ["forecast"], "seed", "method", "metric", "view")
+    return results.paired_diff_tests(diff, ["method", "forecast"], "diff", "seed", seed=fx.SEED)
+
+
+def order_curves(spark, d):
+    """A standardised curve per region: mean order price over account balance, back-transformed."""
+    s = features.standardize(fx.spine(spark, d).select("id", "region", "acctbal"), ["acctbal"])
+    p = fx.orders_by_day(spark, d).groupBy("id").agg(F.avg("o_totalprice").alias("price"))
+    stats = fx.spine(spark, d).agg(F.struct(F.avg("acctbal").alias("m"), F.stddev_pop("acctbal").alias("s"))).scalar()
+    c = s.join(p, "id").withColumn("grid", F.round("acctbal", 1)).groupBy("region", "grid").agg(F.avg("price").alias("average"))
+    c = c.withColumn("__s", stats)
+    return results.back_transform(c, "grid", F.col("__s.m"), F.col("__s.s"), "x").select("region", "x", "average")
+
+
+@query
+def pdp_common_grid(spark, d):
+    return results.common_grid(order_curves(spark, d), ["region"], "x", "average", points=50, hot=[])
+
+
+@query
+def pdp_summary(spark, d):
+    c = results.common_grid(order_curves(spark, d), ["region"], "x", "average", points=50, hot=[])
+    band = results.percentile_ci(c, ["point"], "y")
+    return c.groupBy("point").agg(F.avg("y").alias("mean")).join(band, "point")
+
+
+# profiles ---------------------------------------------------------------------------------------
+
+
+@query
+def strata_table(spark, d):
+    return profile.strata_table(co.feature_table(spark, d, wide=False), ["segment", "balance", "region"], event="event", switch="switch")
+
+
+@query
+def measure_coverage(spark, d):
+    return profile.measure_coverage(fx.measures(spark, d), fx.spine(spark, d), id="id", measure="measure", t="t")
+
+
+@query
+def event_overview(spark, d):
+    flagged = event_flags_raw(spark, d)
+    return profile.event_shares(flagged, fx.spine(spark, d), kind="kind", values=["hosp", "er"])
+
+
+@query
+def count_of_counts(spark, d):
+    return profile.count_of_counts(co.event_log(spark, d), "id")
+
+
+@query
+def profile_table(spark, d):
+    return profile.profile_numeric(fx.spine(spark, d).join(fx.switch_times(spark, d), "id", "left"), ["acctbal", "death", "study_end", "switch_t"])
+
+
+@query
+def profile_text(spark, d):
+    return profile.profile_text(fx.table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query
+def measure_corr(spark, d):
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value")]
+    month = fx.measures(spark, d).withColumn("month", F.floor(F.col("t") / 90))
+    return profile.measure_corr(month, keys=["id", "month"], measure="measure", value="value", order=order, measures=fx.MEASURES)
+
+
+@query
+def histogram(spark, d):
+    first = event_flags_raw(spark, d).filter("first").withColumn("years", scalars.years("t"))
+    return profile.histogram_width(first, ["kind"], "years", 0.25)
+
+
+@query
+def histogram_equal(spark, d):
+    n = fx.measures(spark, d).groupBy("id", "measure").agg(F.count("*").alias("n_rows"))
+    return profile.histogram_equal(n, ["measure"], "n_rows", 20)
+
+
+@query
+def density_curve(spark, d):
+    return profile.density_curve(fx.measures(spark, d), ["measure"], "value", points=64, cells=512)
+
+
+# sinks ---------------------------------------------------------------------------------------------
+
+
+def scratch(spark, name):
+    import uuid
+
+    return f"{sinks.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def partition_sink(spark, d):
+    """Write the result grid by configuration, read it back in one scan."""
+    path = scratch(spark, "grid")
+    sinks.write_partitioned(fx.result_grid(spark, d), path, ["method", "forecast"])
+    back = tables.read_grid(spark, path, ["method", "forecast"])
+    return back.groupBy("method", "forecast").agg(F.count("*").alias("n"), F.avg("metric").alias("mean_metric")).withColumn("forecast", F.col("forecast").cast("long"))
+
+
+@query
+def bundle_sink(spark, d):
+    path = scratch(spark, "bundle")
+    sinks.write_bundle({"entities": fx.spine(spark, d), "intervals": co.survival_intervals(spark, d, with_measures=False)}, path)
+    t = sinks.read_bundle(spark, path, ["entities", "intervals"])
+    return t["entities"].join(t["intervals"].groupBy("id").agg(F.count("*").alias("n_intervals")), "id", "left").select("id", "segment", "n_intervals")
+
+
+@query
+def curve_sink(spark, d):
+    path = scratch(spark, "curves")
+    sinks.write_curves(metrics_cls.decision_curve(fx.scored_rows(spark, d), ["model"], "y", "score").withColumnRenamed("model", "feature"), path)
+    return spark.read.parquet(path)
+
+
+@query
+def materialize(spark, d):
+    root, config = scratch(spark, "cache"), {"accrual": fx.ACCRUAL, "forecast": fx.FORECAST, "rule": "keep"}
+    sinks.materialize(spark, lambda: co.labels(spark, d), root, config)
+
+    def rebuilt():
+        raise AssertionError("finished output must be reused")
+
+    return sinks.materialize(spark, rebuilt, root, config)
