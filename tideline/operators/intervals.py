@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
 from .ordered import hot_values, lookup, ordered_scan
 
 
@@ -49,6 +50,7 @@ def interval_build(entities: DataFrame, *, id: str, forecast: float | None = Non
     if measures is None:
         return base
     hot = hot_values(measures, id) if hot is None else hot
+    base = stage(base)  # one or two rows per entity, read three times below
     limits = base.groupBy(id).agg(F.max("landmark").alias("landmark"))
     closing = base.filter(F.col("end") == F.col("landmark")).groupBy(id).agg(F.max("event").alias("closing_event"))
     limits = limits.join(closing, id, "left")

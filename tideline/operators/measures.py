@@ -51,11 +51,12 @@ def latest_value(df: DataFrame, *, keys: Sequence[str], value: str, order: Seque
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(name))
 
 
-def measure_stats(df: DataFrame, *, id: str, measure: str, t: str, value: str, order: Sequence[str], period: str = "period", recent: int = 3, hot: Sequence | None = None) -> DataFrame:
+def measure_stats(df: DataFrame, *, id: str, measure: str, t: str, value: str, order: Sequence[str], period: str = "period", recent: int = 3, latest: bool = False, hot: Sequence | None = None) -> DataFrame:
     """Seven statistics per (entity, measure, period) from one ordered pass.
 
     ``tv`` is the mean absolute successive difference; slopes are least squares on time,
     over all points and over the newest ``recent``; all missing for a single point.
+    ``latest`` adds the last value and its order key, to be reduced over periods.
     """
     keys = [id, measure, period]
     rows = ordered_scan(df.select(*dict.fromkeys([*keys, *order, t, value])), keys, order, number="__i", totals={"__k": ("count", t)}, lag={"__prev": value}, hot=hot)
@@ -68,6 +69,7 @@ def measure_stats(df: DataFrame, *, id: str, measure: str, t: str, value: str, o
         F.avg(F.abs(F.col(value) - F.col("__prev"))).alias("tv"),
         F.regr_slope(F.col(value), F.col(t)).alias("slope"),
         F.regr_slope(newest, F.col(t)).alias("recent_slope"),
+        *([F.max_by(value, F.struct(*order)).alias("last_value"), F.max(F.struct(*order)).alias("last_key")] if latest else []),
     )
 
 
@@ -101,14 +103,14 @@ def measure_summary(
     if mode == "event":
         rows = lookup(rows, entities.select(id, landmark), [id], "inner", hot=hot)
     labelled = period_label(rows, t=t, mode=mode, landmark=landmark, accrual=accrual, forecast=forecast)
-    recent = latest_value(labelled, keys=[id, measure], value=value, order=order)
     periods = ["accrual"] if mode == "event" else ["preindex", "accrual"]
-    stats = measure_stats(labelled.filter(F.col("period").isin(periods)), id=id, measure=measure, t=t, value=value, order=order, hot=hot)
+    # one pass over the measurements; the latest value is the later of the periods' last ones
+    stats = measure_stats(labelled, id=id, measure=measure, t=t, value=value, order=order, latest=True, hot=hot)
     wide = stats.groupBy(id, measure).agg(
-        *[F.max(F.when(F.col("period") == p, F.col(s))).alias(f"{s}_{p}") for s in STATS for p in periods]
+        *[F.max(F.when(F.col("period") == p, F.col(s))).alias(f"{s}_{p}") for s in STATS for p in periods],
+        F.max_by("last_value", "last_key").alias("recent_value"),
     )
-    grid = complete_grid(entities, id, measure, kept)
-    out = grid.join(wide, [id, measure], "left").join(recent, [id, measure], "left")
+    out = complete_grid(entities, id, measure, kept).join(wide, [id, measure], "left")
     if mode == "event":
         out = out.withColumns({c: F.coalesce(c, "recent_value") for c in ("mean_accrual", "max_accrual")})
     return out.withColumns({f"{s}_{p}": F.coalesce(F.col(f"{s}_{p}"), F.lit(0)) for s in ZERO_FILLED for p in periods})

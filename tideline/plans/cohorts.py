@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cohort, events, intervals, measures
+from ..sources.sinks import stage
 from . import fixtures as fx
 
 CENSORS = ("death", "study_end")
@@ -28,15 +29,16 @@ def labelled_entities(spark: SparkSession, d: str, mode: str) -> DataFrame:
 
 
 def landmarked(spark: SparkSession, d: str, drop_ambiguous: bool = False) -> DataFrame:
-    """Entities with their random landmark and switch status (classification)."""
+    """Entities with their label, random landmark and switch status (classification)."""
     e = cohort.random_landmark(labelled_entities(spark, d, "classification"), id="id", event="event", landmark0="landmark0", accrual=fx.ACCRUAL, forecast=fx.FORECAST, seed=fx.SEED)
     return cohort.switch_status(e, switch_t="switch_t", landmark="landmark", forecast=fx.FORECAST, drop_ambiguous=drop_ambiguous)
 
 
-def summary(spark: SparkSession, d: str, mode: str = "event") -> DataFrame:
+def summary(spark: SparkSession, d: str, mode: str = "event", entities: DataFrame | None = None) -> DataFrame:
     rows = measures.transform(fx.measures(spark, d), measure="measure", value="value", untouched=["NO"])
+    entities = stage(landmarked(spark, d)) if entities is None else entities
     return measures.measure_summary(
-        rows, landmarked(spark, d), id="id", measure="measure", t="t", value="value", order=fx.MEASURE_ORDER,
+        rows, entities, id="id", measure="measure", t="t", value="value", order=fx.MEASURE_ORDER,
         measures=fx.MEASURES, mode=mode, accrual=fx.ACCRUAL, forecast=fx.FORECAST, dropped=["RO"], hot=fx.hot_ids(spark, d),
     )
 
@@ -44,22 +46,35 @@ def summary(spark: SparkSession, d: str, mode: str = "event") -> DataFrame:
 KEPT = [m for m in fx.MEASURES if m != "RO"]
 
 
-def feature_table(spark: SparkSession, d: str, how: str = "median", wide: bool = True) -> DataFrame:
-    """One row per entity: label, landmark, switch status and imputed measure summaries."""
-    filled = measures.impute_summary(summary(spark, d), id="id", measure="measure", measures=KEPT, how=how)
-    features = measures.widen(filled, id="id", measure="measure", measures=KEPT)
-    base = landmarked(spark, d).drop("n_prior", "event", "event_t", "censor", "landmark0", "jitter")
+def analysed(entities: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """Labelled entities observed long enough, with their features."""
+    base = entities.drop("n_prior", "event", "event_t", "censor", "landmark0", "jitter")
     return cohort.merge_classification(
-        base, labels(spark, d), features if wide else None, id="id", censors=CENSORS, accrual=fx.ACCRUAL, forecast=fx.FORECAST, drop=["switch_t", "event_t"]
+        base, entities.select("id", "n_prior", "event"), features, id="id", censors=CENSORS, accrual=fx.ACCRUAL, forecast=fx.FORECAST, drop=["switch_t"]
     )
 
 
+def feature_table(spark: SparkSession, d: str, how: str = "median", wide: bool = True) -> DataFrame:
+    """One row per entity: label, landmark, switch status and imputed measure summaries.
+
+    The entity table is staged: it is one row per entity and every step below reads it.
+    """
+    entities = stage(landmarked(spark, d))
+    if not wide:
+        return analysed(entities)
+    # staged once, so the measurements are read once for the fills and for the rows
+    long = stage(summary(spark, d, entities=entities))
+    filled = measures.impute_summary(long, id="id", measure="measure", measures=KEPT, how=how)
+    return analysed(entities, measures.widen(filled, id="id", measure="measure", measures=KEPT))
+
+
 def survival_entities(spark: SparkSession, d: str) -> DataFrame:
     """One row per entity with switch status and the first event after the forecast cut."""
-    e = labelled_entities(spark, d, "survival").withColumnRenamed("landmark0", "landmark")
+    labelled = stage(labelled_entities(spark, d, "survival"))
+    e = labelled.withColumnRenamed("landmark0", "landmark")
     e = cohort.switch_status(e, switch_t="switch_t", landmark="landmark", forecast=fx.FORECAST, drop_ambiguous=False)
     e = e.drop("n_prior", "event", "event_t", "censor", "landmark")
-    return cohort.merge_outcome(e, labels(spark, d, "survival"), id="id", study_end="study_end", censors=CENSORS, counts=["n_prior"])
+    return cohort.merge_outcome(e, labelled.select("id", "n_prior", "event_t"), id="id", study_end="study_end", censors=CENSORS, counts=["n_prior"])
 
 
 def baseline(spark: SparkSession, d: str, how: str = "mean") -> DataFrame:

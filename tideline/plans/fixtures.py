@@ -5,11 +5,14 @@ All times are days (double) from the entity's index: its first order, or first e
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucketize, day_offset
 from ..operators.ordered import HOT_FLOOR, HOT_SHARE, hot_values
+from ..sources.tables import read_table
 
 ACCRUAL, FORECAST = 365.25, 180.0
 EVENT_ACCRUAL, EVENT_FORECAST = 7.0, 3.0
@@ -21,19 +24,35 @@ STUDY_END = "2001-08-01"
 HIGH_VALUE = 250000.0
 
 
+# declared, so that no read has to open files to infer a schema
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, f"{d}/{name}.parquet", SCHEMAS[name])
 
 
 def index_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("index_ts"))
 
 
+@cache
 def hot_ids(spark: SparkSession, d: str) -> list:
     """Customers large enough, in orders or line items, to need cutting in ordered steps.
 
     A table of no more rows than the floor cannot contain one; its row count comes from
-    the file footers.
+    the file footers.  Remembered per session: a stale list can only cost balance.
     """
     orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
     if items.count() <= HOT_FLOOR and orders.count() <= HOT_FLOOR:
@@ -44,6 +63,7 @@ def hot_ids(spark: SparkSession, d: str) -> list:
     return [r[0] for r in sized.filter((F.col("n") > HOT_FLOOR) & (F.col("n") > total * F.lit(HOT_SHARE))).select("o_custkey").collect()]
 
 
+@cache
 def hot_users(spark: SparkSession, d: str) -> list:
     events = table(spark, d, "events")
     return [] if events.count() <= HOT_FLOOR else hot_values(events, "user_id")

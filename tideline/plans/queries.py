@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keyed, scalars
-from ..operators import cohort, events, features, impute, intervals, measures, metrics_cls, metrics_surv, profile, reshape, results, sampling
+from ..operators import cohort, cox, events, features, impute, intervals, measures, metrics_cls, metrics_surv, models, profile, reshape, results, sampling
 from ..sources import sinks, tables
 from . import cohorts as co
 from . import fixtures as fx
@@ -32,7 +32,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def scan_project(spark, d):
-    o = tables.read_table(spark, f"{d}/orders.parquet")
+    o = tables.read_table(spark, f"{d}/orders.parquet", fx.SCHEMAS["orders"])
     return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority")).withColumn("id_number", F.col("id").cast("double"))
 
 
@@ -255,12 +255,12 @@ def complete_grid(spark, d):
 
 @query
 def impute_median(spark, d):
-    return measures.impute_summary(co.summary(spark, d), id="id", measure="measure", measures=co.KEPT, how="median")
+    return measures.impute_summary(sinks.stage(co.summary(spark, d)), id="id", measure="measure", measures=co.KEPT, how="median")
 
 
 @query
 def impute_mean(spark, d):
-    return measures.impute_summary(co.summary(spark, d), id="id", measure="measure", measures=co.KEPT, how="mean")
+    return measures.impute_summary(sinks.stage(co.summary(spark, d)), id="id", measure="measure", measures=co.KEPT, how="mean")
 
 
 @query
@@ -765,3 +765,128 @@ def materialize(spark, d):
         raise AssertionError("finished output must be reused")
 
     return sinks.materialize(spark, rebuilt, root, config)
+
+
+# models ---------------------------------------------------------------------------------------------
+
+
+def model_table(spark, d):
+    """Numeric modelling table: entity covariates, standardised, with the event label."""
+    t = co.feature_table(spark, d, wide=False).select("id", "event", "acctbal", "study_end", "n_prior", "switch", "segment")
+    t = features.one_hot(t, ["segment"], levels={"segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]})
+    t = features.standardize(t.withColumn("n_prior", F.col("n_prior").cast("double")), ["acctbal", "study_end", "n_prior"])
+    t = sampling.split_assign(t, id="id", seed=fx.SEED, fractions=SPLIT)
+    columns = models.model_columns(t, ["id", "event", "split"])
+    return sinks.stage(models.assemble(t, columns, "event")), columns
+
+
+def fitted(spark, d, estimator):
+    t, columns = model_table(spark, d)
+    return t, columns, estimator.fit(t.filter("split = 'train'"))
+
+
+def test_metrics(t, model, name):
+    s = models.score(model, t.filter("split <> 'train'")).withColumn("model", F.lit(name))
+    s = metrics_cls.threshold_label(s, "score", "hard")
+    return metrics_cls.auroc_ap(s, ["model", "split"], "event", "score").join(metrics_cls.accuracy_f1(s, ["model", "split"], "event", "hard"), ["model", "split"])
+
+
+@query
+def formula_expand(spark, d):
+    t, columns = model_table(spark, d)
+    return t.select("id", F.lit(len(columns)).alias("n_columns"), F.lit(", ".join(columns)).alias("formula"))
+
+
+@query
+def forest_classifier(spark, d):
+    t, _, m = fitted(spark, d, models.forest(trees=20, depth=5))
+    return test_metrics(t, m, "forest")
+
+
+@query
+def boosted_classifier(spark, d):
+    t, _, m = fitted(spark, d, models.boosted(iterations=5))
+    return test_metrics(t, m, "boosted")
+
+
+@query
+def logistic_classifiers(spark, d):
+    t, _ = model_table(spark, d)
+    train = t.filter("split = 'train'")
+    parts = [test_metrics(t, models.logistic(p, 0.01, iterations=20).fit(train), p) for p in models.PENALTIES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def grid_search_cv(spark, d):
+    t, _ = model_table(spark, d)
+    est = models.logistic("ridge", 0.1, iterations=20)
+    m = models.tune(est, [{est.regParam: r} for r in (0.001, 0.1)], t.filter("split = 'train'"), id="id", seed=fx.SEED, folds=3)
+    return test_metrics(t, m, "tuned")
+
+
+@query
+def coefficient_importance(spark, d):
+    _, columns, m = fitted(spark, d, models.logistic("lasso", 0.02, iterations=30))
+    return models.coefficient_importance(spark, m, columns)
+
+
+@query
+def impurity_importance(spark, d):
+    _, columns, m = fitted(spark, d, models.forest(trees=20, depth=5))
+    return models.impurity_importance(spark, m, columns)
+
+
+@query
+def partial_dependence(spark, d):
+    t, columns, m = fitted(spark, d, models.forest(trees=10, depth=4))
+    return models.partial_dependence(m, t.filter("split = 'train'"), columns, "acctbal", points=20)
+
+
+@query
+def impute_forest(spark, d):
+    e = fx.spine(spark, d).join(fx.switch_times(spark, d), "id", "left").select("id", "acctbal", "study_end", "death", "switch_t")
+    return models.impute_forest(e, id="id", numeric=["death", "switch_t"], complete=["acctbal", "study_end"], sweeps=2, trees=5, depth=4)
+
+
+def hazard_rows(spark, d):
+    """Intervals with numeric covariates, staged for the iterative fits."""
+    i = co.survival_intervals(spark, d, with_measures=False).filter(F.col("end") > F.col("start"))
+    s = features.standardize(fx.spine(spark, d).select("id", "acctbal", "segment"), ["acctbal"])
+    s = s.select("id", "acctbal", F.when(F.col("segment") == "BUILDING", 1.0).otherwise(0.0).alias("building"))
+    return sinks.stage(i.withColumn("switched", F.when(F.col("treatment") == "switched", 1.0).otherwise(0.0)).join(s, "id"))
+
+
+COVARIATES = ["acctbal", "building", "switched"]
+
+
+@query
+def cox_fit(spark, d):
+    return cox.coefficient_table(spark, cox.cox_fit(hazard_rows(spark, d), COVARIATES))
+
+
+@query
+def cox_penalised(spark, d):
+    m = cox.cox_penalised(hazard_rows(spark, d), COVARIATES, id="id", alpha=1.0, lambdas=[0.1, 0.01, 0.001], seed=fx.SEED, folds=3)
+    return spark.createDataFrame([(c, float(b), float(abs(b))) for c, b in zip(m.covariates, m.beta)], "variable string, estimate double, importance double")
+
+
+@query
+def cox_predict(spark, d):
+    rows = hazard_rows(spark, d)
+    m = cox.cox_fit(rows, COVARIATES, ties="breslow")
+    return cox.cox_predict(m, rows, rows, TIMES, id="id", hot=fx.hot_ids(spark, d)).select("id", "start", "eval_t", "surv")
+
+
+@query
+def hazard_forest(spark, d):
+    rows = hazard_rows(spark, d)
+    m = models.hazard_forest(rows, COVARIATES, EDGES, trees=10, depth=4)
+    return models.hazard_survival(m, rows, COVARIATES, EDGES, id="id", hot=fx.hot_ids(spark, d))
+
+
+@query
+def permutation_importance(spark, d):
+    rows = hazard_rows(spark, d)
+    m = cox.cox_fit(rows, COVARIATES, ties="breslow")
+    return models.permutation_importance(rows, ["acctbal", "switched"], lambda df: df.withColumn("risk", m.linear_predictor()), key=["id", "start"], id="id", by=[], time="end", event="event", risk="risk", seed=fx.SEED, static=["acctbal"], replicates=3)
