@@ -133,14 +133,14 @@ def common_grid(df: DataFrame, by: Sequence[str], x: str, y: str, *, points: int
     x0, y0 = F.when(F.col("__nx").isNotNull(), F.col("x")).otherwise(F.col("__px")), F.when(F.col("__nx").isNotNull(), F.col("y")).otherwise(F.col("__py"))
     x1, y1 = F.coalesce("__nx", "x"), F.coalesce("__ny", "y")
     line = F.struct(x0.alias("x0"), y0.alias("y0"), F.try_divide(y1 - y0, x1 - x0).alias("slope"))
-    knots = seg.select(*by, F.col("x").alias("g"), line.alias("__k"), F.lit(-1).alias("__o"))
+    knots = seg.select(*by, F.col("x").alias("__g"), line.alias("__k"), F.lit(-1).alias("__o"))
     ends = grouped_quantiles(df, [], x, {"lo": lower, "hi": upper}).agg(F.first(F.struct("lo", "hi"))).scalar()
     grid = df.select(*by).distinct().withColumn("__e", ends).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("__e.lo") + (F.col("__e.hi") - F.col("__e.lo")) * F.col("__o") / F.lit(float(points - 1))
-    grid = grid.select(*by, at.alias("g"), F.lit(None).cast("struct<x0:double,y0:double,slope:double>").alias("__k"), "__o")
-    run = ordered_scan(knots.unionByName(grid), by, ["g", "__o"], fill={"__a": "__k"}, back_fill={"__b": "__k"}, hot=hot)
+    grid = grid.select(*by, at.alias("__g"), F.lit(None).cast("struct<x0:double,y0:double,slope:double>").alias("__k"), "__o")
+    run = ordered_scan(knots.unionByName(grid), by, ["__g", "__o"], fill={"__a": "__k"}, back_fill={"__b": "__k"}, hot=hot)
     k = F.coalesce("__a", "__b")
-    return run.filter("__o >= 0").select(*by, F.col("__o").alias("point"), F.col("g").alias("x"), (k["y0"] + k["slope"] * (F.col("g") - k["x0"])).alias("y"))
+    return run.filter("__o >= 0").select(*by, F.col("__o").alias("point"), F.col("__g").alias("x"), (k["y0"] + k["slope"] * (F.col("__g") - k["x0"])).alias("y"))
 
 
 def paired_differences(df: DataFrame, tags: Sequence[str], seed: str, method: str, value: str, reference: str) -> DataFrame:
