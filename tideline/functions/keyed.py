@@ -41,5 +41,6 @@ def poisson_cdf(rate: float = 1.0, tail: float = 1e-15) -> list[float]:
 def keyed_poisson(*parts: Column | str | int, rate: float = 1.0) -> Column:
     """Poisson draw by inverting the distribution function at a keyed uniform."""
     cdf = F.array(*[F.lit(c) for c in poisson_cdf(rate)])
-    u = keyed_uniform(*parts)
-    return F.size(F.filter(cdf, lambda c: c <= u)).cast("double")
+    # binding the draw to a lambda variable hashes once per row, not once per threshold
+    drawn = F.transform(F.array(keyed_uniform(*parts)), lambda u: F.size(F.filter(cdf, lambda c: c <= u)))
+    return drawn[0].cast("double")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_unless
+from ..sources.sinks import stage
 from .impute import column_fills
 from .ordered import hot_values, lookup, ordered_scan
 from .reshape import complete_grid, pivot_wide, unpivot_long
@@ -142,7 +143,8 @@ def baseline_measures(rows: DataFrame, entities: DataFrame, *, id: str, measure:
     at = F.when(F.col(t) <= 0, F.lit(0.0)).otherwise(F.col(t))
     means = rows.filter(F.col(measure).isin(kept)).groupBy(id, measure, at.alias("period")).agg(F.avg(value).alias("value"))
     observed = means.filter("period = 0").drop("period")
-    base = complete_grid(entities, id, measure, kept).join(observed, [id, measure], "left")
+    # one row per entity and measure, read for the fills and for the rows
+    base = stage(complete_grid(entities, id, measure, kept).join(observed, [id, measure], "left"))
     fills = column_fills(base, [measure], "value", how)
     # one row per listed measure
     base = base.join(F.broadcast(fills), measure, "left").select(id, measure, F.lit(0.0).alias("period"), F.coalesce("value", "fill").alias("value"))

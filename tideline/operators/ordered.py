@@ -100,7 +100,7 @@ def ordered_scan(
     fill, back_fill = fill or {}, back_fill or {}
     by, order = list(by), list(order)
     if hot is None:
-        hot = hot_values(df, by[0])
+        hot = hot_values(df, by[0]) if by else "all"
     cut_all = isinstance(hot, str)
     if cut_all and hot != "all":
         raise ValueError("hot must be a list of values, None or 'all'")

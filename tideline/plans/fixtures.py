@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucketize, day_offset
-from ..operators.ordered import HOT_FLOOR, HOT_SHARE, hot_values
+from ..operators.ordered import HOT_FLOOR, HOT_SHARE, hot_values, lookup
 from ..sources.tables import read_table
 
 ACCRUAL, FORECAST = 365.25, 180.0
@@ -69,6 +69,12 @@ def hot_users(spark: SparkSession, d: str) -> list:
     return [] if events.count() <= HOT_FLOOR else hot_values(events, "user_id")
 
 
+@cache
+def hot_orders(spark: SparkSession, d: str) -> list:
+    items = table(spark, d, "lineitem")
+    return [] if items.count() <= HOT_FLOOR else hot_values(items, "l_orderkey")
+
+
 def spine(spark: SparkSession, d: str) -> DataFrame:
     """Customers with at least one order, with their study end and death time."""
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -89,7 +95,7 @@ def acctbal_bucket():
 
 def orders_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Orders with their day offset from the customer's index."""
-    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id").join(index_dates(spark, d), "id")
+    o = lookup(table(spark, d, "orders").withColumnRenamed("o_custkey", "id"), index_dates(spark, d), ["id"], "inner", hot=hot_ids(spark, d))
     return o.select("id", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", day_offset("o_orderdate", "index_ts").alias("t"))
 
 
@@ -108,8 +114,9 @@ def switch_times(spark: SparkSession, d: str) -> DataFrame:
 
 def measures(spark: SparkSession, d: str) -> DataFrame:
     """Line items as measurements: six measures at shipping days, some before day 0."""
-    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id").join(index_dates(spark, d), "id").select("o_orderkey", "id", "index_ts")
-    li = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    o = lookup(table(spark, d, "orders").withColumnRenamed("o_custkey", "id"), index_dates(spark, d), ["id"], "inner", hot=hot_ids(spark, d))
+    o = o.select(F.col("o_orderkey").alias("l_orderkey"), "id", "index_ts")
+    li = lookup(table(spark, d, "lineitem"), o, ["l_orderkey"], "inner", hot=hot_orders(spark, d))
     return li.select(
         "id", F.concat("l_returnflag", "l_linestatus").alias("measure"), day_offset("l_shipdate", "index_ts").alias("t"),
         F.col("l_extendedprice").alias("value"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -120,7 +127,8 @@ def event_measures(spark: SparkSession, d: str) -> DataFrame:
     """The event stream as short-horizon measurements, days from the user's first event."""
     e = table(spark, d, "events")
     first = e.groupBy("user_id").agg(F.min("ts").alias("first_ts"))
-    return e.join(first, "user_id").select(F.col("user_id").alias("id"), F.col("event_type").alias("measure"), day_offset("ts", "first_ts").alias("t"), "value", "event_id")
+    e = lookup(e, first, ["user_id"], "inner", hot=hot_users(spark, d))
+    return e.select(F.col("user_id").alias("id"), F.col("event_type").alias("measure"), day_offset("ts", "first_ts").alias("t"), "value", "event_id")
 
 
 def scored_rows(spark: SparkSession, d: str) -> DataFrame:

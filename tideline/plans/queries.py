@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed, scalars
 from ..operators import cohort, cox, events, features, impute, intervals, measures, metrics_cls, metrics_surv, models, profile, reshape, results, sampling
+from ..operators.ordered import lookup
 from ..sources import sinks, tables
 from . import cohorts as co
 from . import fixtures as fx
@@ -211,7 +212,7 @@ def attrition(spark, d):
 
 @query
 def period_label(spark, d):
-    rows = fx.measures(spark, d).join(co.landmarked(spark, d).select("id", "landmark"), "id")
+    rows = lookup(fx.measures(spark, d), sinks.stage(co.landmarked(spark, d)).select("id", "landmark"), ["id"], "inner", hot=fx.hot_ids(spark, d))
     both = []
     for mode in measures.MODES:
         p = measures.period_label(rows, t="t", mode=mode, landmark="landmark", accrual=fx.ACCRUAL, forecast=fx.FORECAST)
