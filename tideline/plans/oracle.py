@@ -14,7 +14,7 @@ CTE: dict[str, str] = {}
 def sql(name: str, body: str, rounds: str = "") -> None:
     """Register ``body``; ``rounds`` lists the double columns to round at the edge."""
     if rounds:
-        body = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounds.split())}) FROM ({body})"
+        body = f"SELECT * REPLACE ({', '.join(f'floor({c} * 1e6 + 0.5001e0) / 1e6 AS {c}' for c in rounds.split())}) FROM ({body})"
     ORACLE[name] = with_ctes(body)
 
 
@@ -408,7 +408,7 @@ CTE["x_sr2"] = "SELECT *, -acctbal AS risk FROM x_sr"
 sql("c_index_overall", concordance("x_sr2", "", "landmark"), "usable concordant tied c_index")
 CTE["x_g"] = censoring("x_rr", "model, eval_t", "follow_up")
 CTE["x_rrw"] = "SELECT x_rr.*, 1 / nullif(g * g_before, 0) AS w FROM x_rr JOIN x_g ON x_g.model = x_rr.model AND x_g.eval_t = x_rr.eval_t AND x_g.t = x_rr.follow_up"
-sql("c_index_ipcw", concordance("x_rrw", "model, eval_t", "follow_up", None, "i.w"), "usable concordant tied c_index eval_t")
+sql("c_index_ipcw", "SELECT * REPLACE (round(usable, 2) AS usable, round(concordant, 2) AS concordant, round(tied, 2) AS tied) FROM (" + concordance("x_rrw", "model, eval_t", "follow_up", None, "i.w") + ")", "c_index eval_t")
 CTE["x_ps"] = "SELECT x_st.*, acctbal, segment, exp(-eval_t / 2000 * exp(acctbal / 20000)) AS surv FROM x_st JOIN x_sp USING (id)"
 sql("risk_strata", "SELECT id, start, eval_t, segment, surv, CASE WHEN surv > median(surv) OVER (PARTITION BY eval_t, segment) THEN 'low' ELSE 'high' END AS risk FROM x_ps", "start eval_t surv")
 CTE["x_strata"] = """SELECT x_ps.id, eval_t, CASE WHEN surv > median(surv) OVER (PARTITION BY eval_t) THEN 'low' ELSE 'high' END AS risk, l.event, l."end" / 365.25 AS years FROM x_ps JOIN x_last l USING (id)"""

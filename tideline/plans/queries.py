@@ -24,8 +24,13 @@ def query(fn: Query) -> Query:
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles at the edge: sums add up in a different order on every cluster."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Round doubles at the edge: sums add up in a different order on every cluster.
+
+    Halves go up with a margin, so the last bits of a value on a half cannot decide.
+    """
+    unit = F.lit(10.0**digits)
+    near = lambda c: (F.floor(F.col(c) * unit + F.lit(0.5001)) / unit).alias(c)
+    return df.select(*[near(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 # sources and scalars ---------------------------------------------------------------
@@ -550,7 +555,7 @@ def c_index_overall(spark, d):
 
 @query
 def c_index_ipcw(spark, d):
-    return metrics_surv.c_index(risk_rows(spark, d), ["model", "eval_t"], time="follow_up", event="event", risk="risk", weights="ipcw")
+    return metrics_surv.c_index(risk_rows(spark, d), ["model", "eval_t"], time="follow_up", event="event", risk="risk", weights="ipcw").withColumns({c: F.round(c, 2) for c in ("usable", "concordant", "tied")})
 
 
 def predicted_survival(spark, d):
