@@ -93,7 +93,7 @@ def entities(spark):
 def test_treatment_intervals(spark):
     out = intervals.treatment_intervals(entities(spark), id="id", forecast=20.0)
     got = rows(out.select("id", "treatment", "start", "end", "event"), "id", "start")
-    assert got == [(1, "originator", 0.0, 130.0, 1.0), (2, "originator", 0.0, 50.0, 0.0), (2, "switched", 50.0, 130.0, 1.0), (3, "originator", 0.0, 20.0, 0.0)]
+    assert got == [(1, "initial", 0.0, 130.0, 1.0), (2, "initial", 0.0, 50.0, 0.0), (2, "switched", 50.0, 130.0, 1.0), (3, "initial", 0.0, 20.0, 0.0)]
 
 
 def test_interval_build_invariants(spark):
@@ -108,7 +108,7 @@ def test_interval_build_invariants(spark):
         for rs in got.values():
             assert rs[0]["start"] == 0.0 and all(a["end"] == b["start"] for a, b in zip(rs, rs[1:]))
         assert [sum(r["event"] for r in rs) for rs in got.values()] == [1.0, 1.0, 0.0]
-        assert [r["treatment"] for r in got[2]] == ["originator"] * 2 + ["switched"] * 3
+        assert [r["treatment"] for r in got[2]] == ["initial"] * 2 + ["switched"] * 3
     with pytest.raises(ValueError):
         intervals.assert_intervals(spark.createDataFrame([(1.0, 1.0)], "start double, end double"))
 

@@ -26,7 +26,7 @@ def treatment_intervals(entities: DataFrame, *, id: str, forecast: float | None
     first_event = F.when(switched & (F.col("event_t") > F.col("switch_t")), F.lit(0.0)).otherwise(event)
     second = switched & (F.col("landmark") > F.col("switch_t"))
     first = F.struct(
-        F.lit("originator").alias("treatment"),
+        F.lit("initial").alias("treatment"),
         F.lit(0.0).alias("start"),
         F.when(switched, F.col("switch_t")).otherwise(F.col("landmark")).alias("end"),
         first_event.alias("event"),

@@ -131,7 +131,7 @@ def density_curve(df: DataFrame, by: Sequence[str], value: str, *, points: int =
     d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     q = grouped_quantiles(d, by, "v", {"q1": 0.25, "q3": 0.75})
-    stats = stats.join(q, by)
+    stats = lookup(stats, q, by, "inner", hot="all")
     spread = F.least("sd", F.when(F.col("q3") > F.col("q1"), (F.col("q3") - F.col("q1")) / 1.34))
     stats = stats.withColumn("h", 0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).filter("h > 0").select(*by, "n", "lo", "hi", "h")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(cells))

@@ -222,7 +222,7 @@ CTE["x_se"] = """SELECT s.id, segment, acctbal, balance, nation, region, study_e
     SELECT * REPLACE (CASE WHEN switch = 0 THEN NULL ELSE switch_t END AS switch_t) FROM (
       SELECT *, CASE WHEN switch_t <= landmark0 - 180 THEN 1e0 WHEN switch_t <= landmark0 THEN NULL ELSE 0e0 END AS switch FROM x_les))) s"""
 CTE["x_se2"] = "SELECT * REPLACE (landmark - 180 AS landmark) FROM x_se WHERE landmark - 180 > 0"
-CTE["x_ti"] = """SELECT id, landmark, 'originator' AS treatment, 0e0 AS start, CASE WHEN switch = 1 THEN switch_t ELSE landmark END AS "end",
+CTE["x_ti"] = """SELECT id, landmark, 'initial' AS treatment, 0e0 AS start, CASE WHEN switch = 1 THEN switch_t ELSE landmark END AS "end",
   CASE WHEN switch = 1 AND event_t > switch_t THEN 0e0 ELSE event::INT::DOUBLE END AS event FROM x_se2
   UNION ALL SELECT id, landmark, 'switched', switch_t, landmark, event::INT::DOUBLE FROM x_se2 WHERE switch = 1 AND landmark > switch_t"""
 sql("treatment_intervals", "SELECT * FROM x_ti", 'landmark start "end" event')
@@ -249,7 +249,7 @@ CTE["x_st"] = """SELECT i.* EXCLUDE (rn), eval_t FROM (SELECT *, row_number() OV
 sql("stitch_predictions", "SELECT *, exp(-eval_t / (2000 + start)) AS surv FROM x_st", 'landmark start "end" event eval_t surv')
 CTE["x_last"] = """SELECT * EXCLUDE (r) FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY "end" DESC) AS r FROM x_ti) WHERE r = 1"""
 sql("last_interval", "SELECT * FROM x_last", 'landmark start "end" event')
-sql("collapse_static", """SELECT id, segment, region, CASE WHEN bool_or(treatment = 'switched') THEN 'switched' ELSE 'originator' END AS treatment, max(event) AS event
+sql("collapse_static", """SELECT id, segment, region, CASE WHEN bool_or(treatment = 'switched') THEN 'switched' ELSE 'initial' END AS treatment, max(event) AS event
   FROM x_ti JOIN x_sp USING (id) GROUP BY 1, 2, 3""", "event")
 _E = [0.0, 365.25, 730.5, 1095.75, 1461.0, 2500.0]
 CTE["x_bins"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}e0, {b}e0)" for i, (a, b) in enumerate(zip(_E, _E[1:]))) + ") v(bin, lo, hi)"

@@ -357,7 +357,7 @@ def last_interval(spark, d):
 @query
 def collapse_static(spark, d):
     i = co.survival_intervals(spark, d, with_measures=False).join(fx.spine(spark, d).select("id", "segment", "region"), "id")
-    return intervals.collapse_static(i, id="id", statics=["segment", "region"], ever={"treatment": ("switched", "switched", "originator")}, maxima=["event"])
+    return intervals.collapse_static(i, id="id", statics=["segment", "region"], ever={"treatment": ("switched", "switched", "initial")}, maxima=["event"])
 
 
 EDGES = [0.0, 365.25, 730.5, 1095.75, 1461.0, 2500.0]
