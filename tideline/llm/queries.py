@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tideline.llm import secrets
+from tideline.llm import pii, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op3_personal_data": pii.op3,
 }
 
 ORACLE: dict[str, str] = {}
