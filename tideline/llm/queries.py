@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tideline.llm import pii, secrets
+from tideline.llm import mixing, pii, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_personal_data": pii.op3,
+    "op10_fair_mix": mixing.op10,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op10_fair_mix": mixing.ORACLE,
+}
