@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tideline.llm import mixing, pii, quality, secrets
+from tideline.llm import mixing, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_personal_data": pii.op3,
+    "op6_best_fit_packing": packing.op6,
     "op8_quality_rules": quality.op8,
     "op10_fair_mix": mixing.op10,
 }
