@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tideline.llm import mixing, packing, pii, quality, secrets
+from tideline.llm import mixing, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op2_warc": warc.op2,
     "op3_personal_data": pii.op3,
     "op6_best_fit_packing": packing.op6,
     "op8_quality_rules": quality.op8,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_warc": warc.ORACLE,
     "op10_fair_mix": mixing.ORACLE,
 }
