@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tideline.llm import mixing, packing, pii, quality, secrets, warc
+from tideline.llm import chat, mixing, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_warc": warc.op2,
     "op3_personal_data": pii.op3,
     "op6_best_fit_packing": packing.op6,
+    "op7_chat_format": chat.op7,
     "op8_quality_rules": quality.op8,
     "op10_fair_mix": mixing.op10,
 }
 
 ORACLE = {
     "op2_warc": warc.ORACLE,
+    "op7_chat_format": chat.ORACLE,
     "op10_fair_mix": mixing.ORACLE,
 }
