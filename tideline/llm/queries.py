@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, mixing, packing, pii, quality, secrets, warc
+from tideline.llm import chat, langid, mixing, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_warc": warc.op2,
     "op3_personal_data": pii.op3,
+    "op5_language_mixture": langid.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_chat_format": chat.op7,
     "op8_quality_rules": quality.op8,
