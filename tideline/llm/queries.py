@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, langid, mixing, packing, pii, quality, secrets, warc
+from tideline.llm import chat, langid, mixing, near, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6,
     "op7_chat_format": chat.op7,
     "op8_quality_rules": quality.op8,
+    "op9_ngram_jaccard_join": near.op9,
     "op10_fair_mix": mixing.op10,
 }
 
