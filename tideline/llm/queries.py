@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, langid, mixing, near, packing, pii, quality, secrets, warc
+from tideline.llm import chat, graph, langid, mixing, near, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_warc": warc.op2,
     "op3_personal_data": pii.op3,
+    "op4_nearest_neighbours": graph.op4,
     "op5_language_mixture": langid.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_chat_format": chat.op7,
