@@ -194,8 +194,8 @@ def probability(shape: Column, model: Model) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.9) -> DataFrame:
-    """``docs`` with ``found``: array of (rank, start, kind, end, score) by kind as listed, then start.
+def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.9, into: str = "found") -> DataFrame:
+    """``docs`` with the column ``into``: array of (rank, start, kind, end, score) by kind as listed, then start.
 
     Spans of the fixed rules always count; the others (kind ``number``) if the classifier
     gives at least ``threshold``. Null and empty texts give an empty array.
@@ -205,7 +205,7 @@ def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0
         candidates(F.coalesce(F.col(text), F.lit(""))),
         lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), F.get(kinds, c["rank"]).alias("kind"), c["end"].alias("end"), probability(c["shape"], model).alias("score")),
     )
-    return docs.withColumn("found", F.array_sort(F.filter(scored, lambda m: (m["rank"] < 4) | (m["score"] >= threshold))))
+    return docs.withColumn(into, F.array_sort(F.filter(scored, lambda m: (m["rank"] < 4) | (m["score"] >= threshold))))
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -214,7 +214,8 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Overlapping spans become one mark, that of the first. Texts without any, nulls
     included, stay as they are; so do all other columns.
     """
-    found = find(docs, model, text)
+    marks = "_private_spans"
+    found = find(docs, model, text, into=marks)
     column = F.col(text)
 
     def step(a: Column, m: Column) -> Column:
@@ -226,10 +227,10 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def close(a: Column) -> Column:
         return F.concat(F.array_join(a["parts"], ""), F.substring(column, a["at"].cast("int") + 1, F.length(column)))
 
-    by_start = F.array_sort(F.transform("found", lambda m: F.struct(m["start"], m["end"], m["kind"])))
+    by_start = F.array_sort(F.transform(F.col(marks), lambda m: F.struct(m["start"], m["end"], m["kind"])))
     nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     masked = F.aggregate(by_start, nothing, step, close)
-    return found.withColumn(text, F.when(F.size("found") > 0, masked).otherwise(column)).drop("found")
+    return found.withColumn(text, F.when(F.size(F.col(marks)) > 0, masked).otherwise(column)).drop(marks)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -79,15 +79,17 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the statistics of each document; a null text counts as empty."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = rows.select(*keep).schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{s} long" for s in STATS)])
+    """The statistics of each document beside ``row``, a struct of the columns ``keep``.
+
+    A null text counts as empty. Names in ``keep`` may be those of statistics.
+    """
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = ", ".join([f"row {rows.schema['row'].dataType.simpleString()}", *(f"{s} long" for s in STATS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([statistics(t) for t in batch.column(len(keep)).to_pylist()], np.int64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[:, i]) for i in range(len(STATS)))], names=[*keep, *STATS])
+            found = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(STATS)))], names=["row", *STATS])
 
     return rows.mapInArrow(run, out)
 
@@ -198,7 +200,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, id: str = "do
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    joined = stats.join(known, F.col(id) == F.col("_id")).select(*STATS, "_y")
+    joined = stats.join(known, F.col(f"row.{id}") == F.col("_id")).select(*STATS, "_y")
     # Repeated ids could bring back more rows than labels: the bound is taken again.
     rows = joined.orderBy(F.xxhash64(*STATS), *STATS).limit(sample).toPandas().to_numpy(np.float64).reshape(-1, len(STATS) + 1)
     return boost(features(rows[:, :-1]), rows[:, -1], list(FEATURES.values()))
@@ -226,4 +228,4 @@ def op8(spark, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     stats = stage(measure(documents(spark, sf_dir)))
     judged = judge(stats, fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

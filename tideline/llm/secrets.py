@@ -95,8 +95,8 @@ def log_ratio(text: Column, model: Sequence[float]) -> Column:
     return F.aggregate(_steps(text), F.lit(0.0), lambda a, s: a + F.get(table, s))
 
 
-def scan(docs: DataFrame, model: Sequence[float], text: str = "text", min_length: int = 16, odds: float = 1000.0) -> DataFrame:
-    """``docs`` with ``found``: array of (start, rank, kind, end, score) by start, then kind.
+def scan(docs: DataFrame, model: Sequence[float], text: str = "text", min_length: int = 16, odds: float = 1000.0, into: str = "found") -> DataFrame:
+    """``docs`` with the column ``into``: array of (start, rank, kind, end, score) by start, then kind.
 
     Fixed rules always count (null score). A string of at least ``min_length`` characters of
     the alphabet, one a letter, that touches none of them is added as ``random`` if its log
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, model: Sequence[float], text: str = "text", min_length
         fixed = F.transform(base, lambda m: mark(m, m["rank"], F.lit(None).cast("double")))
         return F.array_sort(F.concat(fixed, F.filter(scored, lambda c: c["score"] > math.log(odds))))
 
-    return docs.withColumn("found", let(base_spans(F.col(text)), all_of))
+    return docs.withColumn(into, let(base_spans(F.col(text)), all_of))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
