@@ -1,0 +1,144 @@
+"""Secrets and personal data against the rules written as plain Python."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import pii, secrets
+from tideline.llm.common import running, spans
+
+SECRETS = [
+    ("assign", r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 8),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+]
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()]
+    return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0
+
+
+PRIVATE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: luhn(m[0])),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= sum(c.isdigit() for c in m[0]) <= 15),
+]
+
+
+def marks(text, rules, by_kind):
+    found = [(m.start(), k, m.end(), name) for k, (name, p, keep) in enumerate(rules) for m in re.finditer(p, text or "") if keep(m)]
+    found.sort(key=lambda x: (x[1], x[0]) if by_kind else (x[0], x[1]))
+    return ",".join(f"{n}:{a}:{e}" for a, _, e, n in found)
+
+
+def fuzz(alphabet, n=400, seed=3):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def many(spark, texts):
+    rows = [*texts, *fuzz("0123456789 -.+()a@b"), *fuzz("ab@.-+_ c"), *fuzz(["token", "=", ":", " ", "'", '"', "abcd", "AKIA", "X9", "0f", "😀"])]
+    return rows, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+
+
+def test_secret_rules(many):
+    rows, df = many
+    got = secrets.scan(df, [0.0] * ((secrets.WIDTH + 1) * secrets.WIDTH)).select("doc_id", "found").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert ",".join(f"{m.kind}:{m.start}:{m.end}" for m in r.found) == marks(rows[r.doc_id], SECRETS, False)
+
+
+def test_private_rules(many):
+    rows, df = many
+    model = pii.Model(0.5, {}, -50.0, {k: [0.0] * n for k, n in pii.SHAPE.items()})
+    got = pii.find(df, model).select("doc_id", "found").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert ",".join(f"{m.kind}:{m.start}:{m.end}" for m in r.found) == marks(rows[r.doc_id], PRIVATE, True), rows[r.doc_id]
+
+
+def test_characters_tell_random_strings_from_identifiers(spark):
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    name = lambda: "_".join(rng.choices(["get", "value", "index", "count", "reader", "table", "from", "column"], k=5))
+    strings = spark.createDataFrame([(key(), 1, 1) for _ in range(300)] + [(name(), 0, 1) for _ in range(300)], "text string, label int, n long")
+    model = secrets.train(strings)
+    new = [(i, f"see {key() if i % 2 else name()} there") for i in range(200)]
+    found = {r.doc_id: r.found for r in secrets.scan(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    assert not any(found[i] for i in range(0, 200, 2))
+    assert sum(bool(found[i]) for i in range(1, 200, 2)) >= 90
+    assert all(m.kind == "random" and m.end - m.start >= 16 for f in found.values() for m in f)
+
+
+def test_labelled_strings_and_empty_tables(docs, nothing):
+    strings = {(r.text, r.label) for r in secrets.labelled_strings(docs).collect()}
+    assert ("abcdefgh", 1) in strings and ("0123456789abcdef" * 3, 1) in strings and any(y == 0 for _, y in strings)
+    model = secrets.train(secrets.labelled_strings(nothing))
+    assert secrets.scan(nothing, model).count() == 0
+    assert pii.find(nothing, pii.fit(nothing)).count() == 0
+    assert secrets.scan(docs, model, into="marks").where("found = 'f'").count() == docs.count()
+
+
+def test_votes_learn_which_labeler_lies():
+    rng = random.Random(2)
+    cells = {}
+    for _ in range(4000):
+        private = rng.random() < 0.4
+        vote = lambda right: "+" if private == (rng.random() < right) else "-"  # noqa: E731, B023
+        votes = vote(0.95) + vote(0.85) + rng.choice("+-") + vote(0.8).replace("-", "0") + vote(0.7) + "0"
+        cells[votes] = cells.get(votes, 0) + 1
+    prior, tables = pii.expectation_maximisation(sorted(cells.items()))
+    assert abs(prior - 0.4) < 0.08
+    assert tables[0][0]["+"] > 0.85 > 0.3 > tables[0][1]["+"]
+    assert abs(tables[2][0]["+"] - tables[2][1]["+"]) < 0.1
+
+
+def test_classifier_finds_what_the_rules_miss(spark):
+    rng = random.Random(4)
+    phone = lambda p: f"{p}{rng.randint(201, 989)}-{rng.randint(201, 989)}-{rng.randint(1000, 9999)}"
+    rows = [(i, f"Please call {phone('+1 ')} or phone {phone('')} today" if i % 2 else f"total = {rng.randint(10**8, 10**9)} on page {rng.randint(10**7, 10**8)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [m.kind for m in r.found] for r in pii.find(df, pii.fit(df)).collect()}
+    assert sum("number" in found[i] for i in range(1, 200, 2)) > 90
+    assert not any(found[i] for i in range(0, 200, 2))
+
+
+def test_redaction(spark, docs):
+    model = pii.Model(0.5, {}, -50.0, {k: [0.0] * n for k, n in pii.SHAPE.items()})
+    out = pii.redact(docs, model)
+    assert out.columns == docs.columns and out.count() == docs.count() and out.where("found <> 'f'").count() == 0
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert text[0] is None and text[1] == "" and text[6] == "😀 [EMAIL] 😀"
+    assert text[13].startswith("[PHONE] +1 +12 [PHONE] x")
+    cards = docs.sparkSession.createDataFrame([(1, "4111 1111 1111 1111, 4111-1111-1111-1112, 4111111111111111.")], "doc_id long, text string")
+    assert pii.redact(cards, model).first().text == "[CARD], 4111-1111-1111-1112, [CARD]."
+
+
+def test_places_of_many_matches(spark):
+    text = "ab1" * 3000 + "😀7"
+    got = spark.createDataFrame([(text,)], "t string").select(spans(F.col("t"), "[0-9]").alias("s")).first().s
+    assert [(m.start, m.end) for m in got] == [(m.start(), m.end()) for m in re.finditer("[0-9]", text)]
+    sums = spark.range(1).select(running(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: x.cast("long"))).alias("r")).first().r
+    assert sums == [i * (i + 1) // 2 for i in range(1000)]
+
+
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op3_personal_data"])
+def test_queries(spark, sf, name):
+    from tideline.llm.queries import QUERIES
+
+    rules, by_kind = (SECRETS, False) if name.startswith("op1") else (PRIVATE, True)
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES[name](spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        want = marks(text[r.doc_id], rules, by_kind)
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+        assert [r[f"n_{k}"] for k, _, _ in rules] == [sum(x.startswith(f"{k}:") for x in want.split(",")) for k, _, _ in rules]
