@@ -23,7 +23,7 @@ def duck(d: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 6) + 0.0
     return v
 
 

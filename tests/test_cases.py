@@ -201,7 +201,7 @@ def test_paired_tests(spark):
 
 def test_features(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("b", None, 3.0), ("c", "x", 5.0)], "p string, q string, v double")
-    out = features.one_hot(df, ["p", "q"], missing="0")
+    out = features.one_hot(df, ["p", "q"], levels={"p": ["a", "b", "c"], "q": ["0", "x"]}, missing="0")
     assert out.columns == ["v", "p_a", "p_b", "p_c", "q_x"]
     z = [r["v"] for r in features.standardize(df, ["v"]).orderBy("v").collect()]
     assert z == [pytest.approx(-1.5**0.5), 0.0, pytest.approx(1.5**0.5)]

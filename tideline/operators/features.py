@@ -7,30 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 1000
+from .ordered import ordered_scan
 
 
-def discover_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column (runs one job; refuses unbounded columns)."""
-    pairs = df.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))).alias("k", "v"))
-    found = pairs.filter("v is not null").distinct().limit(MAX_LEVELS * len(columns) + 1).collect()
-    out = {c: sorted(r["v"] for r in found if r["k"] == c) for c in columns}
-    if len(found) > MAX_LEVELS * len(columns):
-        raise ValueError("too many distinct values for indicator columns; pass levels explicitly")
-    return out
 
+def level_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, level, index): the distinct values of each column, numbered from 0 in sorted order.
 
-def one_hot(df: DataFrame, columns: Sequence[str], *, levels: dict[str, list[str]] | None = None, drop: str = "binary", missing: str | None = None) -> DataFrame:
+    A table, not a list: any number of levels.
+    """
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])))
+    seen = pairs.filter("level is not null").distinct().withColumn("__o", F.conv(F.rpad(F.substring(F.hex("level"), 1, 12), 12, "0"), 16, 10).cast("double"))
+    # the leading bytes order nearly all levels, the level itself the rest
+    numbered = ordered_scan(seen, ["column"], ["__o", "level"], number="index", hot="all")
+    return numbered.select("column", "level", (F.col("index") - 1).alias("index"))
+
+
+def one_hot_sparse(df: DataFrame, keys: Sequence[str], columns: Sequence[str], missing: str | None = None) -> DataFrame:
+    """Indicators in long form: (keys, column, index) for each value that is set, index as in ``level_table``."""
+    value = lambda c: F.col(c).cast("string") if missing is None else F.coalesce(F.col(c).cast("string"), F.lit(missing))
+    filled = df.select(*keys, *[value(c).alias(f"__v_{c}") for c in columns])
+    long = filled.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__v_{c}").alias("level")) for c in columns])))
+    levels = level_table(filled.select(*[F.col(f"__v_{c}").alias(c) for c in columns]), columns)
+    return long.filter("level is not null").join(levels, ["column", "level"]).select(*keys, "column", "level", "index")
+
+
+def one_hot(df: DataFrame, columns: Sequence[str], *, levels: dict[str, list[str]], drop: str = "binary", missing: str | None = None) -> DataFrame:
     """Indicator columns ``{column}_{level}`` replacing the originals.
 
     ``drop="binary"`` leaves out the first level only of two-level columns, ``"first"`` of
     all (full rank), ``"none"`` of none.  ``missing`` names the level standing for NULL.
+    The levels become columns, so they are listed; for open-ended ones see ``one_hot_sparse``.
     """
     if drop not in ("binary", "first", "none"):
         raise ValueError("drop must be 'binary', 'first' or 'none'")
     if missing is not None:
         df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns})
-    levels = levels or discover_levels(df, columns)
     out = [F.col(c) for c in df.columns if c not in set(columns)]
     for c in columns:
         names = levels[c]

@@ -147,14 +147,9 @@ def person_period(df: DataFrame, *, start: str, end: str, event: str, edges: Seq
     return rows.withColumn("y", F.when(happened, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def eval_times(df: DataFrame, *, time: str, event: str, extra: Sequence[float] = (), at_most: int | None = None) -> DataFrame:
-    """Distinct event times together with fixed ones, optionally thinned evenly by rank."""
+def eval_times(df: DataFrame, *, time: str, event: str, extra: Sequence[float] = ()) -> DataFrame:
+    """Distinct event times together with fixed ones."""
     seen = df.filter(F.col(event) > 0).select(F.col(time).cast("double").alias("t"))
     if extra:
         seen = seen.unionByName(df.sparkSession.createDataFrame([(float(x),) for x in extra], "t double"))
-    seen = seen.filter(F.col("t").isNotNull()).distinct()
-    if at_most is None:
-        return seen
-    ranked = ordered_scan(seen, [], ["t"], number="__i", totals={"__n": ("count", "t")}, hot="all")
-    step = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(at_most)))
-    return ranked.filter((F.col("__i") - 1) % step == 0).select("t")
+    return seen.filter(F.col("t").isNotNull()).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_poisson
+from ..sources.sinks import stage
 from .ordered import lookup, ordered_scan
 from .quantiles import grouped_quantiles
 
@@ -21,11 +22,16 @@ def threshold_label(df: DataFrame, score: str, name: str = "label", cut: float =
     return df.withColumn(name, F.when(F.col(score) > cut, 1.0).otherwise(0.0))
 
 
+def scored(df: DataFrame, score: str) -> DataFrame:
+    """Rows with a score: NULL and NaN ones rank nowhere and leave every metric."""
+    return df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def score_counts(df: DataFrame, by: Sequence[str], y: str, score: str, weight: str | None = None) -> DataFrame:
     """Positives and negatives per distinct score."""
     w = F.lit(1.0) if weight is None else F.col(weight)
     hit = F.col(y).cast("double") == 1.0
-    return df.groupBy(*by, F.col(score).alias("score")).agg(
+    return scored(df, score).groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.when(hit, w).otherwise(0.0)).alias("pos"), F.sum(F.when(hit, 0.0).otherwise(w)).alias("neg")
     )
 
@@ -96,6 +102,7 @@ def best_cutoff(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFra
 
 def calibration_bins(df: DataFrame, by: Sequence[str], y: str, score: str, lower: float = 0.33, upper: float = 0.66) -> DataFrame:
     """Observed and predicted positives in three score groups cut at two quantiles."""
+    df = scored(df, score)
     q = grouped_quantiles(df, by, score, {"q1": lower, "q2": upper})
     hit = F.col(y).cast("double") == 1.0
     counts = df.groupBy(*by, F.col(score).alias("score")).agg(F.count("*").alias("n"), F.count_if(hit).alias("pos"))
@@ -111,7 +118,7 @@ def decision_curve(df: DataFrame, by: Sequence[str], y: str, score: str, steps:
     per group, before running counts are formed; rows are never multiplied.
     """
     grid = F.array(*[F.lit(i / steps) for i in range(steps)])
-    reached = df.withColumn("__k", F.size(F.filter(grid, lambda t: t <= F.col(score))))
+    reached = scored(df, score).withColumn("__k", F.size(F.filter(grid, lambda t: t <= F.col(score))))
     hit = F.col(y).cast("double") == 1.0
     counts = reached.groupBy(*by, "__k").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     # one bounded map per group: {thresholds reached -> counts}
@@ -133,7 +140,7 @@ def decision_curve(df: DataFrame, by: Sequence[str], y: str, score: str, steps:
 
 
 def bootstrap_metric(df: DataFrame, by: Sequence[str], y: str, score: str, *, key: Sequence[str], seed, replicates: int = 100) -> DataFrame:
-    """AUROC and average precision per bootstrap replicate.
+    """AUROC, average precision, accuracy and F1 (cut at 0.5) per bootstrap replicate.
 
     Each (row, replicate) gets a Poisson(1) weight keyed by the row, the usual stand-in for
     drawing n of n with replacement; it needs no global row count and no row exchange.
@@ -141,4 +148,10 @@ def bootstrap_metric(df: DataFrame, by: Sequence[str], y: str, score: str, *, ke
     """
     reps = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     weighted = reps.withColumn("__w", keyed_poisson(seed, "bootstrap", F.col("replicate"), *[F.col(k) for k in key])).filter("__w > 0")
-    return auroc_ap(weighted, [*by, "replicate"], y, score, "__w")
+    weighted = stage(score_counts(weighted, [*by, "replicate"], y, score, "__w"))  # read twice below
+    sides = F.inline(F.array(F.struct(F.lit(1.0).alias("__y"), F.col("pos").alias("__w")), F.struct(F.lit(0.0).alias("__y"), F.col("neg").alias("__w"))))
+    rows = threshold_label(weighted.select(*by, "replicate", "score", sides), "score", "__hard").filter("__w > 0")
+    keys = [*by, "replicate"]
+    ranked = auroc_ap(rows, keys, "__y", "score", "__w").withColumn("__k", F.struct(*keys))
+    hard = accuracy_f1(rows, keys, "__y", "__hard", "__w").select(F.struct(*keys).alias("__k"), "accuracy", "f1")
+    return ranked.join(hard, "__k").drop("__k")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -52,11 +52,15 @@ def logistic(penalty: str = "none", strength: float = 0.0, mix: float | None = N
     return LogisticRegression(regParam=used * strength, elasticNetParam=default_mix if mix is None else mix, standardization=False, maxIter=iterations)
 
 
-def tune(estimator, grid: list[dict], df: DataFrame, *, id: str, seed, folds: int = 5, parallelism: int = 4) -> CrossValidatorModel:
-    """Grid search with folds keyed by entity, refitted at the best setting."""
+def tune(estimator, grid: list[dict], df: DataFrame, *, id: str, seed, folds: int = 5, parallelism: int = 4, metric: str = "accuracy") -> CrossValidatorModel:
+    """Grid search with folds keyed by entity, refitted at the best setting.
+
+    ``metric``: accuracy (the default), f1, areaUnderROC or areaUnderPR.
+    """
+    judge = BinaryClassificationEvaluator(metricName=metric) if metric.startswith("area") else MulticlassClassificationEvaluator(metricName=metric)
     keyed = df.withColumn("fold", F.floor(keyed_uniform(seed, "fold", F.col(id)) * folds).cast("int"))
     cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol="fold", parallelism=parallelism
+        estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism
     )
     return cv.fit(keyed)
 
@@ -147,7 +151,7 @@ def hazard_survival(model: Model, test: DataFrame, covariates: Sequence[str], ed
 
 
 def impute_forest(
-    df: DataFrame, *, id: str, numeric: Sequence[str], complete: Sequence[str], sweeps: int = 3, trees: int = 20, depth: int = 8, seed: int = 0
+    df: DataFrame, *, id: str, numeric: Sequence[str], complete: Sequence[str], sweeps: int = 5, trees: int = 100, depth: int = 8, seed: int = 0
 ) -> DataFrame:
     """Chained forest imputation of numeric columns.
 

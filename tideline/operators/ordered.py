@@ -4,14 +4,16 @@ A plain ``Window.partitionBy(key)`` sends all rows of a key to one task; if one
 a third of the table that task holds a third of the table.  :func:`ordered_scan` gives the
 same answers with every group cut into chunks along its own order:
 
-1. rows get a chunk number, a function of the leading order value alone, so a chunk is a
-   contiguous stretch of the order and inexact cut points change balance, never results;
+1. rows get a chunk number, a function of the leading order value and, where many rows
+   share one such value, of the next order value too; a chunk is a contiguous stretch of
+   the order, so inexact cut points change balance, never results;
 2. ordinary windows run inside ``(group, chunk)``;
 3. one summary row per chunk is carried across the chunks of its group (a tiny window)
    and joined back on ``(group, chunk)``, the partitioning the rows already have.
 
 Cut points are pooled over all rows being cut, so no ``(group, chunk)`` holds more than
-about ``rows / buckets`` rows, whatever the sizes of the groups.  Groups by entity are cut
+about ``rows / buckets`` rows, whatever the sizes of the groups, unless more rows than that
+agree in the first two order values.  Groups by entity are cut
 only for entities found to be large; when there are none the plan is a plain window.
 A table that is cut is staged first, so whatever produced it runs once.
 """
@@ -23,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.sinks import stage
 
@@ -58,7 +61,9 @@ def cut_points(df: DataFrame, value: Column | str, buckets: int) -> Column:
     cuts = F.percentile_approx(value.cast("double"), [i / n for i in range(1, n)], max(1000, 20 * n))
     coarse = F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.element_at("c", (i * side).cast("int")))
     fine = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("c", i * side + 1, F.lit(side - 1)))
-    return df.agg(cuts.alias("c")).select(F.struct(coarse.alias("coarse"), fine.alias("fine"), F.lit(side).alias("side"))).scalar()
+    # a value that is two cut points holds more rows than one chunk should
+    heavy = F.array_distinct(F.filter("c", lambda x, i: (i > 0) & (x == F.get("c", i - 1))))
+    return df.agg(cuts.alias("c")).select(F.struct(coarse.alias("coarse"), fine.alias("fine"), F.lit(side).alias("side"), heavy.alias("heavy"))).scalar()
 
 
 def bucket_of(value: Column, cuts: Column) -> Column:
@@ -94,7 +99,7 @@ def ordered_scan(
 
     ``order[0]`` must be numeric.  ``hot`` lists the values of ``by[0]`` whose groups are
     cut (``None``: found by :func:`hot_values`); ``hot="all"`` cuts every group, for the
-    few-and-huge groups of metric curves, whose ``by`` columns must not be NULL.
+    few-and-huge groups of metric curves, whose ``by`` columns may be NULL: that is a group.
     """
     sums, totals, lag, lead = sums or {}, totals or {}, lag or {}, lead or {}
     fill, back_fill = fill or {}, back_fill or {}
@@ -110,12 +115,22 @@ def ordered_scan(
     else:
         df = stage(df)  # read three times below: cut points, chunk summaries, rows
         cut_rows = df if cut_all else df.filter(F.col(by[0]).isin(list(hot)))
-        cuts = cut_points(cut_rows, order[0], buckets or default_buckets(df.sparkSession))
-        at = bucket_of(F.col(order[0]).cast("double"), F.col("__cuts"))
+        n = buckets or default_buckets(df.sparkSession)
+        rows = df.withColumn("__cuts", cut_points(cut_rows, order[0], n))
+        lead_value = F.col(order[0]).cast("double")
+        at = bucket_of(lead_value, F.col("__cuts")).cast("long")
+        if len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.NumericType):
+            # rows of a heavy leading value come before the others of its chunk, cut by the next value
+            rows = rows.withColumn("__next", cut_points(cut_rows, order[1], n))
+            heavy = F.array_contains(F.col("__cuts.heavy"), lead_value)
+            part = F.when(heavy, bucket_of(F.col(order[1]).cast("double"), F.col("__next"))).otherwise(F.lit(2 * n + 16))
+            at = at * F.lit(2 * n + 17) + F.coalesce(part, F.lit(0))
         at = -at if descending else at
         at = at if cut_all else F.when(F.col(by[0]).isin(list(hot)), at).otherwise(0)
-        rows = df.withColumn("__cuts", cuts).withColumn("__c", at).drop("__cuts")
-        chunk = [F.col(b) for b in by] + [F.col("__c")]
+        rows = rows.withColumn("__c", at).drop("__cuts", "__next")
+        if cut_all and by:  # one key that is never NULL, so that NULL groups find their carried row
+            rows = rows.withColumn("__key", F.struct(*by))
+        chunk = ([F.col("__key")] if cut_all and by else [F.col(b) for b in by]) + [F.col("__c")]
 
     # inside a group, or inside a chunk of it
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
@@ -147,10 +162,11 @@ def ordered_scan(
     aggs += [last_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__f_{o}") for o, c in fill.items()]
     aggs += [first_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__b_{o}") for o, c in back_fill.items()]
     summed = rows if cut_all else rows.filter(F.col(by[0]).isin(list(hot)))
-    chunks = summed.groupBy(*by, "__c").agg(*aggs)
+    keys_out = ["__key"] if cut_all and by else by
+    chunks = summed.groupBy(*keys_out, "__c").agg(*aggs)
 
-    # carried across the chunks of a group: at most `buckets` rows per group
-    group = [F.col(b) for b in by] or [F.lit(0)]
+    # carried across the chunks of a group: one row per chunk
+    group = [F.col(b) for b in keys_out] or [F.lit(0)]
     before = W.partitionBy(*group).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy(*group).orderBy("__c").rowsBetween(1, W.unboundedFollowing)
     step = W.partitionBy(*group).orderBy("__c")
@@ -163,7 +179,7 @@ def ordered_scan(
     carried += [F.lead(f"__d_{o}").over(step).alias(f"__d_{o}") for o in lead]
     carried += [F.last(f"__f_{o}", ignorenulls=True).over(before).alias(f"__f_{o}") for o in fill]
     carried += [F.first(f"__b_{o}", ignorenulls=True).over(after).alias(f"__b_{o}") for o in back_fill]
-    carry = chunks.select(*by, "__c", *carried)
+    carry = chunks.select(*keys_out, "__c", *carried)
 
     helpers = {}
     if lag or lead:
@@ -172,8 +188,9 @@ def ordered_scan(
         helpers["__h_size"] = F.count("*").over(all_)
     if cut_all:  # group totals come with the carried row
         pieces = {o: e for o, e in pieces.items() if o not in totals}
-    out = rows.select(*own, "__c", *[e.alias(f"__l_{o}") for o, e in pieces.items()], *[e.alias(h) for h, e in helpers.items()])
-    out = out.join(carry, [*by, "__c"], "left")
+    extra = ["__key"] if cut_all and by else []
+    out = rows.select(*own, *extra, "__c", *[e.alias(f"__l_{o}") for o, e in pieces.items()], *[e.alias(h) for h, e in helpers.items()])
+    out = out.join(carry, [*keys_out, "__c"], "left")
 
     def here(o):
         return F.col(f"__l_{o}")
@@ -207,7 +224,8 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
 
     ``hot`` lists hot values of ``on[0]`` (``None``: found by :func:`hot_values`, so at most
     ``salts / HOT_SHARE`` rows are added); ``hot="all"`` spreads every key, for tables with
-    one row per group.  With no hot key this is a plain join.
+    one row per group, and matches NULL keys to each other, since they are a group.  With no
+    hot key this is a plain join.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup supports left and inner joins")
@@ -222,4 +240,9 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
         is_hot = F.col(on[0]).isin(list(hot))
         spread, copies = F.when(is_hot, spread).otherwise(0), F.when(is_hot, copies).otherwise(F.array(F.lit(0)))
     left, right = rows.withColumn("__salt", spread), table.withColumn("__salt", F.explode(copies))
+    if hot == "all":
+        key = F.struct(*on).alias("__on")
+        return left.select("*", key).join(right.select(key, "__salt", *[c for c in table.columns if c not in on]), ["__on", "__salt"], how).select(
+            *rows.columns, *[c for c in table.columns if c not in on]
+        )
     return left.join(right, [*on, "__salt"], how).drop("__salt")

@@ -199,15 +199,16 @@ def paired_diff_tests(diffs: DataFrame, by: Sequence[str], diff: str, key: str,
     """
     by = list(by)
     d = diffs.filter(F.col(diff).isNotNull())
-    stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"), F.stddev_samp(diff).alias("sd_diff"), F.sum(diff).alias("__obs"))
+    stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"), F.stddev_samp(diff).alias("sd_diff"), F.sum(diff).alias("__obs"), F.sum(F.abs(diff)).alias("__size"))
     flips = d.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     sums = flips.groupBy(*by, "__rep").agg(F.sum(F.col(diff) * keyed_sign(seed, "flip", F.col("__rep"), F.col(key))).alias("__s"))
-    obs = stats.select(*by, "__obs")
-    perm = sums.join(obs, by).groupBy(*by).agg(F.avg((F.col("__s") > F.col("__obs") + 1e-9).cast("double")).alias("perm_pval"))
+    # equal sums differ in their last bits: the margin is relative to the size of the terms
+    obs = stats.select(*by, (F.col("__obs") + F.col("__size") * 1e-12).alias("__obs"))
+    perm = sums.join(obs, by).groupBy(*by).agg(F.avg((F.col("__s") > F.col("__obs")).cast("double")).alias("perm_pval"))
     ranked = average_rank(d.filter(F.col(diff) != 0).withColumn("__abs", F.round(F.abs(diff), 12)), by, "__abs", "__r", descending=False)
     tied = ranked.groupBy(*by, "__abs").agg(F.count("*").alias("__k"), F.sum(F.when(F.col(diff) > 0, F.col("__r")).otherwise(0.0)).alias("__v"))
     signed = tied.groupBy(*by).agg(F.sum("__k").alias("n_rank"), F.sum("__v").alias("signed_rank"), F.sum(F.pow(F.col("__k").cast("double"), F.lit(3.0)) - F.col("__k")).alias("__ties"))
-    out = stats.join(perm, by, "left").join(signed, by, "left").drop("__obs")
+    out = stats.join(perm, by, "left").join(signed, by, "left").drop("__obs", "__size")
     out = out.withColumn("t_stat", F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt("n")))
     out = out.withColumn("stars", significance_stars("perm_pval"))
     if p_values:

@@ -78,8 +78,9 @@ def survival_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, d: str, how: str = "mean") -> DataFrame:
+    rows = measures.transform(fx.measures(spark, d), measure="measure", value="value", untouched=["NO"])
     return measures.baseline_measures(
-        fx.measures(spark, d), fx.spine(spark, d), id="id", measure="measure", t="t", value="value", measures=fx.MEASURES, how=how, dropped=["RO"]
+        rows, fx.spine(spark, d), id="id", measure="measure", t="t", value="value", measures=fx.MEASURES, how=how, dropped=["RO"]
     )
 
 

@@ -14,7 +14,7 @@ CTE: dict[str, str] = {}
 def sql(name: str, body: str, rounds: str = "") -> None:
     """Register ``body``; ``rounds`` lists the double columns to round at the edge."""
     if rounds:
-        body = f"SELECT * REPLACE ({', '.join(f'floor({c} * 1e6 + 0.5001e0) / 1e6 AS {c}' for c in rounds.split())}) FROM ({body})"
+        body = f"SELECT * REPLACE ({', '.join(f'CASE WHEN abs({c}) < 9007199254.740992e0 THEN floor({c} * 1e6 + 0.5001e0) / 1e6 ELSE {c} END AS {c}' for c in rounds.split())}) FROM ({body})"
     ORACLE[name] = with_ctes(body)
 
 
@@ -199,8 +199,8 @@ sql("impute_columns", """SELECT id, acctbal, coalesce(death, avg(death) OVER ())
 def baseline(how: str) -> str:
     return f"""SELECT id, measure, 0e0 AS period, coalesce(value, {how}(value) OVER (PARTITION BY measure)) AS value FROM (
       SELECT g.id, g.measure, value FROM (SELECT id, measure FROM x_sp, (VALUES ('AF'), ('AO'), ('NF'), ('NO'), ('RF')) v(measure)) g
-      LEFT JOIN (SELECT id, measure, avg(value) AS value FROM x_m WHERE t <= 0 GROUP BY 1, 2) USING (id, measure))
-      UNION ALL SELECT id, measure, t, avg(value) FROM x_m WHERE t > 0 AND measure <> 'RO' GROUP BY 1, 2, 3"""
+      LEFT JOIN (SELECT id, measure, avg(value) AS value FROM x_ml WHERE t <= 0 GROUP BY 1, 2) USING (id, measure))
+      UNION ALL SELECT id, measure, t, avg(value) FROM x_ml WHERE t > 0 AND measure <> 'RO' GROUP BY 1, 2, 3"""
 
 
 CTE["x_bm"] = baseline("avg")
@@ -256,7 +256,6 @@ CTE["x_bins"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}e0, {b}e0)" for
 sql("person_period", """SELECT x_ti.*, bin, lo, hi, CASE WHEN event > 0 AND "end" > lo AND "end" <= hi THEN 1e0 ELSE 0e0 END AS y FROM x_ti JOIN x_bins ON start < hi AND "end" > lo""", 'landmark start "end" event lo hi')
 CTE["x_et"] = """SELECT DISTINCT t FROM (SELECT "end" AS t FROM x_ti WHERE event > 0 UNION ALL SELECT eval_t FROM x_t)"""
 sql("eval_times", "SELECT t FROM x_et", "t")
-sql("eval_times_thinned", "SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n FROM x_et) WHERE (i - 1) % greatest(1, ceil(n / 50))::BIGINT = 0", "t")
 
 # sampling and features
 sql("keyed_uniform", f"SELECT id, seed, {uniform('seed', 'draw', 'id')} AS u, CASE WHEN {uniform('seed', 'sign', 'id')} < 0.5 THEN 1e0 ELSE -1e0 END AS sign FROM x_sp, (SELECT unnest([1, 2, 3, 4, 5])::INT AS seed)", "u sign")
@@ -286,6 +285,11 @@ def ones(col: str, levels: list[str], expr: str | None = None) -> str:
 _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 _BAL = ["debt", "high", "low", "mid"]
 sql("one_hot", f"SELECT id, {ones('segment', _SEG)}, {ones('balance', _BAL)}, CASE WHEN death IS NULL THEN 1e0 ELSE 0e0 END AS vital_none FROM x_sp")
+sql("one_hot_sparse", """SELECT l_orderkey, "column", level, index FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY "column" ORDER BY level)::BIGINT - 1 AS index FROM (
+    SELECT l_orderkey, 'supplier' AS "column", min(l_suppkey)::VARCHAR AS level FROM lineitem GROUP BY l_orderkey
+    UNION ALL SELECT l_orderkey, 'shipped', max(l_shipdate)::VARCHAR FROM lineitem GROUP BY l_orderkey))""")
+sql("directory_union", "SELECT id, measure, t, value, l_orderkey, l_linenumber FROM x_m", "t value")
 sql("one_hot_full_rank", f"SELECT id, {ones('balance', ['low', 'mid', 'high'])} FROM x_sp")
 sql("standardize", "SELECT id, (acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER () AS acctbal, (study_end - avg(study_end) OVER ()) / stddev_pop(study_end) OVER () AS study_end, 0e0 AS constant FROM x_sp", "acctbal study_end")
 sql("standardize_train", """SELECT id, (acctbal - ma) / sa AS acctbal, (study_end - ms) / ss AS study_end, split FROM x_sp JOIN x_split USING (id), (
@@ -350,7 +354,10 @@ def poisson(u: str) -> str:
 CTE["x_boot"] = f"""SELECT y, score, replicate, {poisson('u')} AS w FROM (SELECT y, score, replicate, {uniform("'11'", 'bootstrap', 'replicate', 'doc_id')} AS u
   FROM x_ld, (SELECT unnest(range(1, 101))::INT AS replicate))"""
 CTE["x_boot_c"] = curve("(SELECT * FROM x_boot WHERE w > 0)", "replicate", "w")
-sql("bootstrap_metric", f"SELECT replicate, {AUROC}, {AP} FROM x_boot_c GROUP BY 1", "auroc average_precision")
+CTE["x_boot_h"] = """SELECT replicate, sum(CASE WHEN (y = 1) = (score > 0.5) THEN w ELSE 0 END) / sum(w)::DOUBLE AS accuracy,
+  coalesce(2 * sum(CASE WHEN y = 1 AND score > 0.5 THEN w ELSE 0 END) / nullif(2 * sum(CASE WHEN y = 1 AND score > 0.5 THEN w ELSE 0 END)
+    + sum(CASE WHEN (y = 1) <> (score > 0.5) THEN w ELSE 0 END), 0)::DOUBLE, 0) AS f1 FROM x_boot GROUP BY 1"""
+sql("bootstrap_metric", f"SELECT * FROM (SELECT replicate, {AUROC}, {AP} FROM x_boot_c GROUP BY 1) JOIN x_boot_h USING (replicate)", "auroc average_precision accuracy f1")
 
 # survival metrics
 CTE["x_sr"] = "SELECT id, segment, region, acctbal, landmark, event::INT AS event, switch FROM x_se"
@@ -408,7 +415,7 @@ CTE["x_sr2"] = "SELECT *, -acctbal AS risk FROM x_sr"
 sql("c_index_overall", concordance("x_sr2", "", "landmark"), "usable concordant tied c_index")
 CTE["x_g"] = censoring("x_rr", "model, eval_t", "follow_up")
 CTE["x_rrw"] = "SELECT x_rr.*, 1 / nullif(g * g_before, 0) AS w FROM x_rr JOIN x_g ON x_g.model = x_rr.model AND x_g.eval_t = x_rr.eval_t AND x_g.t = x_rr.follow_up"
-sql("c_index_ipcw", "SELECT * REPLACE (round(usable, 2) AS usable, round(concordant, 2) AS concordant, round(tied, 2) AS tied) FROM (" + concordance("x_rrw", "model, eval_t", "follow_up", None, "i.w") + ")", "c_index eval_t")
+sql("c_index_ipcw", "SELECT model, eval_t, ln(usable) AS log_usable, concordant / nullif(usable, 0) AS concordant_share, tied / nullif(usable, 0) AS tied_share, c_index FROM (" + concordance("x_rrw", "model, eval_t", "follow_up", None, "i.w") + ")", "log_usable concordant_share tied_share c_index eval_t")
 CTE["x_ps"] = "SELECT x_st.*, acctbal, segment, exp(-eval_t / 2000 * exp(acctbal / 20000)) AS surv FROM x_st JOIN x_sp USING (id)"
 sql("risk_strata", "SELECT id, start, eval_t, segment, surv, CASE WHEN surv > median(surv) OVER (PARTITION BY eval_t, segment) THEN 'low' ELSE 'high' END AS risk FROM x_ps", "start eval_t surv")
 CTE["x_strata"] = """SELECT x_ps.id, eval_t, CASE WHEN surv > median(surv) OVER (PARTITION BY eval_t) THEN 'low' ELSE 'high' END AS risk, l.event, l."end" / 365.25 AS years FROM x_ps JOIN x_last l USING (id)"""
@@ -422,7 +429,7 @@ def interpolated(cols: list[str]) -> str:
         return f"CASE WHEN a.t = g.t OR b.t IS NULL OR b.t = a.t THEN a.{c} ELSE a.{c} + (g.t - a.t) / (b.t - a.t) * (b.{c} - a.{c}) END AS {c}"
 
     return f"""SELECT g.region, g.segment, g.step, g.t, {', '.join(value(c) for c in cols)} FROM (
-      SELECT region, segment, i AS step, i * 0.05e0 AS t FROM (SELECT region, segment, unnest(range(0, floor(m / 0.05e0 + 1e-9)::BIGINT + 1)) AS i FROM (
+      SELECT region, segment, i AS step, i * 0.01e0 AS t FROM (SELECT region, segment, unnest(range(0, floor(m / 0.01e0 + 1e-9)::BIGINT + 1)) AS i FROM (
         SELECT region, segment, max(t) AS m FROM x_kmc GROUP BY 1, 2))) g
       ASOF LEFT JOIN x_kmc a ON a.region = g.region AND a.segment = g.segment AND a.t <= g.t
       ASOF LEFT JOIN x_kmc b ON b.region = g.region AND b.segment = g.segment AND b.t >= g.t"""
@@ -456,16 +463,16 @@ CTE["x_diff"] = "SELECT a.forecast, a.seed, a.method, b.metric - a.metric AS dif
 sql("paired_diff_tests", f"""SELECT method, forecast, n, mean_diff, sd_diff, perm_pval, n_rank, signed_rank, mean_diff / (sd_diff / sqrt(n)) AS t_stat,
   CASE WHEN perm_pval < 0.001 THEN '***' WHEN perm_pval < 0.01 THEN '**' WHEN perm_pval < 0.05 THEN '*' ELSE '' END AS stars
   FROM (SELECT method, forecast, count(*) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff FROM x_diff GROUP BY 1, 2)
-  JOIN (SELECT method, forecast, avg(CASE WHEN s > o + 1e-9 THEN 1e0 ELSE 0e0 END) AS perm_pval FROM (
-    SELECT method, forecast, replicate, sum(diff * CASE WHEN {uniform("'11'", 'flip', 'replicate', 'seed')} < 0.5 THEN 1 ELSE -1 END) AS s, sum(diff) AS o
+  JOIN (SELECT method, forecast, avg(CASE WHEN s > o + 1e-12 * m THEN 1e0 ELSE 0e0 END) AS perm_pval FROM (
+    SELECT method, forecast, replicate, sum(diff * CASE WHEN {uniform("'11'", 'flip', 'replicate', 'seed')} < 0.5 THEN 1 ELSE -1 END) AS s, sum(diff) AS o, sum(abs(diff)) AS m
     FROM x_diff, (SELECT unnest(range(1, 1001)) AS replicate) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (method, forecast)
   JOIN (SELECT method, forecast, count(*) AS n_rank, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS signed_rank FROM (
     SELECT *, rank() OVER (PARTITION BY method, forecast ORDER BY a) + (count(*) OVER (PARTITION BY method, forecast, a) - 1) / 2 AS r FROM (
       SELECT *, round(abs(diff), 12) AS a FROM x_diff WHERE diff <> 0)) GROUP BY 1, 2) USING (method, forecast)""", "mean_diff sd_diff perm_pval signed_rank t_stat")
 CTE["x_oc0"] = "SELECT region, round((acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER (), 1) AS grid, avg(acctbal) OVER () AS m, stddev_pop(acctbal) OVER () AS s, price FROM x_sp JOIN (SELECT id, avg(o_totalprice) AS price FROM x_od GROUP BY id) USING (id)"
 CTE["x_oc"] = "SELECT region, grid * any_value(s) + any_value(m) AS x, avg(price) AS average FROM x_oc0 GROUP BY region, grid"
-CTE["x_pg"] = """SELECT region, point, gx AS x, y0 + slope * (gx - x0) AS y FROM (SELECT r.region, point, lo + (hi - lo) * point / 49e0 AS gx FROM (SELECT DISTINCT region FROM x_oc) r,
-  (SELECT quantile_cont(x, 0.01e0) AS lo, quantile_cont(x, 0.99e0) AS hi FROM x_oc), (SELECT unnest(range(50))::INT AS point)) g
+CTE["x_pg"] = """SELECT region, point, gx AS x, y0 + slope * (gx - x0) AS y FROM (SELECT r.region, point, lo + (hi - lo) * point / 99e0 AS gx FROM (SELECT DISTINCT region FROM x_oc) r,
+  (SELECT quantile_cont(x, 0.01e0) AS lo, quantile_cont(x, 0.99e0) AS hi FROM x_oc), (SELECT unnest(range(100))::INT AS point)) g
   JOIN (SELECT region, x AS kx, CASE WHEN nx IS NULL THEN px ELSE x END AS x0, CASE WHEN nx IS NULL THEN py ELSE average END AS y0,
     CASE WHEN nx IS NULL THEN (average - py) / (x - px) ELSE (ny - average) / (nx - x) END AS slope, CASE WHEN px IS NULL THEN -1e300 ELSE x END AS lo_x, coalesce(nx, 1e300) AS hi_x FROM (
     SELECT *, lag(x) OVER w AS px, lag(average) OVER w AS py, lead(x) OVER w AS nx, lead(average) OVER w AS ny FROM x_oc WINDOW w AS (PARTITION BY region ORDER BY x))) k

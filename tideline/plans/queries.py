@@ -26,10 +26,12 @@ def query(fn: Query) -> Query:
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles at the edge: sums add up in a different order on every cluster.
 
-    Halves go up with a margin, so the last bits of a value on a half cannot decide.
+    Halves go up with a margin, so the last bits of a value on a half cannot decide. NaN,
+    infinities and values whose digits at that place a double cannot hold stay as they are.
     """
-    unit = F.lit(10.0**digits)
-    near = lambda c: (F.floor(F.col(c) * unit + F.lit(0.5001)) / unit).alias(c)
+    unit = 10.0**digits
+    held = lambda c: F.abs(F.col(c)) < 2.0**53 / unit
+    near = lambda c: F.when(held(c), F.floor(F.col(c) * unit + 0.5001) / unit).otherwise(F.col(c)).alias(c)
     return df.select(*[near(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
@@ -48,6 +50,17 @@ def tagged_union(spark, d):
     return events.union_rows({"hosp": logs["hosp"], "er": logs["er"].drop("indicator")}, "kind")
 
 
+@query
+def directory_union(spark, d):
+    """Write one file set per measure, read them back as one table with the name as a column."""
+    path = scratch(spark, "measures")
+    rows = fx.measures(spark, d).select("id", "measure", "t", "value", "l_orderkey", "l_linenumber")
+    for m in fx.MEASURES:
+        rows.filter(F.col("measure") == m).drop("measure").write.parquet(f"{path}/{m}.parquet")
+    files = {m: f"{path}/{m}.parquet" for m in fx.MEASURES}
+    return tables.read_measure_files(spark, files, rows.drop("measure").schema, "measure", fmt="parquet")
+
+
 @query
 def result_splits(spark, d):
     grid = fx.result_grid(spark, d)
@@ -375,12 +388,6 @@ def eval_times(spark, d):
     return intervals.eval_times(i, time="end", event="event", extra=TIMES)
 
 
-@query
-def eval_times_thinned(spark, d):
-    i = co.survival_intervals(spark, d, with_measures=False)
-    return intervals.eval_times(i, time="end", event="event", extra=TIMES, at_most=50)
-
-
 # sampling and features -----------------------------------------------------------------
 
 
@@ -423,10 +430,23 @@ def permute_static(spark, d):
     return sampling.permute_static(i, id="id", column="acctbal", seed=fx.SEED, replicates=2, hot=fx.hot_ids(spark, d))
 
 
+LEVELS = {
+    "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "balance": ["debt", "high", "low", "mid"],
+    "vital": ["dead", "none"],
+}
+
+
 @query
 def one_hot(spark, d):
     s = fx.spine(spark, d).select("id", "segment", "balance", F.when(F.col("death").isNotNull(), "dead").alias("vital"))
-    return features.one_hot(s, ["segment", "balance", "vital"], missing="none")
+    return features.one_hot(s, ["segment", "balance", "vital"], levels=LEVELS, missing="none")
+
+
+@query
+def one_hot_sparse(spark, d):
+    o = fx.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("supplier"), F.max("l_shipdate").cast("string").alias("shipped"))
+    return features.one_hot_sparse(o, ["l_orderkey"], ["supplier", "shipped"])
 
 
 @query
@@ -555,7 +575,9 @@ def c_index_overall(spark, d):
 
 @query
 def c_index_ipcw(spark, d):
-    return metrics_surv.c_index(risk_rows(spark, d), ["model", "eval_t"], time="follow_up", event="event", risk="risk", weights="ipcw").withColumns({c: F.round(c, 2) for c in ("usable", "concordant", "tied")})
+    c = metrics_surv.c_index(risk_rows(spark, d), ["model", "eval_t"], time="follow_up", event="event", risk="risk", weights="ipcw")
+    shares = [F.try_divide(k, "usable").alias(f"{k}_share") for k in ("concordant", "tied")]
+    return c.select("model", "eval_t", F.ln("usable").alias("log_usable"), *shares, "c_index")
 
 
 def predicted_survival(spark, d):
@@ -586,12 +608,12 @@ def km_curves(spark, d):
 
 @query
 def curve_interpolate(spark, d):
-    return results.curve_interpolate(km_curves(spark, d), ["region", "segment"], "t", ["surv", "std_err"], 0.05, hot=[])
+    return results.curve_interpolate(km_curves(spark, d), ["region", "segment"], "t", ["surv", "std_err"], 0.01, hot="all")
 
 
 @query
 def km_average(spark, d):
-    c = results.curve_interpolate(km_curves(spark, d), ["region", "segment"], "t", ["surv", "std_err", "lower", "upper"], 0.05, hot=[])
+    c = results.curve_interpolate(km_curves(spark, d), ["region", "segment"], "t", ["surv", "std_err", "lower", "upper"], 0.01, hot="all")
     return results.average_curves(c, ["segment", "step"], ["surv", "std_err", "lower", "upper"])
 
 
@@ -661,12 +683,12 @@ def order_curves(spark, d):
 
 @query
 def pdp_common_grid(spark, d):
-    return results.common_grid(order_curves(spark, d), ["region"], "x", "average", points=50, hot=[])
+    return results.common_grid(order_curves(spark, d), ["region"], "x", "average", points=100, hot="all")
 
 
 @query
 def pdp_summary(spark, d):
-    c = results.common_grid(order_curves(spark, d), ["region"], "x", "average", points=50, hot=[])
+    c = results.common_grid(order_curves(spark, d), ["region"], "x", "average", points=100, hot="all")
     band = results.percentile_ci(c, ["point"], "y")
     return c.groupBy("point").agg(F.avg("y").alias("mean")).join(band, "point")
 
@@ -779,7 +801,7 @@ def materialize(spark, d):
 def model_table(spark, d):
     """Numeric modelling table: entity covariates, standardised, with the event label."""
     t = co.feature_table(spark, d, wide=False).select("id", "event", "acctbal", "study_end", "n_prior", "switch", "segment")
-    t = features.one_hot(t, ["segment"], levels={"segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]})
+    t = features.one_hot(t, ["segment"], levels=LEVELS)
     t = features.standardize(t.withColumn("n_prior", F.col("n_prior").cast("double")), ["acctbal", "study_end", "n_prior"])
     t = sampling.split_assign(t, id="id", seed=fx.SEED, fractions=SPLIT)
     columns = models.model_columns(t, ["id", "event", "split"])
@@ -805,13 +827,13 @@ def formula_expand(spark, d):
 
 @query
 def forest_classifier(spark, d):
-    t, _, m = fitted(spark, d, models.forest(trees=20, depth=5))
+    t, _, m = fitted(spark, d, models.forest())
     return test_metrics(t, m, "forest")
 
 
 @query
 def boosted_classifier(spark, d):
-    t, _, m = fitted(spark, d, models.boosted(iterations=5))
+    t, _, m = fitted(spark, d, models.boosted())
     return test_metrics(t, m, "boosted")
 
 
@@ -819,45 +841,45 @@ def boosted_classifier(spark, d):
 def logistic_classifiers(spark, d):
     t, _ = model_table(spark, d)
     train = t.filter("split = 'train'")
-    parts = [test_metrics(t, models.logistic(p, 0.01, iterations=20).fit(train), p) for p in models.PENALTIES]
+    parts = [test_metrics(t, models.logistic(p, 0.01).fit(train), p) for p in models.PENALTIES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query
 def grid_search_cv(spark, d):
     t, _ = model_table(spark, d)
-    est = models.logistic("ridge", 0.1, iterations=20)
-    m = models.tune(est, [{est.regParam: r} for r in (0.001, 0.1)], t.filter("split = 'train'"), id="id", seed=fx.SEED, folds=3)
+    est = models.logistic("ridge", 0.1)
+    m = models.tune(est, [{est.regParam: 10.0 ** (k / 2)} for k in range(-8, 2)], t.filter("split = 'train'"), id="id", seed=fx.SEED)
     return test_metrics(t, m, "tuned")
 
 
 @query
 def coefficient_importance(spark, d):
-    _, columns, m = fitted(spark, d, models.logistic("lasso", 0.02, iterations=30))
+    _, columns, m = fitted(spark, d, models.logistic("lasso", 0.02))
     return models.coefficient_importance(spark, m, columns)
 
 
 @query
 def impurity_importance(spark, d):
-    _, columns, m = fitted(spark, d, models.forest(trees=20, depth=5))
+    _, columns, m = fitted(spark, d, models.forest())
     return models.impurity_importance(spark, m, columns)
 
 
 @query
 def partial_dependence(spark, d):
-    t, columns, m = fitted(spark, d, models.forest(trees=10, depth=4))
-    return models.partial_dependence(m, t.filter("split = 'train'"), columns, "acctbal", points=20)
+    t, columns, m = fitted(spark, d, models.forest())
+    return models.partial_dependence(m, t.filter("split = 'train'"), columns, "acctbal")
 
 
 @query
 def impute_forest(spark, d):
     e = fx.spine(spark, d).join(fx.switch_times(spark, d), "id", "left").select("id", "acctbal", "study_end", "death", "switch_t")
-    return models.impute_forest(e, id="id", numeric=["death", "switch_t"], complete=["acctbal", "study_end"], sweeps=2, trees=5, depth=4)
+    return models.impute_forest(e, id="id", numeric=["death", "switch_t"], complete=["acctbal", "study_end"])
 
 
 def hazard_rows(spark, d):
     """Intervals with numeric covariates, staged for the iterative fits."""
-    i = co.survival_intervals(spark, d, with_measures=False).filter(F.col("end") > F.col("start"))
+    i = intervals.assert_intervals(co.survival_intervals(spark, d, with_measures=False))
     s = features.standardize(fx.spine(spark, d).select("id", "acctbal", "segment"), ["acctbal"])
     s = s.select("id", "acctbal", F.when(F.col("segment") == "BUILDING", 1.0).otherwise(0.0).alias("building"))
     return sinks.stage(i.withColumn("switched", F.when(F.col("treatment") == "switched", 1.0).otherwise(0.0)).join(s, "id"))
@@ -873,7 +895,7 @@ def cox_fit(spark, d):
 
 @query
 def cox_penalised(spark, d):
-    m = cox.cox_penalised(hazard_rows(spark, d), COVARIATES, id="id", alpha=1.0, lambdas=[0.1, 0.01, 0.001], seed=fx.SEED, folds=3)
+    m = cox.cox_penalised(hazard_rows(spark, d), COVARIATES, id="id", alpha=1.0, lambdas=[10.0 ** (-k / 2) for k in range(2, 9)], seed=fx.SEED)
     return spark.createDataFrame([(c, float(b), float(abs(b))) for c, b in zip(m.covariates, m.beta)], "variable string, estimate double, importance double")
 
 
@@ -887,7 +909,7 @@ def cox_predict(spark, d):
 @query
 def hazard_forest(spark, d):
     rows = hazard_rows(spark, d)
-    m = models.hazard_forest(rows, COVARIATES, EDGES, trees=10, depth=4)
+    m = models.hazard_forest(rows, COVARIATES, EDGES)
     return models.hazard_survival(m, rows, COVARIATES, EDGES, id="id", hot=fx.hot_ids(spark, d))
 
 
@@ -895,4 +917,4 @@ def hazard_forest(spark, d):
 def permutation_importance(spark, d):
     rows = hazard_rows(spark, d)
     m = cox.cox_fit(rows, COVARIATES, ties="breslow")
-    return models.permutation_importance(rows, ["acctbal", "switched"], lambda df: df.withColumn("risk", m.linear_predictor()), key=["id", "start"], id="id", by=[], time="end", event="event", risk="risk", seed=fx.SEED, static=["acctbal"], replicates=3)
+    return models.permutation_importance(rows, COVARIATES, lambda df: df.withColumn("risk", m.linear_predictor()), key=["id", "start"], id="id", by=[], time="end", event="event", risk="risk", seed=fx.SEED, static=["acctbal", "building"])

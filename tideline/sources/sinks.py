@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -12,18 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
+    """The folder all executors see: ``spark.checkpoint.dir``, set beside the warehouse where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    path = tempfile.mkdtemp(prefix="tideline-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not path:
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
