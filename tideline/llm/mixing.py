@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import WORD, documents, stage
 
 #: Rows that one slice should hold.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def words(text: Column) -> Column:
