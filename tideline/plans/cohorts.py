@@ -15,7 +15,7 @@ CENSORS = ("death", "study_end")
 def event_log(spark: SparkSession, d: str) -> DataFrame:
     """Both logs with kind and subtype, cut at the end of study."""
     log = events.union_rows(fx.event_logs(spark, d), "kind")
-    log = log.withColumn("subtype", events.subtype("indicator", "CR", "UC")).drop("indicator")
+    log = log.withColumn("subtype", events.subtype("indicator", "major", "minor")).drop("indicator")
     return events.within_follow_up(log, fx.spine(spark, d), "id", "t", "study_end", hot=fx.hot_ids(spark, d))
 
 

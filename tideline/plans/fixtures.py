@@ -102,9 +102,9 @@ def orders_by_day(spark: SparkSession, d: str) -> DataFrame:
 def event_logs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Two event logs: urgent orders after day 0, finished and unfinished."""
     u = orders_by_day(spark, d).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("t") > 0))
-    u = u.withColumn("indicator", F.when(F.col("o_totalprice") > HIGH_VALUE, "CR"))
+    u = u.withColumn("indicator", F.when(F.col("o_totalprice") > HIGH_VALUE, "major"))
     pick = lambda c: u.filter(c).select("id", "o_orderkey", "t", "indicator")
-    return {"hosp": pick(F.col("o_orderstatus") == "F"), "er": pick(F.col("o_orderstatus").isin("O", "P"))}
+    return {"closed": pick(F.col("o_orderstatus") == "F"), "open": pick(F.col("o_orderstatus").isin("O", "P"))}
 
 
 def switch_times(spark: SparkSession, d: str) -> DataFrame:

@@ -48,13 +48,13 @@ CTE["x_sp"] = f"""SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS
   n_name AS nation, r_name AS region, {days("TIMESTAMP '2001-08-01'", 'ix')} AS study_end,
   CASE WHEN c_acctbal < 0 THEN (1000 + c_custkey % 1000)::DOUBLE END AS death
   FROM customer JOIN x_ix ON x_ix.id = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
-CTE["x_u"] = """SELECT id, o_orderkey, t, CASE WHEN o_totalprice > 250000 THEN 'CR' END AS indicator,
-  CASE WHEN o_orderstatus = 'F' THEN 'hosp' ELSE 'er' END AS kind FROM x_od
+CTE["x_u"] = """SELECT id, o_orderkey, t, CASE WHEN o_totalprice > 250000 THEN 'major' END AS indicator,
+  CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS kind FROM x_od
   WHERE o_orderpriority = '1-URGENT' AND t > 0 AND o_orderstatus IN ('F', 'O', 'P')"""
-CTE["x_log"] = "SELECT x_u.id, o_orderkey, t, kind, CASE WHEN indicator = 'CR' THEN 'CR' ELSE 'UC' END AS subtype, study_end FROM x_u JOIN x_sp USING (id) WHERE t <= study_end"
+CTE["x_log"] = "SELECT x_u.id, o_orderkey, t, kind, CASE WHEN indicator = 'major' THEN 'major' ELSE 'minor' END AS subtype, study_end FROM x_u JOIN x_sp USING (id) WHERE t <= study_end"
 CTE["x_flags"] = """SELECT id, o_orderkey, t, kind, subtype, row_number() OVER (PARTITION BY id ORDER BY t, o_orderkey) = 1 AS first,
-  count(*) OVER p AS n, count(*) FILTER (subtype = 'CR') OVER p AS "n_CR", count(*) FILTER (subtype = 'UC') OVER p AS "n_UC",
-  bool_or(subtype = 'CR') OVER p AND bool_or(subtype = 'UC') OVER p AS all_kinds FROM x_log WINDOW p AS (PARTITION BY id)"""
+  count(*) OVER p AS n, count(*) FILTER (subtype = 'major') OVER p AS "n_major", count(*) FILTER (subtype = 'minor') OVER p AS "n_minor",
+  bool_or(subtype = 'major') OVER p AND bool_or(subtype = 'minor') OVER p AS all_kinds FROM x_log WINDOW p AS (PARTITION BY id)"""
 CTE["x_sw"] = "SELECT id, min(t) AS switch_t FROM x_od WHERE o_orderpriority = '2-HIGH' AND t > 0 GROUP BY id"
 CTE["x_m"] = f"""SELECT o_custkey AS id, l_returnflag || l_linestatus AS measure, {days('l_shipdate', 'ix')} AS t, l_extendedprice AS value,
   l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN x_ix ON x_ix.id = o_custkey"""
@@ -127,7 +127,7 @@ def widened(source: str, values: list[str]) -> tuple[str, str]:
 
 # sources and scalars
 sql("scan_project", "SELECT o_orderkey AS order_id, o_custkey AS id, o_totalprice AS price, o_orderpriority AS priority, o_custkey::DOUBLE AS id_number FROM orders", "price id_number")
-sql("tagged_union", "SELECT id, o_orderkey, t, kind, CASE WHEN kind = 'hosp' THEN indicator END AS indicator FROM x_u", "t")
+sql("tagged_union", "SELECT id, o_orderkey, t, kind, CASE WHEN kind = 'closed' THEN indicator END AS indicator FROM x_u", "t")
 CTE["x_rg"] = "SELECT event_type AS method, user_id % 50 AS seed, user_id % 3 AS forecast, avg(value) AS metric, max(value) AS best FROM events GROUP BY 1, 2, 3"
 sql("result_splits", """SELECT CASE method WHEN 'view' THEN 'View' WHEN 'click' THEN 'Click' ELSE method END AS method, seed, forecast, metric, split_mode FROM (
   SELECT method, seed, forecast, metric, 'validation' AS split_mode FROM x_rg UNION ALL SELECT method, seed, forecast, best, 'test' FROM x_rg)""", "metric")
@@ -211,6 +211,8 @@ CTE["x_impm"] = imputed("median")
 CTE["x_wide"], _wide_cols = widened("x_impm", _ALL)
 sql("feature_table", "SELECT x_mc.*, x_wide.* EXCLUDE (id) FROM x_mc LEFT JOIN x_wide USING (id)", "acctbal study_end death landmark switch event censor " + _wide_cols)
 sql("unpivot_long", "SELECT id, segment, unnest(['acctbal', 'death', 'study_end']) AS name, unnest([acctbal, death, study_end]) AS value FROM x_sp", "value")
+sql("varset_drop", *widened("x_sum", ["n_obs_accrual", "mean_accrual", "max_accrual", "sd_accrual", "tv_accrual", "recent_value"]))
+sql("fill_zero", "SELECT id, CASE WHEN segment <> 'BUILDING' THEN segment ELSE 'other' END AS segment, coalesce(death, 0e0) AS death, coalesce(switch_t, 0e0) AS switch_t FROM x_sp LEFT JOIN x_sw USING (id)", "death switch_t")
 sql("varset_select", *widened("x_sum", ["mean_accrual", "max_accrual", "recent_slope_accrual", "recent_value"]))
 sql("dedup_first", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id, t, measure ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, value) AS rn FROM x_m) WHERE rn = 1", "t value")
 
@@ -488,8 +490,8 @@ sql("strata_table", "SELECT variable, category, " + ", ".join(
 ) + " FROM x_sl, (SELECT " + ", ".join(f"count(*) FILTER ({c}) AS t_{k}" for k, c in _FLAGS.items()) + " FROM x_mc) GROUP BY 1, 2", " ".join(f"pct_{k}" for k in _FLAGS))
 sql("measure_coverage", """SELECT *, n_entities * 100e0 / (SELECT count(*) FROM x_sp) AS pct_entities, n_preindex * 100e0 / (SELECT count(*) FROM x_sp) AS pct_preindex FROM (
   SELECT measure, count(DISTINCT id) AS n_entities, count(DISTINCT id) FILTER (t <= 0) AS n_preindex, count(*) AS n_rows FROM x_m GROUP BY 1)""", "pct_entities pct_preindex")
-sql("event_overview", """SELECT count(*) FILTER (first) AS n_with_event, avg(CASE WHEN kind = 'hosp' THEN 1e0 ELSE 0e0 END) * 100 AS pct_hosp, avg(CASE WHEN kind = 'er' THEN 1e0 ELSE 0e0 END) * 100 AS pct_er,
-  count(*) FILTER (first) * 100e0 / (SELECT count(*) FROM x_sp) AS pct_with_event FROM x_flags""", "pct_hosp pct_er pct_with_event")
+sql("event_overview", """SELECT count(*) FILTER (first) AS n_with_event, avg(CASE WHEN kind = 'closed' THEN 1e0 ELSE 0e0 END) * 100 AS pct_closed, avg(CASE WHEN kind = 'open' THEN 1e0 ELSE 0e0 END) * 100 AS pct_open,
+  count(*) FILTER (first) * 100e0 / (SELECT count(*) FROM x_sp) AS pct_with_event FROM x_flags""", "pct_closed pct_open pct_with_event")
 sql("count_of_counts", "SELECT n_events, count(*) AS n_entities FROM (SELECT id, count(*) AS n_events FROM x_log GROUP BY id) GROUP BY 1")
 CTE["x_pl"] = "SELECT unnest(['acctbal', 'death', 'study_end', 'switch_t']) AS variable, unnest([acctbal, death, study_end, switch_t]) AS value FROM x_sp LEFT JOIN x_sw USING (id)"
 sql("profile_table", """SELECT variable, count(*) AS n, count(*) FILTER (value IS NULL) AS n_missing, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS p0, quantile_cont(value, 0.25e0) AS p25,

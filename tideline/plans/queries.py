@@ -47,7 +47,7 @@ def scan_project(spark, d):
 @query
 def tagged_union(spark, d):
     logs = fx.event_logs(spark, d)
-    return events.union_rows({"hosp": logs["hosp"], "er": logs["er"].drop("indicator")}, "kind")
+    return events.union_rows({"closed": logs["closed"], "open": logs["open"].drop("indicator")}, "kind")
 
 
 @query
@@ -126,19 +126,19 @@ def method_decode(spark, d):
 @query
 def event_filter(spark, d):
     log = co.event_log(spark, d)
-    return log.filter(F.col("kind").isin("er", "hosp")).select("id", "o_orderkey", "t", "kind", "subtype", "study_end")
+    return log.filter(F.col("kind").isin("open", "closed")).select("id", "o_orderkey", "t", "kind", "subtype", "study_end")
 
 
 @query
 def event_flags(spark, d):
     log = co.event_log(spark, d).select("id", "o_orderkey", "t", "kind", "subtype")
-    return events.event_flags(log, id="id", t="t", tie=["o_orderkey"], kind="subtype", kinds=["CR", "UC"], hot=fx.hot_ids(spark, d))
+    return events.event_flags(log, id="id", t="t", tie=["o_orderkey"], kind="subtype", kinds=["major", "minor"], hot=fx.hot_ids(spark, d))
 
 
 @query
 def first_event(spark, d):
     log = co.event_log(spark, d).select("id", "o_orderkey", "t", "kind", "subtype")
-    return events.first_events(events.event_flags(log, id="id", t="t", tie=["o_orderkey"], kind="subtype", kinds=["CR", "UC"], hot=fx.hot_ids(spark, d))).select("id", "o_orderkey", "t", "kind", "n")
+    return events.first_events(events.event_flags(log, id="id", t="t", tie=["o_orderkey"], kind="subtype", kinds=["major", "minor"], hot=fx.hot_ids(spark, d))).select("id", "o_orderkey", "t", "kind", "n")
 
 
 @query
@@ -211,7 +211,7 @@ def merge_outcome(spark, d):
 
 
 def event_flags_raw(spark, d):
-    return events.event_flags(co.event_log(spark, d), id="id", t="t", tie=["o_orderkey"], kind="subtype", kinds=["CR", "UC"], hot=fx.hot_ids(spark, d))
+    return events.event_flags(co.event_log(spark, d), id="id", t="t", tie=["o_orderkey"], kind="subtype", kinds=["major", "minor"], hot=fx.hot_ids(spark, d))
 
 
 @query
@@ -316,6 +316,19 @@ def varset_select(spark, d):
     return wide.select(sets["recent_mean_max_slope"])
 
 
+@query
+def varset_drop(spark, d):
+    wide = measures.widen(co.summary(spark, d), id="id", measure="measure", measures=co.KEPT)
+    return reshape.without_names(wide, contains=["slope"])
+
+
+@query
+def fill_zero(spark, d):
+    e = fx.spine(spark, d).join(fx.switch_times(spark, d), "id", "left")
+    known = scalars.default_to(F.when(F.col("segment") != "BUILDING", F.col("segment")), "other").alias("segment")
+    return impute.fill_zero(e.select("id", known, "death", "switch_t"), ["death", "switch_t"])
+
+
 @query
 def dedup_first(spark, d):
     return reshape.first_per_key(fx.measures(spark, d), ["id", "t", "measure"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("value")])
@@ -709,7 +722,7 @@ def measure_coverage(spark, d):
 @query
 def event_overview(spark, d):
     flagged = event_flags_raw(spark, d)
-    return profile.event_shares(flagged, fx.spine(spark, d), kind="kind", values=["hosp", "er"])
+    return profile.event_shares(flagged, fx.spine(spark, d), kind="kind", values=["closed", "open"])
 
 
 @query
