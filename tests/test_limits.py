@@ -112,3 +112,20 @@ def test_fits_that_never_settle_end_with_an_error(spark):
 def test_intermediate_tables_lie_in_the_shared_folder(spark):
     assert spark.conf.get("spark.checkpoint.dir", None) is None or sinks.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert sinks.stage(spark.range(3)).inputFiles()[0].startswith("file:") and "tideline-stage" in sinks.stage(spark.range(3)).inputFiles()[0]
+
+
+@pytest.mark.parametrize("name", ["event_flags", "measure_trend", "interval_build", "locf", "asof_at_times"])
+def test_entities_that_are_cut_give_the_same(spark, sf, name):
+    from harness import compare, duck
+    from tideline.operators.ordered import FLOOR_KEY
+    from tideline.plans import fixtures
+    from tideline.plans.oracle import ORACLE
+    from tideline.plans.queries import QUERIES
+
+    spark.conf.set(FLOOR_KEY, "5")
+    try:
+        assert fixtures.hot_ids(spark, sf)
+        ok, message, _ = compare(spark, duck(sf), name, QUERIES[name], ORACLE[name], sf)
+    finally:
+        spark.conf.unset(FLOOR_KEY)
+    assert ok, message

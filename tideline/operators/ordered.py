@@ -33,20 +33,31 @@ from ..sources.sinks import stage
 # keys: the bound that makes a literal list of them safe at any data size.
 HOT_SHARE = 1.0 / 1024
 # Below this many rows a key never needs cutting: one task sorts it in well under a second.
+# A session may set another number, in tests a small one that cuts every key.
 HOT_FLOOR = 200_000
+FLOOR_KEY = "spark.tideline.hot.floor"
+
+
+def hot_floor(spark: SparkSession) -> int:
+    return int(spark.conf.get(FLOOR_KEY, str(HOT_FLOOR)))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def default_buckets(spark: SparkSession) -> int:
     """As many chunks as shuffle partitions, within reason for a cut-point array."""
-    return max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(16, min(1 << 15, shuffle_partitions(spark)))
 
 
-def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
+def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int | None = None) -> list:
     """Values of ``key`` holding more than ``share`` of the rows and more than ``floor`` rows.
 
     Runs one job: counts combine map-side, at most ``1 / share`` values come back.  A plan
     with several ordered steps over one table should call this once and pass the list on.
     """
+    floor = hot_floor(df.sparkSession) if floor is None else floor
     counts = df.groupBy(key).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
     big = counts.filter((F.col("__n") > F.lit(int(floor))) & (F.col("__n") > total * F.lit(share)) & F.col(key).isNotNull())
@@ -214,10 +225,11 @@ def ordered_scan(
     return out.select(*result)
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, hot: Sequence | str | None = None, salts: int = 32) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, hot: Sequence | str | None = None, salts: int | None = None) -> DataFrame:
     """Join many ``rows`` to a ``table`` with one row per key, when keys may be hot.
 
-    Rows of a hot key are spread over ``salts`` values of a hash of the row; the table's
+    Rows of a hot key are spread over ``salts`` values of a hash of the row (as many as there
+    are shuffle partitions, so that one key can use the whole cluster); the table's
     row for that key is repeated once per salt.  One shuffle join on ``(key, salt)``; Spark
     still broadcasts ``table`` by itself when its measured size allows.  The salt is a
     hash, not a random number, so a retried task puts every row back where it was.
@@ -234,6 +246,7 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
         hot = hot_values(rows.select(on[0]), on[0])
     if not hot:
         return rows.join(table, on, how)
+    salts = salts or shuffle_partitions(rows.sparkSession)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot != "all":

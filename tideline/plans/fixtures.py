@@ -5,13 +5,14 @@ All times are days (double) from the entity's index: its first order, or first e
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucketize, day_offset
-from ..operators.ordered import HOT_FLOOR, HOT_SHARE, hot_values, lookup
+from ..operators.ordered import HOT_SHARE, hot_floor, hot_values, lookup
 from ..sources.tables import read_table
 
 ACCRUAL, FORECAST = 365.25, 180.0
@@ -47,32 +48,44 @@ def index_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("index_ts"))
 
 
-@cache
+# session -> (kind, folder, floor) -> hot keys; a session's entries go with it
+_HOT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _remembered(spark: SparkSession, kind: str, d: str, find: Callable[[int], list]) -> list:
+    floor, known = hot_floor(spark), _HOT.setdefault(spark, {})
+    if (kind, d, floor) not in known:
+        known[kind, d, floor] = find(floor)
+    return known[kind, d, floor]
+
+
 def hot_ids(spark: SparkSession, d: str) -> list:
     """Customers large enough, in orders or line items, to need cutting in ordered steps.
 
     A table of no more rows than the floor cannot contain one; its row count comes from
     the file footers.  Remembered per session: a stale list can only cost balance.
     """
-    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
-    if items.count() <= HOT_FLOOR and orders.count() <= HOT_FLOOR:
-        return []
-    per_order = items.groupBy("l_orderkey").agg(F.count("*").alias("k"))
-    sized = orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.sum(F.coalesce("k", F.lit(0)) + 1).alias("n"))
-    total = sized.agg(F.sum("n")).scalar()
-    return [r[0] for r in sized.filter((F.col("n") > HOT_FLOOR) & (F.col("n") > total * F.lit(HOT_SHARE))).select("o_custkey").collect()]
+
+    def find(floor: int) -> list:
+        orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
+        if items.count() <= floor and orders.count() <= floor:
+            return []
+        per_order = items.groupBy("l_orderkey").agg(F.count("*").alias("k"))
+        sized = orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.sum(F.coalesce("k", F.lit(0)) + 1).alias("n"))
+        total = sized.agg(F.sum("n")).scalar()
+        return [r[0] for r in sized.filter((F.col("n") > floor) & (F.col("n") > total * F.lit(HOT_SHARE))).select("o_custkey").collect()]
+
+    return _remembered(spark, "id", d, find)
 
 
-@cache
 def hot_users(spark: SparkSession, d: str) -> list:
     events = table(spark, d, "events")
-    return [] if events.count() <= HOT_FLOOR else hot_values(events, "user_id")
+    return _remembered(spark, "user", d, lambda floor: [] if events.count() <= floor else hot_values(events, "user_id", floor=floor))
 
 
-@cache
 def hot_orders(spark: SparkSession, d: str) -> list:
     items = table(spark, d, "lineitem")
-    return [] if items.count() <= HOT_FLOOR else hot_values(items, "l_orderkey")
+    return _remembered(spark, "order", d, lambda floor: [] if items.count() <= floor else hot_values(items, "l_orderkey", floor=floor))
 
 
 def spine(spark: SparkSession, d: str) -> DataFrame:
