@@ -41,6 +41,13 @@ def test_measurements_are_read_once_per_summary(spark, sf):
     assert plan(out).count("lineitem.parquet") == 1
 
 
+def test_entity_chain_leaves_the_orders_alone_after_one_pass(spark, sf):
+    from tideline.plans import cohorts
+
+    assert "orders.parquet" not in plan(cohorts.labelled_entities(spark, sf, "survival"))
+    assert plan(fx.order_days(spark, sf)).count("orders.parquet") <= 2
+
+
 def test_density_of_a_single_group(spark, sf):
     out = profile.density_curve(fx.table(spark, sf, "customer"), [], "c_acctbal", points=40, cells=256).orderBy("x").collect()
     area = sum((b["x"] - a["x"]) * (a["density"] + b["density"]) / 2 for a, b in zip(out, out[1:]))

@@ -12,19 +12,22 @@ from . import fixtures as fx
 CENSORS = ("death", "study_end")
 
 
-def event_log(spark: SparkSession, d: str) -> DataFrame:
+def event_log(spark: SparkSession, d: str, days: DataFrame | None = None) -> DataFrame:
     """Both logs with kind and subtype, cut at the end of study."""
-    log = events.union_rows(fx.event_logs(spark, d), "kind")
+    days = stage(fx.order_days(spark, d)) if days is None else days
+    log = events.union_rows(fx.event_logs(spark, d, days), "kind")
     log = log.withColumn("subtype", events.subtype("indicator", "major", "minor")).drop("indicator")
-    return events.within_follow_up(log, fx.spine(spark, d), "id", "t", "study_end", hot=fx.hot_ids(spark, d))
+    return events.within_follow_up(log, fx.study_ends(days), "id", "t", "study_end", hot=fx.hot_ids(spark, d))
 
 
-def labels(spark: SparkSession, d: str, mode: str = "classification") -> DataFrame:
-    return events.outcome_label(event_log(spark, d), id="id", t="t", mode=mode, accrual=fx.ACCRUAL, forecast=fx.FORECAST)
+def labels(spark: SparkSession, d: str, mode: str = "classification", days: DataFrame | None = None) -> DataFrame:
+    return events.outcome_label(event_log(spark, d, days), id="id", t="t", mode=mode, accrual=fx.ACCRUAL, forecast=fx.FORECAST)
 
 
 def labelled_entities(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    e = cohort.with_labels(fx.spine(spark, d), labels(spark, d, mode), "id").join(fx.switch_times(spark, d), "id", "left")
+    """Entities with their label and switch time; the orders are read and joined to their index once."""
+    days = stage(fx.order_days(spark, d))
+    e = cohort.with_labels(fx.spine(spark, d, days), labels(spark, d, mode, days), "id").join(fx.switch_times(spark, d, days), "id", "left")
     return cohort.censor_time(e, CENSORS, "event_t")
 
 

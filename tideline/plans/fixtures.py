@@ -88,10 +88,14 @@ def hot_orders(spark: SparkSession, d: str) -> list:
     return _remembered(spark, "order", d, lambda floor: [] if items.count() <= floor else hot_values(items, "l_orderkey", floor=floor))
 
 
-def spine(spark: SparkSession, d: str) -> DataFrame:
-    """Customers with at least one order, with their study end and death time."""
+def spine(spark: SparkSession, d: str, days: DataFrame | None = None) -> DataFrame:
+    """Customers with at least one order, with their study end and death time.
+
+    ``days`` is a staged ``order_days``, read instead of the orders where a plan has one.
+    """
+    index = index_dates(spark, d) if days is None else days.groupBy("id").agg(F.min("index_ts").alias("index_ts"))
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, d, "customer").withColumnRenamed("c_custkey", "id").join(index_dates(spark, d), "id")
+    c = table(spark, d, "customer").withColumnRenamed("c_custkey", "id").join(index, "id")
     c = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select(
         "id", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"),
@@ -106,23 +110,33 @@ def acctbal_bucket():
     return bucketize([(b < 0, "debt"), (b < 3000, "low"), (b < 7000, "mid")], "high")
 
 
-def orders_by_day(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with their day offset from the customer's index."""
+def order_days(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their day offset from the customer's index, and that index."""
     o = lookup(table(spark, d, "orders").withColumnRenamed("o_custkey", "id"), index_dates(spark, d), ["id"], "inner", hot=hot_ids(spark, d))
-    return o.select("id", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", day_offset("o_orderdate", "index_ts").alias("t"))
+    return o.select("id", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", day_offset("o_orderdate", "index_ts").alias("t"), "index_ts")
+
+
+def orders_by_day(spark: SparkSession, d: str) -> DataFrame:
+    return order_days(spark, d).drop("index_ts")
+
+
+def study_ends(days: DataFrame) -> DataFrame:
+    """Study end of each customer in ``order_days``."""
+    return days.groupBy("id").agg(day_offset(F.lit(STUDY_END).cast("timestamp_ntz"), F.min("index_ts")).alias("study_end"))
 
 
-def event_logs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def event_logs(spark: SparkSession, d: str, days: DataFrame | None = None) -> dict[str, DataFrame]:
     """Two event logs: urgent orders after day 0, finished and unfinished."""
-    u = orders_by_day(spark, d).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("t") > 0))
+    days = orders_by_day(spark, d) if days is None else days
+    u = days.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("t") > 0))
     u = u.withColumn("indicator", F.when(F.col("o_totalprice") > HIGH_VALUE, "major"))
     pick = lambda c: u.filter(c).select("id", "o_orderkey", "t", "indicator")
     return {"closed": pick(F.col("o_orderstatus") == "F"), "open": pick(F.col("o_orderstatus").isin("O", "P"))}
 
 
-def switch_times(spark: SparkSession, d: str) -> DataFrame:
-    o = orders_by_day(spark, d).filter((F.col("o_orderpriority") == "2-HIGH") & (F.col("t") > 0))
-    return o.groupBy("id").agg(F.min("t").alias("switch_t"))
+def switch_times(spark: SparkSession, d: str, days: DataFrame | None = None) -> DataFrame:
+    days = orders_by_day(spark, d) if days is None else days
+    return days.filter((F.col("o_orderpriority") == "2-HIGH") & (F.col("t") > 0)).groupBy("id").agg(F.min("t").alias("switch_t"))
 
 
 def measures(spark: SparkSession, d: str) -> DataFrame:
