@@ -223,3 +223,27 @@ def unique(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: F
 def op9(spark, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return join(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_text_links", "class_size")
+
+
+#: All pairs by their common shingles, and classes by walking the links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), k AS (
+  SELECT x AS doc_id, min(y) AS class_id, count(*)::BIGINT AS class_size FROM r GROUP BY x
+), t AS (
+  SELECT x AS doc_id, count(*)::BIGINT AS n_links,
+         count(DISTINCT CASE WHEN array_to_string(b.words, ' ') <> array_to_string(a.words, ' ') THEN array_to_string(b.words, ' ') END)::BIGINT AS n_text_links
+  FROM l JOIN w a ON a.doc_id = x JOIN w b ON b.doc_id = y GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_text_links, 0)::BIGINT AS n_text_links, class_size FROM k LEFT JOIN t USING (doc_id)
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE = {
     "op2_warc": warc.ORACLE,
     "op7_chat_format": chat.ORACLE,
+    "op9_ngram_jaccard_join": near.ORACLE,
     "op10_fair_mix": mixing.ORACLE,
 }
