@@ -521,3 +521,15 @@ sql("bundle_sink", "SELECT id, segment, n_intervals FROM x_sp LEFT JOIN (SELECT
 sql("curve_sink", """SELECT model AS feature, threshold, count(*) FILTER (y = 1 AND score >= threshold) / count(*)::DOUBLE - count(*) FILTER (y = 0 AND score >= threshold) / count(*)::DOUBLE * (threshold / (1 - threshold)) AS net_benefit,
   avg(y) - (1 - avg(y)) * (threshold / (1 - threshold)) AS treat_all, 0e0 AS treat_none FROM x_sc, x_th GROUP BY 1, 2""", "threshold net_benefit treat_all")
 sql("materialize", "SELECT * FROM x_lab", "event_t")
+
+# models with given coefficients
+CTE["x_hz"] = """SELECT x_ti.*, 0.2e0 * z - 0.1e0 * (segment = 'BUILDING')::INT + 0.3e0 * (treatment = 'switched')::INT AS lp FROM x_ti JOIN (
+  SELECT id, segment, (acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER () AS z FROM x_sp) USING (id)"""
+CTE["x_h0"] = """SELECT e.t, any_value(e.d) / sum(exp(x_hz.lp)) AS h FROM (SELECT "end" AS t, count(*)::DOUBLE AS d FROM x_hz WHERE event > 0 GROUP BY 1) e
+  JOIN x_hz ON x_hz.start < e.t AND x_hz."end" >= e.t GROUP BY 1"""
+sql("cox_predict_fixed", """SELECT x_st.id, x_st.start, x_st.eval_t, exp(-hz * exp(lp)) AS surv FROM x_st JOIN x_hz ON x_hz.id = x_st.id AND x_hz.start = x_st.start
+  JOIN (SELECT g.eval_t, coalesce(sum(h), 0) AS hz FROM (SELECT DISTINCT eval_t FROM x_st) g LEFT JOIN x_h0 ON t <= g.eval_t GROUP BY 1) USING (eval_t)""", "start eval_t surv")
+_Z = "({0} - avg({0}) OVER ()) / (CASE WHEN stddev_pop({0}) OVER () > 0 THEN stddev_pop({0}) OVER () ELSE 1 END)"
+_FORMULA = [(c, _Z.format(f"{c}::DOUBLE")) for c in ("acctbal", "study_end", "n_prior")] + [("switch", "switch::DOUBLE")]
+_FORMULA += [(f"segment_{v}", f"(segment = '{v}')::INT::DOUBLE") for v in _SEG]
+sql("formula_expand", " UNION ALL ".join(f"SELECT id, {i}::INT AS position, '{n}' AS name, {e} AS value FROM x_mc" for i, (n, e) in enumerate(_FORMULA)), "value")

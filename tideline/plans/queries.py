@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -834,8 +836,9 @@ def test_metrics(t, model, name):
 
 @query
 def formula_expand(spark, d):
+    """The formula's columns by name and position, with the value each contributes."""
     t, columns = model_table(spark, d)
-    return t.select("id", F.lit(len(columns)).alias("n_columns"), F.lit(", ".join(columns)).alias("formula"))
+    return features.attach_names(t.select("id", vector_to_array("features").alias("v")), "v", columns, "value").select("id", "position", "name", "value")
 
 
 @query
@@ -919,6 +922,14 @@ def cox_predict(spark, d):
     return cox.cox_predict(m, rows, rows, TIMES, id="id", hot=fx.hot_ids(spark, d)).select("id", "start", "eval_t", "surv")
 
 
+@query
+def cox_predict_fixed(spark, d):
+    """As cox_predict, from given coefficients."""
+    rows = hazard_rows(spark, d)
+    m = cox.CoxModel(COVARIATES, np.array([0.2, -0.1, 0.3]), 0.0, np.eye(3), "breslow", 0, True)
+    return cox.cox_predict(m, rows, rows, TIMES, id="id", hot=fx.hot_ids(spark, d)).select("id", "start", "eval_t", "surv")
+
+
 @query
 def hazard_forest(spark, d):
     rows = hazard_rows(spark, d)
