@@ -1,5 +1,6 @@
 """Plan shapes that must hold at any size."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,13 @@ def test_density_of_a_single_group(spark, sf):
     out = profile.density_curve(fx.table(spark, sf, "customer"), [], "c_acctbal", points=40, cells=256).orderBy("x").collect()
     area = sum((b["x"] - a["x"]) * (a["density"] + b["density"]) / 2 for a, b in zip(out, out[1:]))
     assert 0.7 < area < 1.05
+
+
+def test_density_is_the_kernel_sum(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 1, 400), rng.normal(6, 0.5, 200)])
+    out = profile.density_curve(spark.createDataFrame([(float(x),) for x in v], "v double"), [], "v", points=50).orderBy("point").toPandas()
+    q1, q3 = np.quantile(v, [0.25, 0.75])
+    h = 0.9 * min(v.std(ddof=1), (q3 - q1) / 1.34) * len(v) ** -0.2
+    exact = np.exp(-0.5 * ((out.x.to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+    assert np.abs(out.density - exact).max() < 1e-4 * exact.max(), np.abs(out.density - exact).max()

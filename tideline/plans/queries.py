@@ -763,7 +763,7 @@ def histogram_equal(spark, d):
 
 @query
 def density_curve(spark, d):
-    return profile.density_curve(fx.measures(spark, d), ["measure"], "value", points=64, cells=512)
+    return profile.density_curve(fx.measures(spark, d), ["measure"], "value")
 
 
 # sinks ---------------------------------------------------------------------------------------------
