@@ -12,17 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a long, b long); a component is named by its smallest node.
 
     Alternating large and small stars: each round links every node's larger (then smaller)
-    neighbours to the smallest one, which keeps components and halves long paths. Minima come
-    from combining aggregates and meet the edges in joins whose large partitions Spark may
-    split, so a node with very many edges is no single task. Each round is written to the shared
-    folder. Self-loops and repeated edges are allowed.
+    neighbours to the smallest one, which keeps components and halves long paths. Minima
+    come from combining aggregates, are written to the shared folder, and meet the edges in
+    joins of two plain shuffles, whose large partitions Spark splits, so a node with very many
+    edges is no single task. Self-loops and repeated edges are allowed.
     """
     star = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = stage(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = stage(small)

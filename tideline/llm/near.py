@@ -177,7 +177,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fra
     texts = stage(rows.filter("key is not null").groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")))
 
     entries = rows.filter("trees is not null").select("key", F.explode("trees").alias("tree"))
-    buckets = entries.groupBy("tree").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("tree", "least")
+    # written, so that the join below is of two plain shuffles and Spark can split a bucket of very many texts
+    buckets = stage(entries.groupBy("tree").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("tree", "least"))
     near = components(entries.join(buckets, "tree").select(F.col("key").alias("a"), F.col("least").alias("b")))
 
     members = near.withColumnRenamed("node", "key").join(texts, "key")
