@@ -39,14 +39,14 @@ def plan_records(pages: DataFrame, least: int = LEAST, payload: str = "html", id
     Of the rows with one payload of at least ``least`` bytes, those with the smallest id hold it
     (several only if that id itself repeats) and the others refer to them. A null payload is
     empty; rows without an id hold their payload unless an id of their group does.
-    The smallest id is found by a combining aggregate, and only payloads that occur twice come
-    back into a join whose large partitions Spark may split.
+    The smallest id is found by a combining aggregate. Only payloads that occur twice are kept;
+    they are written, so that the join is of two plain shuffles, whose large partitions Spark splits.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long = rows.filter(F.octet_length("payload") >= least)
-    first = long.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stage(long.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     other = (F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(first, F.col("digest") == F.col("d"), "left").select(
         "page_id", "url", F.when(~other, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "digest", F.when(other, F.col("first")).alias("refers_to")
