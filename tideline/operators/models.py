@@ -37,7 +37,8 @@ def assemble(df: DataFrame, columns: Sequence[str], label: str | None = None) ->
 
 
 def forest(trees: int = 500, min_leaf: int = 1, depth: int = 10, seed: int = 0) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, seed=seed)
+    # nodes of many trees are split in one pass over the rows, as far as the histograms fit
+    return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
 
 
 def boosted(iterations: int = 100, rate: float = 0.1, min_leaf: int = 1, depth: int = 3, seed: int = 0) -> GBTClassifier:
