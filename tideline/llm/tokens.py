@@ -26,7 +26,7 @@ END = array("I", [2]).tobytes()
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Chunks that a task remembers at most; beyond it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class Memory(dict):
