@@ -110,6 +110,16 @@ def test_classifier_finds_what_the_rules_miss(spark):
     assert not any(found[i] for i in range(0, 200, 2))
 
 
+def test_fit_counts_every_text_once(spark, monkeypatch):
+    seen, plain = [], pii.expectation_maximisation
+    monkeypatch.setattr(pii, "expectation_maximisation", lambda cells: seen.append(dict(cells)) or plain(cells))
+    texts = spark.range(24_000).selectExpr("concat(if(id % 3 = 0, 'call 212-555-', 'page 901 '), lpad(id, 5, '0'), ' and ', 10000000 + id) AS text")
+    copies = texts.filter("text LIKE '%-00000 %'").crossJoin(spark.range(20_000)).select("text")
+    one, two = pii.fit(texts), pii.fit(texts.unionByName(copies))
+    assert sum(seen[0].values()) == 48_000 and seen[0] == seen[1]
+    assert one == two
+
+
 def test_redaction(spark, docs):
     model = pii.Model(0.5, {}, -50.0, {k: [0.0] * n for k, n in pii.SHAPE.items()})
     out = pii.redact(docs, model)

@@ -156,14 +156,13 @@ def expectation_maximisation(cells: list[tuple[str, int]], tolerance: float = 1e
     return new, tables
 
 
-def fit(docs: DataFrame, text: str = "text", sample_docs: int = 20_000, ridge: float = 1e-3) -> Model:
-    """Labeler reliabilities and the span classifier, from about ``sample_docs`` documents chosen by hash."""
-    n = docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30)))
+def fit(docs: DataFrame, text: str = "text", ridge: float = 1e-3) -> Model:
+    """Labeler reliabilities and the span classifier, from all documents; equal texts count once."""
+    each = docs.select(F.xxhash64(text).alias("hash"), F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
     cells = (
-        some.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
-        .groupBy(F.col("c.votes").alias("votes"), F.col("c.shape").alias("shape"))
+        each.select("hash", *(F.col(f"c.{k}").alias(k) for k in ("start", "rank", "votes", "shape")))
+        .distinct()
+        .groupBy("votes", "shape")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
@@ -171,7 +170,12 @@ def fit(docs: DataFrame, text: str = "text", sample_docs: int = 20_000, ridge: f
     for r in cells:
         patterns[r["votes"]] = patterns.get(r["votes"], 0) + r["n"]
     prior, tables = expectation_maximisation(sorted(patterns.items()))
-    rows = [([r["shape"][k] for k in SHAPE], r["n"], _posterior(r["votes"], prior, tables)) for r in sorted(cells, key=str)]
+    shapes: dict[tuple, tuple[int, float]] = {}
+    for r in sorted(cells, key=str):
+        k = tuple(r["shape"][k] for k in SHAPE)
+        n, p = shapes.get(k, (0, 0.0))
+        shapes[k] = n + r["n"], p + r["n"] * _posterior(r["votes"], prior, tables)
+    rows = [(shape, n, p / n) for shape, (n, p) in shapes.items()]
     bias, weights = 0.0, {k: [0.0] * m for k, m in SHAPE.items()}
     everything = sum(n for _, n, _ in rows) or 1
     for _ in range(400 if rows else 0):
