@@ -357,6 +357,14 @@ def test_comparison_counts_links_exactly():
     assert (root[linked.nonzero()[0]] == root[linked.nonzero()[1]]).all()
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    rng, depth, lost = np.random.default_rng(1), near.forest_depth(), 0
+    for _ in range(5000):
+        x = rng.integers(0, np.iinfo(np.uint64).max, 100, np.uint64)  # 80 of 100 shingles in common
+        lost += not (near.labels(x[:90], depth) == near.labels(np.concatenate([x[:80], x[90:]]), depth)).any()
+    assert lost <= 3
+
+
 def test_forest_depth_meets_its_recall():
     d = near.forest_depth()
     assert 1 - (1 - 0.8**d) ** near.TREES >= near.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near.TREES

@@ -1,11 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash bands of one fixed length, with exact verification.
 
 1. Every text becomes the set of its runs of five words. Its MinHash values form one label
-   per tree of the forest; texts whose labels share a prefix in some tree are candidates.
-   The prefix is shortened, one value at a time from the longest, until pairs at the
-   threshold are found with the target recall.
-2. Each trie bucket links its members to its smallest one: as many rows as members. The
-   connected components of these links hold all pairs that the forest proposes.
+   per tree: the hash of its first ``forest_depth()`` values. That length is fixed before any
+   text is read; it is not shortened text by text or bucket by bucket. Texts with an equal
+   label in some tree are candidates. A pair at the threshold shares none with a chance of
+   ``1 - RECALL`` at most by the formula, and is then missed unless other texts chain the two.
+2. Each bucket links its members to its smallest one: as many rows as members. The
+   connected components of these links hold all pairs that the bands propose.
 3. Inside a component all pairs are compared exactly, as products of incidence matrices over
    pairs of bounded blocks. Only numbers of links and links to roots leave a task, never
    pairs, so a group of m near copies gives m rows.
@@ -29,9 +30,9 @@ from tideline.llm.components import components
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
-TREES = 32
+TREES = 64
 LONGEST = 12
-RECALL = 0.995
+RECALL = 0.99999
 #: Bounds of one side of a comparison: bytes of text and number of texts.
 BLOCK_BYTES = 4 << 20
 BLOCK_TEXTS = 512
