@@ -129,3 +129,10 @@ def test_entities_that_are_cut_give_the_same(spark, sf, name):
     finally:
         spark.conf.unset(FLOOR_KEY)
     assert ok, message
+
+
+def test_one_hot_refuses_levels_that_are_not_listed(spark):
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
+    assert sorted(map(tuple, features.one_hot(rows, ["c"], levels={"c": ["a", "b"]}, drop="first").collect())) == [(0.0,), (0.0,), (1.0,)]
+    with pytest.raises(Exception, match="not listed: b"):
+        features.one_hot(rows, ["c"], levels={"c": ["a", "z"]}, drop="first").collect()

@@ -38,6 +38,7 @@ def one_hot(df: DataFrame, columns: Sequence[str], *, levels: dict[str, list[str
     ``drop="binary"`` leaves out the first level only of two-level columns, ``"first"`` of
     all (full rank), ``"none"`` of none.  ``missing`` names the level standing for NULL.
     The levels become columns, so they are listed; for open-ended ones see ``one_hot_sparse``.
+    A value that is not listed ends the query with an error; NULL gives zeros.
     """
     if drop not in ("binary", "first", "none"):
         raise ValueError("drop must be 'binary', 'first' or 'none'")
@@ -46,9 +47,11 @@ def one_hot(df: DataFrame, columns: Sequence[str], *, levels: dict[str, list[str
     out = [F.col(c) for c in df.columns if c not in set(columns)]
     for c in columns:
         names = levels[c]
+        known = F.col(c).isNull() | F.col(c).isin(list(names))
+        stranger = F.raise_error(F.concat(F.lit(f"one_hot: {c} has a value that is not listed: "), F.col(c).cast("string")))
         if drop == "first" or (drop == "binary" and len(names) == 2):
             names = names[1:]
-        out += [F.when(F.col(c) == v, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_{v}") for v in names]
+        out += [F.when(F.col(c) == v, F.lit(1.0)).when(known, F.lit(0.0)).otherwise(stranger).cast("double").alias(f"{c}_{v}") for v in names]
     return df.select(*out)
 
 
