@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, graph, langid, mixing, near, packing, pii, quality, secrets, warc
+from tideline.llm import chat, codes, graph, langid, mixing, near, packing, pii, quality, secrets, warc, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality.op8,
     "op9_ngram_jaccard_join": near.op9,
     "op10_fair_mix": mixing.op10,
+    "op11_embedding_whitening": whitening.op11,
+    "op13_vector_codes": codes.op13,
 }
 
 ORACLE = {
@@ -22,4 +24,5 @@ ORACLE = {
     "op7_chat_format": chat.ORACLE,
     "op9_ngram_jaccard_join": near.ORACLE,
     "op10_fair_mix": mixing.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }
