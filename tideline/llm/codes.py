@@ -111,7 +111,8 @@ class Codes:
     Null vectors, empty ones and those with a null, NaN or infinite component are dropped, as are
     vectors of another length than the usual one, which must be a multiple of ``parts``. Rows
     with a null id come last in the first codebooks, rows of one id by their components; with fewer
-    than ``entries`` rows a codebook has one entry per row. Repeated rows count as often as they occur.
+    than ``entries`` rows a codebook has one entry per row. Sums are exact up to 38 digits; beyond,
+    the job ends with an error. Repeated rows count as often as they occur.
     """
 
     def __init__(self, rows: DataFrame, id: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = (), parts: int = PARTS, entries: int = ENTRIES, pivots: int = PIVOTS):
@@ -168,7 +169,7 @@ class Codes:
                         used, lo = np.unique(entry[order], return_index=True)
                         sums[p * size + used] += np.add.reduceat(rows[order], lo, axis=0).astype(object)
             used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used]), *(_numbers(sums[used, i]) for i in range(width))], names=["slot", "n", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used]), *(pa.array([Decimal(c) for c in sums[used, i]], pa.decimal128(38, 0)) for i in range(width))], names=["slot", "n", *names])
 
         found = self.rows.select("v", "far").mapInArrow(run, "slot int, n long, " + ", ".join(f"{s} decimal(38,0)" for s in names))
         books = [[[int(c) for c in e] for e in b] for b in self.books]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat, codes, graph, langid, mixing, near, packing, pii, quality, secrets, warc, whitening
+from tideline.llm import chat, codes, extraction, graph, langid, mixing, near, packing, pii, quality, secrets, warc, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": near.op9,
     "op10_fair_mix": mixing.op10,
     "op11_embedding_whitening": whitening.op11,
+    "op12_html_text": extraction.op12,
     "op13_vector_codes": codes.op13,
 }
 
@@ -24,5 +25,6 @@ ORACLE = {
     "op7_chat_format": chat.ORACLE,
     "op9_ngram_jaccard_join": near.ORACLE,
     "op10_fair_mix": mixing.ORACLE,
+    "op12_html_text": extraction.ORACLE,
     "op13_vector_codes": codes.ORACLE,
 }

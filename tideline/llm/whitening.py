@@ -97,7 +97,10 @@ def _valid(rows: DataFrame, vector: str, length: int, *keep: Column) -> DataFram
 
 
 def _added(rows: DataFrame, length: int, cells, of) -> dict[tuple[int, int], int]:
-    """Exact totals over all rows of the ``of`` each batch, a matrix whose ``cells`` are asked for."""
+    """Exact totals over all rows of the ``of`` each batch, a matrix whose ``cells`` are asked for; under (-1, -1) the rows.
+
+    Integers of any size travel as digits of 32 bits, whose sums are longs.
+    """
     at = list(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +110,21 @@ def _added(rows: DataFrame, length: int, cells, of) -> dict[tuple[int, int], int
                 new, n = of(matrix(batch.column(0), length)), n + batch.num_rows
                 sums = new if sums is None else sums + new
         if n:
-            values = [n, *(int(sums[c]) for c in at)]
-            i, j = zip((-1, -1), *at)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([Decimal(v) for v in values], pa.decimal128(38, 0))], names=["i", "j", "s"])
-
-    parts = rows.mapInArrow(run, "i int, j int, s decimal(38,0)")
-    return {(r["i"], r["j"]): int(r["s"]) for r in parts.groupBy("i", "j").agg(F.sum("s").alias("s")).collect()}
+            out = []
+            for (i, j), value in [((-1, -1), n), *((c, int(sums[c])) for c in at)]:
+                digit, sign = 0, 1 if value >= 0 else -1
+                value = abs(value)
+                while value:
+                    out.append((i, j, digit, sign * (value & 0xFFFFFFFF)))
+                    value, digit = value >> 32, digit + 1
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["i", "j", "digit", "s"])
+
+    parts = rows.mapInArrow(run, "i int, j int, digit int, s long")
+    total = dict.fromkeys([(-1, -1), *at], 0)
+    for r in parts.groupBy("i", "j", "digit").agg(F.sum("s").alias("s")).collect():
+        total[r["i"], r["j"]] += r["s"] << (32 * r["digit"])
+    return total
 
 
 def fit(rows: DataFrame, vector: str = "embedding", scale: float = SCALE, shift: int = SHIFT) -> Model | None:
@@ -121,6 +133,7 @@ def fit(rows: DataFrame, vector: str = "embedding", scale: float = SCALE, shift:
     if not d:
         return None
     values = _valid(rows, vector, d)
+    # the sums of both passes are exact, so what a retried task adds again is the same
     sums = _added(values, d, [(0, i) for i in range(d)], lambda v: whole(v, scale, shift).astype(object).sum(axis=0)[None, :])
     n = sums[-1, -1]
     total = [sums[0, i] for i in range(d)]
