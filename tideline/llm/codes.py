@@ -34,7 +34,7 @@ ENTRIES = 256
 ROUNDS = 4
 PIVOTS = 8
 #: Entries evaluated between two looks at the bounds, and rows that are worked on together.
-STEP = 8
+STEP = 16
 ROWS = 2048
 
 
@@ -77,9 +77,18 @@ def nearest(rows: np.ndarray, known: np.ndarray, book: np.ndarray, pivots: np.nd
     order = np.argsort(bound, axis=1, kind="stable")
     bound = np.take_along_axis(bound, order, axis=1)
     entry, best, active, evaluated = np.zeros(n, np.int64), None, np.arange(n), 0
+    top = max((int(np.abs(v).max()) for v in (rows, book) if v.size), default=0)
+    # below 2^53 products of doubles are exact, and quicker than those of integers
+    small = rows.shape[1] * 4 * top * top < 1 << 53
+    if small:
+        rows, book = rows.astype(float), book.astype(float)
+        lengths, sizes = (rows * rows).sum(axis=1), (book * book).sum(axis=1)
     for at in range(0, m, STEP):
         some = order[active, at : at + STEP]
-        d = squared(rows[active, None, :], book[some])
+        if small:
+            d = (lengths[active, None] + sizes[some] - 2 * np.einsum("nd,nsd->ns", rows[active], book[some])).astype(np.int64)
+        else:
+            d = squared(rows[active, None, :], book[some])
         evaluated += d.size
         low = d.min(axis=1)
         first = np.where(d == low[:, None], some, m).min(axis=1)
