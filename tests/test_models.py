@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import cox, metrics_surv, models
+from tideline.operators import cox, intervals, metrics_surv, models
 
 
 def cohort(n=160, seed=5):
@@ -119,3 +119,128 @@ def test_dependence_and_importance(spark):
     )
     got = {r["variable"]: r["importance"] for r in drop.collect()}
     assert got["x0"] > 0.05 and got["x1"] == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("cells, chunks", [(50_000, 512), (20, 512), (40, 3)])
+def test_c_index_by_chunks(spark, monkeypatch, cells, chunks):
+    """Groups, one of them NULL, a time and a risk that hold a third of the rows each, weights, and NaN."""
+    monkeypatch.setattr(metrics_surv, "CHUNK_CELLS", cells)
+    monkeypatch.setattr(metrics_surv, "CHUNKS", chunks)
+    rng = np.random.default_rng(2)
+    p = pd.concat([cohort(250, k).assign(g=g) for k, g in enumerate(["a", "b", None])])
+    p["risk"] = np.where(rng.random(len(p)) < 0.35, 0.5, p.x0)
+    late = rng.random(len(p)) < 0.35
+    p.loc[late, "end"], p.loc[late & (rng.random(len(p)) < 0.7), "event"] = 25.0, 0.0
+    rows = spark.createDataFrame(p).unionByName(spark.createDataFrame(p.head(3).assign(risk=float("nan"))))
+    got = {r["g"]: r for r in metrics_surv.c_index(rows, ["g"], time="end", event="event", risk="risk").collect()}
+    for g, q in p.groupby("g", dropna=False):
+        g = None if g != g else g
+        assert (got[g]["usable"], got[g]["concordant"], got[g]["tied"]) == brute(q)
+    assert len(got) == 3
+    assert metrics_surv.c_index(rows.filter("g = 'z'"), ["g"], time="end", event="event", risk="risk").count() == 0
+
+
+def wide_cohort(n=300, p=12, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p)).round(3)
+    t = np.ceil(rng.exponential(30 * np.exp(-x[:, 0] + 0.5 * x[:, 1]))).clip(1, 40)
+    c = np.where(rng.random(n) < 0.4, 25, rng.integers(3, 40, n))
+    end = np.minimum(t, c).astype(float)
+    d = {"id": np.arange(n), "start": np.where(rng.random(n) < 0.3, np.floor(end / 2), 0.0), "end": end, "event": (t <= c).astype(float)}
+    return pd.DataFrame(d | {f"x{i}": x[:, i] for i in range(p)}), [f"x{i}" for i in range(p)]
+
+
+def plain_derivatives(p, names, b, ties):
+    x, s, e, d = p[names].to_numpy(), p.start.to_numpy(), p.end.to_numpy(), p.event.to_numpy()
+    w, ll, g, h = np.exp(x @ b), 0.0, np.zeros(len(b)), np.zeros((len(b), len(b)))
+    for t in np.unique(e[d > 0]):
+        r, dead = (s < t) & (e >= t), (e == t) & (d > 0)
+        for i in range(dead.sum()):
+            v = w * r - (i / dead.sum() * w * dead if ties == "efron" else 0)
+            s0, s1 = v.sum(), v @ x
+            ll -= np.log(s0)
+            g -= s1 / s0
+            h += (x.T * v) @ x / s0 - np.outer(s1, s1) / s0**2
+        ll, g = ll + (x[dead] @ b).sum(), g + x[dead].sum(0)
+    return ll, g, h
+
+
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
+@pytest.mark.parametrize("chunk_bytes", [8 << 20, 3000])
+def test_packed_derivatives(spark, ties, chunk_bytes):
+    """One chunk, and many with a time that fills several; models with and without a fold left out."""
+    p, names = wide_cohort()
+    df = spark.createDataFrame(p).withColumn("fold", (F.col("id") % 3).cast("int"))
+    packed = cox.Packed(df.select("start", "end", "event", *names, "fold"), names, chunk_bytes)
+    assert (len(packed.slots) > 5 and any(v is not None for v in packed.slots.values())) == (chunk_bytes < 10_000)
+    b = np.linspace(-0.5, 0.5, len(names))
+    got = cox.derivatives(packed, {0: (b, -1), 1: (b * 0, 1), 2: (b, 2)}, ties)
+    for m, (beta, out) in {0: (b, -1), 1: (b * 0, 1), 2: (b, 2)}.items():
+        ll, g, h = plain_derivatives(p[p.id % 3 != out], names, beta, ties)
+        # the block is centred, which moves the likelihood of no model
+        assert np.isclose(got[m][0], ll, rtol=1e-10) and np.allclose(got[m][1], g, atol=1e-9 * np.abs(g).max()) and np.allclose(got[m][2], h, atol=1e-9 * np.abs(h).max())
+    some = cox.derivatives(packed, {0: (b, -1)}, ties, np.array([1, 4]))[0]
+    assert np.allclose(some[2], got[0][2][np.ix_([1, 4], [1, 4])]) and np.allclose(some[1], got[0][1])
+
+
+def test_a_hundred_covariates(spark):
+    p, names = wide_cohort(1500, 100, 6)
+    m = cox.cox_fit(spark.createDataFrame(p), names)
+    _, g, h = plain_derivatives(p, names, m.beta, "efron")
+    assert np.abs(np.linalg.solve(h, g)).max() < 1e-6 * np.abs(m.beta).max()
+    b = m.beta + np.linalg.solve(h, g)
+    again = plain_derivatives(p, names, b, "efron")
+    assert np.allclose(m.beta, b + np.linalg.solve(again[2], again[1]), rtol=0, atol=1e-9)
+
+
+def test_penalised_path(spark):
+    p, names = wide_cohort(400, 12, 9)
+    m = cox.cox_penalised(spark.createDataFrame(p), names, id="id", alpha=0.9, seed=3, n_lambdas=12, ratio=0.01, folds=3, together=5)
+    lams = sorted(m.path, reverse=True)
+    assert len(lams) == 12 and np.isclose(lams[-1], lams[0] / 100) and set(m.scores) == set(lams)
+    assert np.all(m.path[lams[0]] == 0) and np.any(m.path[lams[1]] != 0)
+    z = p.assign(**{c: (p[c] - p[c].mean()) / p[c].std() for c in names})
+    for lam in lams:
+        b = m.path[lam] * p[names].std().to_numpy()
+        _, g, _ = plain_derivatives(z, names, b, "breslow")
+        g = g / len(p)
+        on = b != 0
+        assert np.allclose(g[on], lam * (0.9 * np.sign(b[on]) + 0.1 * b[on]), atol=1e-5)
+        assert np.all(np.abs(g[~on]) <= lam * 0.9 * (1 + 1e-6))
+    assert m.scores[max(m.scores, key=m.scores.get)] > 0.6
+
+
+@pytest.mark.parametrize("per_bucket", [256, 2])
+def test_points_in_intervals(spark, per_bucket):
+    """Open ends, empty and reversed intervals, NULLs, a start that a third share, repeated points with columns of their own."""
+    rng = np.random.default_rng(per_bucket)
+    lo = np.where(rng.random(300) < 0.35, 0.0, rng.integers(0, 90, 300)).astype(float)
+    hi = lo + rng.integers(-2, 40, 300)
+    rows = [(i, float(a), None if i % 11 == 0 else float(b)) for i, (a, b) in enumerate(zip(lo, hi))] + [(900, None, 5.0), (901, 200.0, None)]
+    points = [(float(t), f"p{k}") for k, t in enumerate(rng.integers(-5, 99, 120))] + [(7.0, "x")] * 30 + [(None, "none")]
+    got = intervals.stabbing_join(spark.createDataFrame(rows, "id int, lo double, hi double"), spark.createDataFrame(points, "at double, name string"), lower="lo", upper="hi", at="at", per_bucket=per_bucket)
+    assert got.columns == ["id", "lo", "hi", "at", "name"]
+    want = sorted((i, t, n) for i, a, b in rows if a is not None for t, n in points if t is not None and a <= t and (b is None or t < b))
+    assert sorted((r["id"], r["at"], r["name"]) for r in got.collect()) == want
+    none = intervals.stabbing_join(spark.createDataFrame(rows, "id int, lo double, hi double"), spark.createDataFrame([], "at double, name string"), lower="lo", upper="hi", at="at")
+    assert none.columns == got.columns and none.count() == 0
+
+
+def test_permutation_importance_by_time(spark):
+    """A variable without weight has none; a time before any event is left out."""
+    p = cohort(300, 3).assign(start=0.0)
+    df = spark.createDataFrame(p)
+    model = cox.CoxModel(["x0", "x1"], np.array([0.9, 0.0]), 0.0, np.eye(2), "breslow", 0, True)
+    points = cox.hazard_at(model, df, spark.createDataFrame([(0.0,), (10.0,), (20.0,)], "t double"))
+    predict = lambda d: d.withColumn("surv", cox.survival(model))
+    kw = dict(key=["id"], id="id", seed=4, static=["x1"], replicates=4)
+    by_time = {(r["variable"], r["eval_t"]): r for r in models.permutation_by_time(df, ["x0", "x1"], points, predict, **kw).collect()}
+    assert sorted(t for v, t in by_time if v == "x0") == [10.0, 20.0]
+    q = p.assign(risk=p.x0)
+    for t in (10.0, 20.0):
+        u, c, k = brute(q, t)
+        assert np.isclose(by_time["x0", t]["original"], (c + k / 2) / u)
+        assert by_time["x1", t]["permuted"] == by_time["x1", t]["original"]
+        assert abs(by_time["x0", t]["permuted"] - 0.5) < 0.1
+    got = {r["variable"]: (r["importance"], r["n_times"]) for r in models.permutation_importance(df, ["x0", "x1"], points, predict, **kw).collect()}
+    assert got["x1"] == (0.0, 2) and got["x0"][0] > 0.1

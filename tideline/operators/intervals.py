@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stage
-from .ordered import hot_values, lookup, ordered_scan
+from .ordered import bucket_of, cut_points, hot_values, lookup, ordered_scan, shuffle_partitions
 
 
 def treatment_intervals(entities: DataFrame, *, id: str, forecast: float | None = None) -> DataFrame:
@@ -95,23 +95,89 @@ def _times(times: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(t)) for t in sorted(set(times))])
 
 
-def asof_at_times(df: DataFrame, *, id: str, start: str, end: str, times: Sequence[float], hot: Sequence | None = None) -> DataFrame:
+#: Points in one bucket of ``stabbing_join``.
+POINTS = 256
+
+
+def stabbing_join(df: DataFrame, points: DataFrame, *, lower: str, upper: str, at: str, per_bucket: int = POINTS) -> DataFrame:
+    """Each row of ``df`` with each of ``points`` in its ``[lower, upper)``; a NULL ``upper`` is open.
+
+    Points (their time in ``at``, other columns come along) are dealt into buckets of time, each
+    of which becomes one row with a sorted list. A row is repeated for the buckets that it
+    reaches, meets their lists in one equi-join and filters them: rows / ``per_bucket`` as many
+    rows are shuffled as come out, plus one or two per row. Buckets are salted, since all
+    intervals of a landmark begin in the same one. Rows without ``lower`` and points without a time meet nothing.
+    """
+    points = stage(points.filter(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("double")))
+    n = points.count()
+    if n == 0:
+        return df.filter(F.lit(False)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema])
+    cuts = cut_points(points, at, max(4, -(-n // per_bucket)))
+    names = points.columns
+    # a time shared by very many points fills a bucket; it is dealt into lists of bounded length
+    numbered = ordered_scan(points.withColumn("__cuts", cuts).withColumn("__b", bucket_of(F.col(at), F.col("__cuts"))).drop("__cuts"), ["__b"], [at], number="__i", hot="all")
+    lists = numbered.groupBy("__b", F.floor((F.col("__i") - 1) / (4 * per_bucket)).alias("__part")).agg(F.array_sort(F.collect_list(F.struct(at, *[c for c in names if c != at]))).alias("__points")).drop("__part")
+    last = points.agg(F.max(at)).scalar()
+    reach = df.filter(F.col(lower).isNotNull()).withColumn("__cuts", cuts).withColumn("__last", last)
+    reach = reach.filter((F.col(lower) <= F.col("__last")) & (F.col(upper).isNull() | (F.col(upper) > F.col(lower))))
+    first, to = bucket_of(F.col(lower).cast("double"), F.col("__cuts")), bucket_of(F.least(F.coalesce(F.col(upper).cast("double"), F.col("__last")), F.col("__last")), F.col("__cuts"))
+    pieces = reach.withColumn("__b", F.explode(F.sequence(first, to))).drop("__cuts", "__last")
+    # few lists are needed in many places, many lists spread the rows by themselves
+    salts = max(8, min(shuffle_partitions(df.sparkSession), 4096 * per_bucket // n))
+    met = lookup(pieces, lists, ["__b"], "inner", hot="all", salts=salts)
+    inside = F.filter("__points", lambda q: (q[at] >= F.col(lower)) & (F.col(upper).isNull() | (q[at] < F.col(upper))))
+    return met.select(*df.columns, F.inline(inside)).select(*df.columns, *names)
+
+
+def in_force(df: DataFrame, *, id: str, start: str, end: str, until: str = "start", hot: Sequence | None = None) -> DataFrame:
+    """Intervals with ``until_t``, the time up to which each is in force (NULL for ever).
+
+    ``until="start"``: the entity's next start, and ``follow_up``, its last end, as well;
+    ``until="end"``: the interval's own end, but for the entity's last one.
+    """
+    if until not in ("start", "end"):
+        raise ValueError("until must be 'start' or 'end'")
+    totals = {"follow_up": ("max", end)} if until == "start" else {}
+    rows = ordered_scan(df, [id], [start, end], lead={"__next": start}, totals=totals, hot=hot)
+    upper = F.col("__next") if until == "start" else F.when(F.col("__next").isNotNull(), F.col(end))
+    return rows.withColumn("until_t", upper).drop("__next")
+
+
+def at_points(df: DataFrame, points: DataFrame, *, id: str, start: str, end: str, at: str = "eval_t", until: str = "start", hot: Sequence | None = None) -> DataFrame:
+    """``asof_at_times`` (``until="start"``) or ``stitch_predictions`` (``until="end"``) for a table of times.
+
+    ``points`` has the times in ``at`` and may have more columns, which come along.
+    """
+    rows = in_force(df, id=id, start=start, end=end, until=until, hot=hot)
+    return stabbing_join(rows, points, lower=start, upper="until_t", at=at).drop("until_t")
+
+
+def _point_table(times: DataFrame) -> DataFrame:
+    return times.select(F.col("t").cast("double").alias("eval_t")).distinct()
+
+
+def asof_at_times(df: DataFrame, *, id: str, start: str, end: str, times: Sequence[float] | DataFrame, hot: Sequence | None = None) -> DataFrame:
     """At each time, the entity's newest interval that has started, with its follow-up end.
 
     A time belongs to the interval whose start is the last one not after it, i.e. to
     ``[start, next start)``; so every (entity, time) is produced once, without comparing
-    intervals with each other.
+    intervals with each other. ``times`` is a short list or a table with a column ``t``.
     """
+    if isinstance(times, DataFrame):
+        return at_points(df, _point_table(times), id=id, start=start, end=end, hot=hot)
     rows = ordered_scan(df, [id], [start, end], lead={"__next": start}, totals={"follow_up": ("max", end)}, hot=hot)
     hit = F.filter(_times(times), lambda t: (t >= F.col(start)) & (F.col("__next").isNull() | (t < F.col("__next"))))
     return rows.withColumn("eval_t", F.explode(hit)).drop("__next")
 
 
-def stitch_predictions(df: DataFrame, *, id: str, start: str, end: str, times: Sequence[float], hot: Sequence | None = None) -> DataFrame:
+def stitch_predictions(df: DataFrame, *, id: str, start: str, end: str, times: Sequence[float] | DataFrame, hot: Sequence | None = None) -> DataFrame:
     """Rows (interval, time) with the time in ``[start, end)``.
 
-    The last interval of an entity stays in force for all later times.
+    The last interval of an entity stays in force for all later times. ``times`` is a short
+    list or a table with a column ``t``.
     """
+    if isinstance(times, DataFrame):
+        return at_points(df, _point_table(times), id=id, start=start, end=end, until="end", hot=hot)
     rows = ordered_scan(df, [id], [start, end], lead={"__next": start}, hot=hot)
     inside = F.filter(_times(times), lambda t: (t >= F.col(start)) & (F.col("__next").isNull() | (t < F.col(end))))
     return rows.withColumn("eval_t", F.explode(inside)).drop("__next")

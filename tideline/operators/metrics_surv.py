@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import stage
-from .ordered import lookup, ordered_scan
+from .ordered import bucket_of, cut_points, lookup, ordered_scan
 from .quantiles import grouped_quantiles
 
 Z95 = 1.959963984540054
@@ -92,6 +94,44 @@ def risk_strata(df: DataFrame, by: Sequence[str], surv: str, name: str = "risk")
     return rows.withColumn(name, F.when(F.col(surv) > F.col("__median"), "low").otherwise("high")).drop("__median")
 
 
+#: Cells of one chunk of ``c_index``, and chunks along each of time and risk.
+CHUNK_CELLS = 50_000
+CHUNKS = 512
+PAIR_SUMS = "usable double, concordant double, tied double"
+
+
+def _before(group: np.ndarray, place: np.ndarray, z: np.ndarray, asked_group: np.ndarray, asked_place: np.ndarray) -> np.ndarray:
+    """For each question the sum of ``z`` over its group's rows with a smaller place (whole numbers)."""
+    order = np.lexsort((place, group))
+    width = int(max(place.max(initial=0), asked_place.max(initial=0))) + 2
+    key = group[order] * width + place[order]
+    sums = np.concatenate([[0.0], np.cumsum(z[order])])
+    lo = np.searchsorted(key, asked_group * width)
+    return sums[np.searchsorted(key, asked_group * width + asked_place)] - sums[lo]
+
+
+def pair_sums(place: np.ndarray, asked: np.ndarray, risk: np.ndarray, z: np.ndarray, q: np.ndarray) -> tuple[float, float, float]:
+    """Usable, concordant and tied weight of the pairs (i, j) with ``place_j < asked_i``.
+
+    ``z`` counts j and ``q`` weights i; concordant: ``risk_i > risk_j``. A pair's lower rank
+    shows at one bit: the higher bits agree, i has a 1 and j a 0. So every bit of the ranks is
+    one running sum, n log n steps in all.
+    """
+    rank = np.unique(risk, return_inverse=True)[1].astype(np.int64)
+    i = np.flatnonzero(q > 0)
+    usable = _before(np.zeros_like(rank), place, z, np.zeros(len(i), np.int64), asked[i]) @ q[i]
+    tied = _before(rank, place, z, rank[i], asked[i]) @ q[i]
+    won = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        low, mine = (rank >> bit) & 1 == 0, i[(rank[i] >> bit) & 1 == 1]
+        won += _before(rank[low] >> (bit + 1), place[low], z[low], rank[mine] >> (bit + 1), asked[mine]) @ q[mine]
+    return float(usable), float(won), float(tied)
+
+
+def _heavy(cuts: Column, value: str) -> Column:
+    return F.array_contains(cuts["heavy"], F.col(value))
+
+
 def c_index(df: DataFrame, by: Sequence[str], *, time: str, event: str, risk: str, tau: str | None = None, weights: str = "none") -> DataFrame:
     """Concordance per group: pairs whose earlier member had the event.
 
@@ -99,46 +139,82 @@ def c_index(df: DataFrame, by: Sequence[str], *, time: str, event: str, risk: st
     T_i``, or ``T_j = T_i`` and j censored.  It is concordant when i has the higher risk;
     equal risks count half.  ``tau`` limits ``T_i``; ``weights="ipcw"`` weights a pair by
     the inverse probability of i and j being uncensored just before and at ``T_i``.
-
-    No pairs are formed.  Risks are replaced by dense ranks; ``rank_j < rank_i`` holds
-    exactly when, at one bit position, the higher bits agree, i has a 1 and j a 0.  So
-    every bit position contributes a running count over time inside groups of equal higher
-    bits: n log n rows in total, counted exactly, and every group can be cut by time.
+    Rows whose time or risk is NULL or NaN are in no pair; a group of such rows only is not returned.
+
+    No pairs are formed. Rows become cells (time, event, risk) with counts, and cells lie in a
+    grid of chunks of time and chunks of risk. Pairs in different chunks of both are counted
+    from the grid; pairs in one chunk of time by the task that holds it, pairs in one
+    chunk of risk (and different ones of time) likewise. So a row is shuffled twice, and a
+    chunk holds about ``CHUNK_CELLS`` cells or a ``CHUNKS``-th of all. A time or risk that alone fills a chunk
+    is one of its own, in which only one order is left to count; that is an ordered scan, which can be cut.
     """
     if weights not in ("none", "ipcw"):
         raise ValueError("weights must be 'none' or 'ipcw'")
     by = list(by)
-    ok = F.col(time).isNotNull() & F.col(risk).isNotNull()
-    rows = df.filter(ok).select(
-        *by, F.col(time).cast("double").alias("t"), (F.col(event).cast("double") > 0).alias("e"), F.col(risk).cast("double").alias("r"),
+    t, r = F.col(time).cast("double"), F.col(risk).cast("double")
+    rows = df.filter(t.isNotNull() & r.isNotNull() & ~F.isnan(t) & ~F.isnan(r)).select(
+        *by, (t + 0.0).alias("t"), (F.coalesce(F.col(event).cast("double"), F.lit(0.0)) > 0).alias("e"), (r + 0.0).alias("r"),
         (F.lit(None).cast("double") if tau is None else F.col(tau).cast("double")).alias("tau"),
     )
     cells = stage(rows.groupBy(*by, "t", "e", "r").agg(F.count("*").alias("k"), F.max("tau").alias("tau")))
-    ranks = stage(ordered_scan(cells.select(*by, "r").distinct(), by, ["r"], number="rank", hot="all"))
-    cells = lookup(cells, ranks, [*by, "r"], hot="all", salts=8)
     usable = F.col("e") & (F.col("tau").isNull() | (F.col("t") <= F.col("tau")))
     if weights == "ipcw":
         g = censoring_survival(cells, by, "t", "e", "k")
         cells = lookup(cells, g, [*by, "t"], hot="all", salts=8)
-        pair_weight = F.try_divide(F.lit(1.0), F.col("g") * F.col("g_before"))
+        pair_weight = F.coalesce(F.try_divide(F.lit(1.0), F.col("g") * F.col("g_before")), F.lit(0.0))
     else:
         pair_weight = F.lit(1.0)
-    cells = cells.withColumn("q", F.when(usable, F.col("k") * pair_weight).otherwise(0.0))
-
-    bits = F.length(F.bin(ranks.agg(F.max("rank")).scalar()))
-    # level -2: all rows (usable pairs); -1: equal ranks (ties); >= 0: one per bit
-    levels = cells.withColumn("level", F.explode(F.sequence(F.lit(-2), bits - 1)))
-    bit = F.expr("shiftright(rank, greatest(level, 0)) & 1")
-    prefix = F.when(F.col("level") == -2, F.lit(0).cast("long")).when(F.col("level") == -1, F.col("rank")).otherwise(F.expr("shiftright(rank, greatest(level, 0) + 1)"))
-    later, earlier = (F.col("level") < 0) | (bit == 0), (F.col("level") < 0) | (bit == 1)
-    part = levels.withColumn("prefix", prefix).groupBy(*by, "level", "prefix", "t").agg(
-        F.sum(F.when(later, F.col("k")).otherwise(0)).alias("z"),
-        F.sum(F.when(later & ~F.col("e"), F.col("k")).otherwise(0)).alias("z_censored"),
-        F.sum(F.when(earlier, F.col("q")).otherwise(0.0)).alias("q"),
-    )
-    run = ordered_scan(part, [*by, "level", "prefix"], ["t"], sums={"z_from": "z"}, descending=True, hot="all")
-    won = run.withColumn("pairs", F.col("q") * (F.col("z_from") - F.col("z") + F.col("z_censored")))
-    kind = lambda c: F.sum(F.when(c, F.col("pairs")).otherwise(0.0))
-    level = F.col("level")
-    sums = (won.groupBy(*by) if by else won).agg(kind(level == -2).alias("usable"), kind(level == -1).alias("tied"), kind(level >= 0).alias("concordant"))
+    k = F.col("k").cast("double")
+    cells = cells.select(*by, "t", "e", "r", k.alias("z"), F.when(usable, k * pair_weight).otherwise(0.0).alias("q"))
+    # a column to group by where there is no other
+    key = ["__g", *by]
+    cells = cells.withColumn("__g", F.lit(0))
+    schema = "__g int, " + "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*by).schema) + PAIR_SUMS
+    n = cells.count()
+    chunks = min(CHUNKS, -(-n // CHUNK_CELLS))
+    one = lambda group, sums: pa.table({**{c: group[c].slice(0, 1) for c in key}, **{f.split()[0]: pa.array([v]) for f, v in zip(PAIR_SUMS.split(", "), sums)}})
+
+    def in_time(group: pa.Table) -> pa.Table:
+        t, e, r, z, q = (group[c].to_numpy() for c in ("t", "e", "r", "z", "q"))
+        # places from the latest time on; of one time the censored first, who outlive its events
+        place = 2 * np.unique(-t, return_inverse=True)[1].astype(np.int64) + e
+        return one(group, pair_sums(place, place, r, z, q))
+
+    if chunks <= 1:
+        parts = cells.groupBy(*key).applyInArrow(in_time, schema)
+    else:
+        parts = _by_chunks(cells, key, chunks, in_time, one, schema)
+    sums = (parts.groupBy(*by) if by else parts).agg(*[F.sum(c).alias(c) for c in ("usable", "concordant", "tied")])
     return sums.select(*by, "usable", "concordant", "tied", F.try_divide(F.col("concordant") + F.col("tied") / 2, F.col("usable")).alias("c_index"))
+
+
+def _by_chunks(cells: DataFrame, key: list[str], chunks: int, in_time, one, schema: str) -> DataFrame:
+    """Pair sums of cells in a grid of chunks; see ``c_index``."""
+    cells = cells.withColumn("__t", cut_points(cells, "t", chunks)).withColumn("__r", cut_points(cells, "r", chunks))
+    # chunk 2 b: the heavy value that begins bucket b; 2 b + 1: its other values
+    cells = cells.withColumn("p", 2 * bucket_of(F.col("t"), F.col("__t")) + F.when(_heavy(F.col("__t"), "t"), 0).otherwise(1))
+    cells = cells.withColumn("s", 2 * bucket_of(F.col("r"), F.col("__r")) + F.when(_heavy(F.col("__r"), "r"), 0).otherwise(1))
+    cells = stage(cells.drop("__t", "__r"))
+
+    def in_risk(group: pa.Table) -> pa.Table:
+        p, r, z, q = (group[c].to_numpy() for c in ("p", "r", "z", "q"))
+        place = p.max() - p
+        return one(group, (0.0, *pair_sums(place, place, r, z, q)[1:]))
+
+    def grid(group: pa.Table) -> pa.Table:
+        p, s, z, q = (group[c].to_numpy() for c in ("p", "s", "z", "q"))
+        place = p.max() - p
+        usable, won, tied = pair_sums(place, place, s, z, q)
+        # of one chunk of risk: decided inside it, or, where it is a single risk, tied
+        heavy = s % 2 == 0
+        return one(group, (usable, won, pair_sums(place[heavy], place[heavy], s[heavy], z[heavy], q[heavy])[2]))
+
+    same_time = cells.filter("p % 2 = 1").groupBy(*key, "p").applyInArrow(in_time, schema)
+    same_risk = cells.filter("s % 2 = 1").groupBy(*key, "s").applyInArrow(in_risk, schema)
+    blocks = cells.groupBy(*key, "p", "s").agg(F.sum("z").alias("z"), F.sum("q").alias("q"))
+    across = blocks.groupBy(*key).applyInArrow(grid, schema)
+    # one time: its events against those censored at it, by risk
+    alone = cells.filter("p % 2 = 0").groupBy(*key, "p", "r").agg(F.sum(F.when(F.col("e"), 0.0).otherwise(F.col("z"))).alias("z"), F.sum("q").alias("q"))
+    run = ordered_scan(alone, [*key, "p"], ["r"], sums={"upto": "z"}, totals={"all": ("sum", "z")}, hot="all")
+    single = run.groupBy(*key).agg(F.sum(F.col("q") * F.col("all")).alias("usable"), F.sum(F.col("q") * (F.col("upto") - F.col("z"))).alias("concordant"), F.sum(F.col("q") * F.col("z")).alias("tied"))
+    return same_time.unionByName(same_risk).unionByName(across).unionByName(single)

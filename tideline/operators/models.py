@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_uniform
 from ..sources.sinks import stage
-from .intervals import person_period, stitch_predictions
+from .intervals import in_force, person_period, stabbing_join, stitch_predictions
 from .metrics_surv import c_index
-from .ordered import ordered_scan
-from .sampling import permute_column, permute_static, with_repetitions
+from .ordered import lookup, ordered_scan
+from .sampling import permute_column, with_repetitions
 
 PENALTIES = {"none": (0.0, 0.0), "lasso": (1.0, 1.0), "ridge": (1.0, 0.0), "elastic": (1.0, 0.5)}
 
@@ -101,31 +101,55 @@ def partial_dependence(model: Model, df: DataFrame, columns: Sequence[str], feat
     return scored.groupBy(F.lit(feature).alias("feature"), F.col("__i").alias("point"), F.col("__g").alias("grid_value")).agg(F.avg("score").alias("average"))
 
 
-def permutation_importance(
-    df: DataFrame, variables: Sequence[str], score_fn: Callable[[DataFrame], DataFrame], *, key: Sequence[str], id: str, by: Sequence[str],
-    time: str, event: str, risk: str, seed, static: Sequence[str] = (), replicates: int = 20,
-) -> DataFrame:
-    """Mean drop in concordance when a variable is permuted.
+def permuted_rows(df: DataFrame, variables: Sequence[str], *, key: Sequence[str], id: str, seed, static: Sequence[str] = (), replicates: int = 20) -> DataFrame:
+    """``df`` once as it is (``variable`` NULL, ``replicate`` 0) and once for each variable and replicate with that one permuted.
 
-    ``score_fn`` maps rows to scored rows with ``by`` (e.g. model and time) and ``risk``.
-    Replicates are a column; static variables move between entities, others between rows.
+    A replicate draws one permutation of the rows and one of the entities; ``static`` variables
+    move by the latter, all rows of an entity together. ``key`` tells rows apart and starts with a numeric column.
     """
-    by = list(by)
-    base = c_index(score_fn(df), by, time=time, event=event, risk=risk).select(*by, F.col("c_index").alias("__c0"))
-    parts = []
+    variables, static = list(variables), [v for v in variables if v in set(static)]
+    moving = [v for v in variables if v not in set(static)]
+    rows = with_repetitions(df, replicates, "replicate")
+    if moving:
+        rows = permute_column(df.withColumn("__m", F.struct(*moving)), key=key, column="__m", seed=seed, replicates=replicates, name="__moving").drop("__m")
+    if static:
+        per_entity = df.groupBy(id).agg(F.max(F.struct(*static)).alias("__s"))
+        moved = permute_column(per_entity, key=[id], column="__s", seed=seed, replicates=replicates, name="__static").select("replicate", id, "__static")
+        rows = lookup(rows, moved, [id, "replicate"], "left")
+    others = [c for c in df.columns if c not in set(variables)]
+    versions = []
     for v in variables:
-        if v in set(static):
-            moved = permute_static(df, id=id, column=v, seed=seed, replicates=replicates)
-        else:
-            moved = permute_column(df, key=key, column=v, seed=seed, replicates=replicates)
-        moved = moved.drop(v).withColumnRenamed("permuted", v).withColumn("variable", F.lit(v))
-        parts.append(score_fn(moved).select("variable", "replicate", *by, time, event, risk))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    permuted = c_index(rows, ["variable", "replicate", *by], time=time, event=event, risk=risk)
-    joined = permuted.join(base, by) if by else permuted.withColumn("__c0", base.agg(F.max("__c0")).scalar())
-    return joined.groupBy("variable").agg(F.avg(F.col("__c0") - F.col("c_index")).alias("importance"), F.count("*").alias("n"))
+        new = F.col(f"__static.{v}" if v in static else f"__moving.{v}")
+        versions.append(F.struct(F.lit(v).alias("variable"), *[(new if c == v else F.col(c)).alias(c) for c in variables]))
+    changed = rows.select("replicate", *others, F.inline(F.array(*versions)))
+    return changed.unionByName(df.select("*", F.lit(None).cast("string").alias("variable"), F.lit(0).alias("replicate")))
+
+
+def permutation_by_time(
+    df: DataFrame, variables: Sequence[str], points: DataFrame, predict: Callable[[DataFrame], DataFrame], *, key: Sequence[str], id: str,
+    start: str = "start", end: str = "end", event: str = "event", seed, static: Sequence[str] = (), replicates: int = 20, weights: str = "none", hot: Sequence | None = None,
+) -> DataFrame:
+    """(variable, eval_t, original, permuted): concordance at each time, and its mean when a variable is permuted.
+
+    At a time an entity is represented by its newest interval that has started, with that
+    interval's event and the entity's last end; pairs count whose earlier end is not after the time, and
+    the score is the survival that ``predict`` adds as ``surv`` to rows with ``eval_t`` (and
+    whatever else ``points`` carries). Variables, replicates and times are columns of one plan.
+    Times without a usable pair are left out.
+    """
+    rows = stage(in_force(df, id=id, start=start, end=end, hot=hot))
+    drawn = permuted_rows(rows, variables, key=key, id=id, seed=seed, static=static, replicates=replicates)
+    scored = predict(stabbing_join(drawn, points, lower=start, upper="until_t", at="eval_t")).withColumn("__risk", -F.col("surv"))
+    c = c_index(scored, ["variable", "replicate", "eval_t"], time="follow_up", event=event, risk="__risk", tau="eval_t", weights=weights).filter(F.col("c_index").isNotNull())
+    c = stage(c)
+    base = c.filter("variable IS NULL").select("eval_t", F.col("c_index").alias("original"))
+    return c.filter("variable IS NOT NULL").groupBy("variable", "eval_t").agg(F.avg("c_index").alias("permuted")).join(base, "eval_t").select("variable", "eval_t", "original", "permuted")
+
+
+def permutation_importance(df: DataFrame, variables: Sequence[str], points: DataFrame, predict: Callable[[DataFrame], DataFrame], **kw) -> DataFrame:
+    """(variable, importance, n_times): drop of the concordance when a variable is permuted, averaged over times; see ``permutation_by_time``."""
+    by_time = permutation_by_time(df, variables, points, predict, **kw)
+    return by_time.groupBy("variable").agg(F.avg(F.col("original") - F.col("permuted")).alias("importance"), F.count("*").alias("n_times"))
 
 
 def hazard_forest(train: DataFrame, covariates: Sequence[str], edges: Sequence[float], *, trees: int = 100, depth: int = 8, min_leaf: int = 5, seed: int = 0) -> Model:

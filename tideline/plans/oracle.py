@@ -529,6 +529,32 @@ CTE["x_h0"] = """SELECT e.t, any_value(e.d) / sum(exp(x_hz.lp)) AS h FROM (SELEC
   JOIN x_hz ON x_hz.start < e.t AND x_hz."end" >= e.t GROUP BY 1"""
 sql("cox_predict_fixed", """SELECT x_st.id, x_st.start, x_st.eval_t, exp(-hz * exp(lp)) AS surv FROM x_st JOIN x_hz ON x_hz.id = x_st.id AND x_hz.start = x_st.start
   JOIN (SELECT g.eval_t, coalesce(sum(h), 0) AS hz FROM (SELECT DISTINCT eval_t FROM x_st) g LEFT JOIN x_h0 ON t <= g.eval_t GROUP BY 1) USING (eval_t)""", "start eval_t surv")
+sql("asof_at_event_times", """SELECT id, start, fu AS follow_up, t AS eval_t FROM (
+  SELECT *, lead(start) OVER (PARTITION BY id ORDER BY start, "end") AS nxt, max("end") OVER (PARTITION BY id) AS fu FROM x_ti) i JOIN x_et ON start <= t AND (nxt IS NULL OR t < nxt)""", "start follow_up eval_t")
+CTE["x_ste"] = """SELECT i.* EXCLUDE (rn), t AS eval_t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start DESC, "end" DESC) AS rn FROM x_ti) i JOIN x_et ON t >= start AND (rn = 1 OR t < "end")"""
+sql("stitch_at_event_times", "SELECT id, start, eval_t FROM x_ste", "start eval_t")
+CTE["x_he"] = """SELECT g.t AS eval_t, coalesce(sum(h), 0) AS hz FROM x_et g LEFT JOIN x_h0 ON x_h0.t <= g.t GROUP BY 1"""
+sql("cox_predict_event_times", """SELECT x_ste.id, x_ste.start, x_ste.eval_t, exp(-hz * exp(lp)) AS surv FROM x_ste JOIN x_hz ON x_hz.id = x_ste.id AND x_hz.start = x_ste.start JOIN x_he ON x_he.eval_t = x_ste.eval_t""", "start eval_t surv")
+# a replicate permutes rows (for switched) and entities (for the others); -1 is the table as it is
+CTE["x_pr"] = """SELECT id, start, event, CASE WHEN treatment = 'switched' THEN 2 ELSE 1 END AS k, (segment = 'BUILDING')::INT AS building, (treatment = 'switched')::INT AS switched, z,
+  lead(start) OVER (PARTITION BY id ORDER BY start, "end") AS nxt, max("end") OVER (PARTITION BY id) AS follow_up
+  FROM x_ti JOIN (SELECT id, segment, (acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER () AS z FROM x_sp) USING (id)"""
+CTE["x_pe"] = "SELECT DISTINCT id, z, building FROM x_pr"
+CTE["x_pp"] = f"""SELECT t.*, s.switched AS switched_m, se.z AS z_m, se.building AS building_m FROM (
+    SELECT x_pr.*, replicate, row_number() OVER (PARTITION BY replicate ORDER BY id, k) AS pos FROM x_pr, range(1, 4) r(replicate)) t
+  JOIN (SELECT switched, replicate, row_number() OVER (PARTITION BY replicate ORDER BY {uniform("'11'", 'permute', 'replicate', 'id', 'k::VARCHAR')}, id, k) AS pos FROM x_pr, range(1, 4) r(replicate)) s USING (replicate, pos)
+  JOIN (SELECT id, replicate, row_number() OVER (PARTITION BY replicate ORDER BY id) AS epos FROM x_pe, range(1, 4) r(replicate)) e USING (id, replicate)
+  JOIN (SELECT z, building, replicate, row_number() OVER (PARTITION BY replicate ORDER BY {uniform("'11'", 'permute', 'replicate', 'id')}, id) AS epos FROM x_pe, range(1, 4) r(replicate)) se USING (replicate, epos)"""
+CTE["x_pv"] = """SELECT id, start, nxt, follow_up, event, replicate, 'acctbal' AS variable, 0.2e0 * z_m - 0.1e0 * building + 0.3e0 * switched AS lp FROM x_pp
+  UNION ALL SELECT id, start, nxt, follow_up, event, replicate, 'building', 0.2e0 * z - 0.1e0 * building_m + 0.3e0 * switched FROM x_pp
+  UNION ALL SELECT id, start, nxt, follow_up, event, replicate, 'switched', 0.2e0 * z - 0.1e0 * building + 0.3e0 * switched_m FROM x_pp
+  UNION ALL SELECT id, start, nxt, follow_up, event, 0, 'none', 0.2e0 * z - 0.1e0 * building + 0.3e0 * switched FROM x_pr"""
+CTE["x_h5"] = "SELECT eval_t, coalesce(sum(h), 0) AS hz FROM x_t LEFT JOIN x_h0 ON t <= eval_t GROUP BY 1"
+CTE["x_ps5"] = "SELECT x_pv.*, eval_t, -exp(-hz * exp(lp)) AS risk FROM x_pv JOIN x_h5 ON start <= eval_t AND (nxt IS NULL OR eval_t < nxt)"
+CTE["x_pc"] = concordance("x_ps5", "variable, replicate, eval_t", "follow_up", "eval_t")
+sql("permutation_importance_fixed", """SELECT variable, avg(b.c_index - p.c) AS importance, count(*) AS n_times FROM (
+    SELECT variable, eval_t, avg(c_index) AS c FROM x_pc WHERE variable <> 'none' GROUP BY 1, 2) p
+  JOIN (SELECT eval_t, c_index FROM x_pc WHERE variable = 'none') b USING (eval_t) WHERE b.c_index IS NOT NULL GROUP BY 1""", "importance")
 _Z = "({0} - avg({0}) OVER ()) / (CASE WHEN stddev_pop({0}) OVER () > 0 THEN stddev_pop({0}) OVER () ELSE 1 END)"
 _FORMULA = [(c, _Z.format(f"{c}::DOUBLE")) for c in ("acctbal", "study_end", "n_prior")] + [("switch", "switch::DOUBLE")]
 _FORMULA += [(f"segment_{v}", f"(segment = '{v}')::INT::DOUBLE") for v in _SEG]

@@ -902,6 +902,7 @@ def hazard_rows(spark, d):
 
 
 COVARIATES = ["acctbal", "building", "switched"]
+FIXED = cox.CoxModel(COVARIATES, np.array([0.2, -0.1, 0.3]), 0.0, np.eye(3), "breslow", 0, True)
 
 
 @query
@@ -911,7 +912,7 @@ def cox_fit(spark, d):
 
 @query
 def cox_penalised(spark, d):
-    m = cox.cox_penalised(hazard_rows(spark, d), COVARIATES, id="id", alpha=1.0, lambdas=[10.0 ** (-k / 2) for k in range(2, 9)], seed=fx.SEED)
+    m = cox.cox_penalised(hazard_rows(spark, d), COVARIATES, id="id", alpha=1.0, seed=fx.SEED)
     return spark.createDataFrame([(c, float(b), float(abs(b))) for c, b in zip(m.covariates, m.beta)], "variable string, estimate double, importance double")
 
 
@@ -926,8 +927,7 @@ def cox_predict(spark, d):
 def cox_predict_fixed(spark, d):
     """As cox_predict, from given coefficients."""
     rows = hazard_rows(spark, d)
-    m = cox.CoxModel(COVARIATES, np.array([0.2, -0.1, 0.3]), 0.0, np.eye(3), "breslow", 0, True)
-    return cox.cox_predict(m, rows, rows, TIMES, id="id", hot=fx.hot_ids(spark, d)).select("id", "start", "eval_t", "surv")
+    return cox.cox_predict(FIXED, rows, rows, TIMES, id="id", hot=fx.hot_ids(spark, d)).select("id", "start", "eval_t", "surv")
 
 
 @query
@@ -937,8 +937,46 @@ def hazard_forest(spark, d):
     return models.hazard_survival(m, rows, COVARIATES, EDGES, id="id", hot=fx.hot_ids(spark, d))
 
 
+def importance(spark, d, model, rows, **kw):
+    """Permutation importance at the evaluation times; rows of an entity are told apart by number."""
+    rows = rows.withColumn("k", F.when(F.col("treatment") == "switched", 2).otherwise(1))
+    points = cox.hazard_at(model, rows, spark.createDataFrame([(t,) for t in TIMES], "t double"))
+    return models.permutation_importance(rows, COVARIATES, points, lambda df: df.withColumn("surv", cox.survival(model)), key=["id", "k"], id="id", seed=fx.SEED, static=["acctbal", "building"], hot=fx.hot_ids(spark, d), **kw)
+
+
 @query
 def permutation_importance(spark, d):
     rows = hazard_rows(spark, d)
-    m = cox.cox_fit(rows, COVARIATES, ties="breslow")
-    return models.permutation_importance(rows, COVARIATES, lambda df: df.withColumn("risk", m.linear_predictor()), key=["id", "start"], id="id", by=[], time="end", event="event", risk="risk", seed=fx.SEED, static=["acctbal", "building"])
+    return importance(spark, d, cox.cox_fit(rows, COVARIATES, ties="breslow"), rows)
+
+
+@query
+def permutation_importance_fixed(spark, d):
+    """As permutation_importance, from given coefficients."""
+    return importance(spark, d, FIXED, hazard_rows(spark, d), replicates=3)
+
+
+# all distinct event times and the fixed ones, as a table
+
+
+def event_times(spark, d):
+    return intervals.eval_times(co.survival_intervals(spark, d, with_measures=False), time="end", event="event", extra=TIMES)
+
+
+@query
+def asof_at_event_times(spark, d):
+    i = co.survival_intervals(spark, d, with_measures=False)
+    return intervals.asof_at_times(i, id="id", start="start", end="end", times=event_times(spark, d), hot=fx.hot_ids(spark, d)).select("id", "start", "follow_up", "eval_t")
+
+
+@query
+def stitch_at_event_times(spark, d):
+    i = co.survival_intervals(spark, d, with_measures=False)
+    return intervals.stitch_predictions(i, id="id", start="start", end="end", times=event_times(spark, d), hot=fx.hot_ids(spark, d)).select("id", "start", "eval_t")
+
+
+@query
+def cox_predict_event_times(spark, d):
+    """As cox_predict_fixed, at every event time."""
+    rows = hazard_rows(spark, d)
+    return cox.cox_predict(FIXED, rows, rows, event_times(spark, d), id="id", hot=fx.hot_ids(spark, d)).select("id", "start", "eval_t", "surv")
