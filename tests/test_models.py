@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import cox, intervals, metrics_surv, models
+from tideline.operators import cox, grids, intervals, metrics_surv, models
 
 
 def cohort(n=160, seed=5):
@@ -114,11 +114,6 @@ def test_dependence_and_importance(spark):
     assert imp["a"] > imp["b"]
     pd_a = [r["average"] for r in models.partial_dependence(m, df, ["a", "b"], "a", points=5).orderBy("point").collect()]
     assert pd_a[0] < 0.2 and pd_a[-1] > 0.8
-    drop = models.permutation_importance(
-        spark.createDataFrame(cohort()), ["x0", "x1"], lambda d: d.withColumn("risk", F.col("x0")), key=["id"], id="id", by=[], time="end", event="event", risk="risk", seed=1, replicates=3
-    )
-    got = {r["variable"]: r["importance"] for r in drop.collect()}
-    assert got["x0"] > 0.05 and got["x1"] == pytest.approx(0.0)
 
 
 @pytest.mark.parametrize("cells, chunks", [(50_000, 512), (20, 512), (40, 3)])
@@ -244,3 +239,49 @@ def test_permutation_importance_by_time(spark):
         assert abs(by_time["x0", t]["permuted"] - 0.5) < 0.1
     got = {r["variable"]: (r["importance"], r["n_times"]) for r in models.permutation_importance(df, ["x0", "x1"], points, predict, **kw).collect()}
     assert got["x1"] == (0.0, 2) and got["x0"][0] > 0.1
+
+
+def labelled(n=500, p=6, seed=11):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 0.7 * x[:, 1] + 0.3)))).astype(float)
+    names = [f"x{i}" for i in range(p)]
+    return pd.DataFrame(x, columns=names).assign(id=np.arange(n), y=y), names
+
+
+@pytest.mark.parametrize("slice_", [1 << 16, 64])
+def test_penalty_grid(spark, monkeypatch, slice_):
+    """500 settings with 5 folds in one fit: each meets its optimality conditions, some equal separate fits, scores equal plain ones."""
+    monkeypatch.setattr(grids, "SLICE", slice_)
+    monkeypatch.setattr(grids, "PAYLOAD", 40_000 if slice_ == 64 else grids.PAYLOAD)
+    p, names = labelled()
+    settings = grids.penalty_grid(len(p), np.logspace(-2, 2, 100 if slice_ > 64 else 3), [0.0, 0.25, 0.5, 0.75, 1.0])
+    df = spark.createDataFrame(p)
+    fit = grids.fit_grid(df, names, "y", settings, id="id", seed=3)
+    assert fit.table(spark).count() == len(settings) == len(fit.scores) and fit.scores.shape[1] == 5
+    x, y = p[names].to_numpy(), p.y.to_numpy()
+    for (s, a), b in zip(settings, fit.coefficients):
+        g = x.T @ (y - 1 / (1 + np.exp(-(b[0] + x @ b[1:])))) / len(p)
+        on = b[1:] != 0
+        assert np.allclose(g[on], s * (a * np.sign(b[1:][on]) + (1 - a) * b[1:][on]), atol=1e-6) and np.all(np.abs(g[~on]) <= s * a + 1e-6)
+    from tideline.functions.keyed import keyed_uniform
+
+    fold = np.array([r["f"] for r in df.select("id", F.floor(keyed_uniform(3, "fold", F.col("id")) * 5).alias("f")).orderBy("id").collect()])
+    at = len(settings) // 2
+    alone = [models.logistic("elastic", settings[at][0], settings[at][1]).fit(models.assemble(spark.createDataFrame(p[fold != k]), names, "y")) for k in range(5)]
+    plain = [np.mean((p[fold == k][names].to_numpy() @ m.coefficients.toArray() + m.intercept > 0) == (p[fold == k].y == 1)) for k, m in enumerate(alone)]
+    assert np.allclose(fit.scores[at], plain, atol=0.011)
+    assert fit.best() == int(np.argmax(fit.means))
+    s = df.withColumn("s", fit.probability(at)).toPandas()
+    assert np.allclose(s.s, 1 / (1 + np.exp(-(fit.coefficients[at][0] + s[names].to_numpy() @ fit.coefficients[at][1:]))))
+
+
+def test_grid_metrics_and_limits(spark):
+    p, names = labelled(200, 2)
+    df = spark.createDataFrame(p).unionByName(spark.createDataFrame(p.head(2).assign(x0=float("nan"), id=-1)))
+    scores = {m: grids.fit_grid(df, names, "y", [(0.01, 0.5)], id="id", seed=1, folds=3, metric=m).means[0] for m in grids.METRICS}
+    assert scores["log_loss"] < 0 < scores["accuracy"] < 1 and 0.5 < scores["areaUnderROC"] < 1 and 0 < scores["f1"] < 1 and 0 < scores["areaUnderPR"] < 1
+    with pytest.raises(ArithmeticError):
+        grids.fit_grid(spark.createDataFrame(p.assign(x0=p.y * 2 - 1)), names, "y", [(0.0, 1.0)], id="id", seed=1, folds=3, max_iter=15)
+    with pytest.raises(ValueError):
+        grids.fit_grid(df.limit(0), names, "y", [(0.1, 1.0)], id="id", seed=1)

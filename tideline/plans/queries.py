@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keyed, scalars
-from ..operators import cohort, cox, events, features, impute, intervals, measures, metrics_cls, metrics_surv, models, profile, reshape, results, sampling
+from ..operators import cohort, cox, events, features, impute, grids, intervals, measures, metrics_cls, metrics_surv, models, profile, reshape, results, sampling
 from ..operators.ordered import lookup
 from ..sources import sinks, tables
 from . import cohorts as co
@@ -861,12 +861,35 @@ def logistic_classifiers(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def penalty_grids(spark, d):
+    """All settings of the lasso, the ridge and the elastic net in one fit, and which settings are whose."""
+    t, columns = model_table(spark, d)
+    train = t.filter("split = 'train'")
+    inverse, n = [10.0 ** (-3 + 6 * k / 99) for k in range(100)], train.count()
+    ratios = {"lasso": [1.0], "ridge": [0.0], "elastic": [0.1, 0.25, 0.5, 0.75, 0.9]}
+    settings = {name: grids.penalty_grid(n, inverse, r) for name, r in ratios.items()}
+    fit = grids.fit_grid(train, columns, "event", [s for v in settings.values() for s in v], id="id", seed=fx.SEED)
+    families = [name for name, v in settings.items() for _ in v]
+    return t, fit, families
+
+
 @query
 def grid_search_cv(spark, d):
-    t, _ = model_table(spark, d)
-    est = models.logistic("ridge", 0.1)
-    m = models.tune(est, [{est.regParam: 10.0 ** (k / 2)} for k in range(-8, 2)], t.filter("split = 'train'"), id="id", seed=fx.SEED)
-    return test_metrics(t, m, "tuned")
+    """Test metrics of the best setting of each penalty."""
+    t, fit, families = penalty_grids(spark, d)
+    held, parts = t.filter("split <> 'train'"), []
+    for name in dict.fromkeys(families):
+        best = fit.best([i for i, f in enumerate(families) if f == name])
+        s = metrics_cls.threshold_label(held.withColumn("model", F.lit(name)).withColumn("score", fit.probability(best)), "score", "hard")
+        parts.append(metrics_cls.auroc_ap(s, ["model", "split"], "event", "score").join(metrics_cls.accuracy_f1(s, ["model", "split"], "event", "hard"), ["model", "split"]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def grid_search_table(spark, d):
+    """Cross-validated accuracy of all 700 settings."""
+    _, fit, _ = penalty_grids(spark, d)
+    return fit.table(spark)
 
 
 @query
