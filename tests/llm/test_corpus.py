@@ -357,17 +357,40 @@ def test_comparison_counts_links_exactly():
     assert (root[linked.nonzero()[0]] == root[linked.nonzero()[1]]).all()
 
 
-def test_pairs_at_the_threshold_share_a_band():
-    rng, depth, lost = np.random.default_rng(1), near.forest_depth(), 0
-    for _ in range(5000):
-        x = rng.integers(0, np.iinfo(np.uint64).max, 100, np.uint64)  # 80 of 100 shingles in common
-        lost += not (near.labels(x[:90], depth) == near.labels(np.concatenate([x[:80], x[90:]]), depth)).any()
-    assert lost <= 3
-
-
-def test_forest_depth_meets_its_recall():
-    d = near.forest_depth()
-    assert 1 - (1 - 0.8**d) ** near.TREES >= near.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near.TREES
+@pytest.mark.parametrize("common, own", [(80, 10), (85, 7), (90, 5), (95, 3)])
+def test_pairs_from_the_threshold_on_share_a_node(common, own):
+    """Similarity 0.80, 0.86, 0.90 and 0.94; both texts keep their first spare() long prefixes, wherever these are."""
+    rng, lost, k = np.random.default_rng(common), 0, near.spare()
+    for _ in range(1500):
+        x = rng.integers(0, np.iinfo(np.uint64).max, common + 2 * own, np.uint64)
+        (a, along), (b, blong) = near.labels(x[: common + own]), near.labels(np.concatenate([x[:common], x[common + own :]]))
+        lost += not ((along == blong)[:k].any() or (a == b)[k:].any())
+    assert lost == 0
+
+
+def test_spare_trees_keep_the_recall():
+    k = near.spare()
+    missed = lambda n: (1 - 0.8**near.LONGEST) ** n * (1 - 0.8**near.SHORTEST) ** (near.TREES - n)
+    assert 0 < k < near.TREES and missed(k) <= 1 - near.RECALL < missed(k + 1)
+    with pytest.raises(ValueError):
+        near.spare(trees=10)
+
+
+def test_forest_parts_what_a_common_passage_joins(spark):
+    """200 texts quote one passage (pairwise similarity about 0.4), every one has a near copy: families stay, the crowd goes."""
+    rng = random.Random(8)
+    quoted = [f"q{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        own = [f"w{i}x{j}" for j in range(40)]
+        rows += [(2 * i, " ".join(quoted + own)), (2 * i + 1, " ".join(quoted + own[:-2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = near.stage(near.sketch(docs).select("key", "short", "long", "id"))
+    largest = lambda **kw: near.components(near.forest(texts, **kw)).groupBy("component").count().agg({"count": "max"}).first()[0]
+    crowded, parted = largest(crowd=10**9), largest()
+    assert parted < crowded / 2
+    got = {r.id: (r.class_id, r.n_links) for r in near.join(docs).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(400)}
 
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(120)], [(0, i) for i in range(1, 50)] + [(150 - i, 200 + i) for i in range(60)], [(3, 3), (5, 4), (4, 5), (-2, 9)], []])

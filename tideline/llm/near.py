@@ -1,13 +1,18 @@
-"""N-gram Jaccard join by MinHash bands of one fixed length, with exact verification.
-
-1. Every text becomes the set of its runs of five words. Its MinHash values form one label
-   per tree: the hash of its first ``forest_depth()`` values. That length is fixed before any
-   text is read; it is not shortened text by text or bucket by bucket. Texts with an equal
-   label in some tree are candidates. A pair at the threshold shares none with a chance of
-   ``1 - RECALL`` at most by the formula, and is then missed unless other texts chain the two.
-2. Each bucket links its members to its smallest one: as many rows as members. The
-   connected components of these links hold all pairs that the bands propose.
-3. Inside a component all pairs are compared exactly, as products of incidence matrices over
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+
+1. Every text becomes the set of its runs of five words. Its MinHash values are one sequence
+   per tree; texts that agree on a prefix of a tree's sequence are below one node of its trie. A
+   prefix is known by a hash, so the sorted runs of a trie are equi-joins here, which Spark can
+   deal out whatever the size of a node.
+2. Prefixes adapt to the data. All of a text's prefixes start at ``LONGEST`` values and are
+   shortened to ``SHORTEST``, tree by tree from the least crowded node on, until a link at the threshold is
+   found with chance ``RECALL``; so a text keeps the long prefix in the ``spare()`` trees at most in which
+   the most other texts crowd below its short one. A crowded node is split into its long prefixes if all texts
+   below keep them long there, else it stays whole, which can only find more. This parts texts
+   that agree in a few trees only, by a passage that all of them quote.
+3. Each node links its texts to its smallest one: as many rows as texts. The connected
+   components of these links hold all pairs that the forest proposes.
+4. Inside a component all pairs are compared exactly, as products of incidence matrices over
    pairs of bounded blocks. Only numbers of links and links to roots leave a task, never
    pairs, so a group of m near copies gives m rows.
 
@@ -22,7 +27,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import documents, stage
@@ -31,8 +36,11 @@ from tideline.llm.components import components
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
 TREES = 64
+SHORTEST = 7
 LONGEST = 12
 RECALL = 0.99999
+#: Texts from which on a node is crowded.
+CROWD = 8
 #: Bounds of one side of a comparison: bytes of text and number of texts.
 BLOCK_BYTES = 4 << 20
 BLOCK_TEXTS = 512
@@ -41,12 +49,15 @@ STRIPE = 2048
 _MULTIPLIERS = np.random.default_rng(20240101).integers(0, 1 << 63, TREES * LONGEST, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def forest_depth(threshold: float = float(THRESHOLD), trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """Longest prefix at which a pair at the threshold shares one in some tree with chance ``recall``."""
-    depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def spare(threshold: float = float(THRESHOLD), trees: int = TREES, shortest: int = SHORTEST, longest: int = LONGEST, recall: float = RECALL) -> int:
+    """Trees in which a text may keep the long prefix: with short ones in the others, a link at the threshold is found with chance ``recall``."""
+    missed = lambda k: (1 - threshold**longest) ** k * (1 - threshold**shortest) ** (trees - k)
+    k = 0
+    while k < trees and missed(k + 1) <= 1 - recall:
+        k += 1
+    if missed(k) > 1 - recall:
+        raise ValueError("the shortest prefixes do not reach the recall: take shorter ones or more trees")
+    return k
 
 
 def shingles(text: str) -> np.ndarray:
@@ -63,34 +74,63 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(h)
 
 
-def labels(found: np.ndarray, depth: int) -> np.ndarray:
-    """For each tree a 64-bit key of the first ``depth`` MinHash values."""
-    least = np.full(TREES * depth, np.iinfo(np.uint64).max, np.uint64)
-    factors = _MULTIPLIERS[: TREES * depth, None]
+def labels(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each tree 64-bit keys of the first ``SHORTEST`` and the first ``LONGEST`` MinHash values."""
+    least = np.full(TREES * LONGEST, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), STRIPE):
-        np.minimum(least, (factors * found[None, at : at + STRIPE]).min(axis=1), out=least)
-    keys = np.arange(1, TREES + 1, dtype=np.uint64)
-    for value in least.reshape(TREES, depth).T:
+        np.minimum(least, (_MULTIPLIERS[:, None] * found[None, at : at + STRIPE]).min(axis=1), out=least)
+    keys, short = np.arange(1, TREES + 1, dtype=np.uint64), None
+    for depth, value in enumerate(least.reshape(LONGEST, TREES), 1):
         keys = (keys ^ value) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+        short = keys.copy() if depth == SHORTEST else short
+    return short.view(np.int64), keys.view(np.int64)
 
 
-def sketch(docs: DataFrame, depth: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, hash of the text, key of its words, bytes, tree labels); no key without words, no labels below five."""
+def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, hash of the text, key of its words, bytes, short and long prefix of each tree); no key without words, no prefixes below five."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, trees = [], [], []
+            keys, sizes, short, long = [], [], [], []
             for t in batch.column(2).to_pylist():
                 words = t.encode().split()
                 keys.append(int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64)) if words else None)
                 sizes.append(len(t))
-                trees.append(labels(shingles(t), depth) if len(words) >= WORDS else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], names=["id", "hash", "key", "bytes", "trees"])
+                a, b = labels(shingles(t)) if len(words) >= WORDS else (None, None)
+                short.append(a)
+                long.append(b)
+            arrays = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(short, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "hash", "key", "bytes", "short", "long"])
 
-    return rows.mapInArrow(run, "id long, hash long, key long, bytes long, trees array<long>")
+    return rows.mapInArrow(run, "id long, hash long, key long, bytes long, short array<long>, long array<long>")
+
+
+def nodes(entries: DataFrame, prefix: str) -> DataFrame:
+    """(prefix, least, n) of the nodes with two texts or more. Written, so that what joins it is of two plain shuffles and Spark can split a large node."""
+    found = entries.groupBy(prefix).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    return stage(found.filter("n > 1"))
+
+
+def forest(texts: DataFrame, crowd: int = CROWD, keep: int | None = None) -> DataFrame:
+    """Edges (a, b) between the ``key`` of texts with prefixes ``short`` and ``long`` and the smallest one of each of their nodes.
+
+    ``keep``: trees in which a text may keep its long prefix (``spare()``).
+    """
+    keep = spare() if keep is None else keep
+    known = texts.filter("short IS NOT NULL")
+    entries = known.select("key", F.explode("short").alias("short"))
+    below = nodes(entries, "short")
+    crowded = below.filter(F.col("n") >= crowd).select("short", "n")
+    both = known.select("key", F.inline(F.arrays_zip("short", "long")))
+    order = Window.partitionBy("key").orderBy(F.desc("n"), "short")
+    ranked = stage(both.join(crowded, "short").withColumn("long_here", F.row_number().over(order) <= keep))
+    split = stage(ranked.groupBy("short").agg(F.bool_and("long_here").alias("all")).filter("all").select("short"))
+    parted = ranked.join(split, "short").select("key", "long")
+    whole = stage(below.join(split, "short", "left_anti"))
+    edges = [entries.join(whole, "short"), parted.join(nodes(parted, "long"), "long")]
+    return edges[0].select(F.col("key").alias("a"), F.col("least").alias("b")).unionByName(edges[1].select(F.col("key").alias("a"), F.col("least").alias("b")))
 
 
 def compare(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray | None, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,18 +212,17 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fra
     with fewer than five words they link to equal ones only. Rows with a null id take part and
     lend a class their id only if it has no other. Repeated rows are copies of each other.
     """
-    depth = forest_depth(float(threshold))
-    rows = stage(sketch(docs, depth, id, text))
+    rows = stage(sketch(docs, id, text))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
-    texts = stage(rows.filter("key is not null").groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")))
-
-    entries = rows.filter("trees is not null").select("key", F.explode("trees").alias("tree"))
-    # written, so that the join below is of two plain shuffles and Spark can split a bucket of very many texts
-    buckets = stage(entries.groupBy("tree").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("tree", "least"))
-    near = components(entries.join(buckets, "tree").select(F.col("key").alias("a"), F.col("least").alias("b")))
-
-    members = near.withColumnRenamed("node", "key").join(texts, "key")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    # all that is known of equal words, once; their prefixes are equal too
+    kept = [F.any_value(c).alias(c) for c in ("short", "long")]
+    texts = stage(rows.filter("key is not null").groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), *kept))
+    near = components(forest(texts, keep=spare(float(threshold))))
+    texts = texts.drop("short", "long")
+
+    members = stage(near.withColumnRenamed("node", "key").join(texts, "key"))
+    # written like the nodes: a component of very many texts can be split
+    sizes = stage(members.groupBy("component").agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks")))
     placed = members.join(sizes, "component").select("component", "key", "n", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("first.id").alias("i"), F.col("first.hash").alias("h"))
     bodies = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     chosen = placed.join(bodies, F.col("h").eqNullSafe(F.col("hash")) & F.col("i").eqNullSafe(F.col("id"))).dropDuplicates(["key"])
@@ -195,8 +234,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fra
 
     links = checked.groupBy("key").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     classes = components(checked.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
-    known = texts.join(links, "key", "left").join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    whole = known.groupBy("component").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
+    known = stage(texts.join(links, "key", "left").join(classes, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    whole = stage(known.groupBy("component").agg(F.min("first").alias("class"), F.sum("n").alias("class_size")))
     result = known.join(whole, "component").select("key", "class", "class_size", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"))
     empty = F.col("class").isNull()
     return rows.select("id", "hash", "key").join(result, "key", "left").select(
