@@ -38,17 +38,18 @@ def base_spans(text: Column) -> Column:
     return F.concat(ranked(assign, 0, "g2"), ranked(access, 1, "text"), ranked(spans(text, HEX), 2, "text"))
 
 
-def labelled_strings(docs: DataFrame, sample_docs: int = 4000) -> DataFrame:
-    """Training strings ``(text, label, n)``: 1 for the secrets that the fixed rules found, 0 for
-    identifiers outside them, both from about ``sample_docs`` documents chosen by hash."""
-    n = docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = some.select(F.col("text").alias("t"), base_spans(F.col("text")).alias("b"))
-    secret = found.select(F.explode(F.transform("b", lambda m: m["value"])).alias("text"), F.lit(1).alias("label"))
-    word = found.select(F.explode(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(IDENTIFIER), F.lit(0))).alias("text"), F.lit(0).alias("label"))
+def labelled_strings(docs: DataFrame) -> DataFrame:
+    """Training strings ``(text, label, n)`` of all documents: 1 for the secrets that the fixed
+    rules find, 0 for the identifiers in what is left when whatever the rules match is cut out.
+    Each different string counts once, so a copied document weighs as one."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    rest = whole
+    for pattern in (ASSIGN, ACCESS, HEX):
+        rest = F.regexp_replace(rest, pattern, " ")
+    secret = docs.select(F.explode(F.transform(base_spans(whole), lambda m: m["value"])).alias("text"), F.lit(1).alias("label"))
+    word = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)))).alias("text"), F.lit(0).alias("label"))
     word = word.filter(F.length("text") < 32)
-    return secret.unionByName(word).groupBy("text", "label").agg(F.count(F.lit(1)).alias("n"))
+    return secret.unionByName(word).distinct().withColumn("n", F.lit(1).cast("long"))
 
 
 def _code(char: Column) -> Column:
