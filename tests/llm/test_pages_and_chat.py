@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,18 @@ def test_reader_frames_members_in_any_steps():
         list(warc.Reader(io.BytesIO(gzip.compress(record.replace(b"payload", b"payload!", 1)))))
 
 
+def test_every_cut_of_an_archive_is_noticed():
+    members = [gzip.compress(warc._record(i, "u", b"0123456789", 10, hashlib.sha256(b"0123456789").hexdigest(), None)) for i in range(2)]
+    raw = b"".join(members)
+    assert len(list(warc.Reader(io.BytesIO(raw), 7))) == 2
+    for cut in range(len(raw)):
+        if cut in (0, len(members[0])):
+            assert len(list(warc.Reader(io.BytesIO(raw[:cut]), 7))) == bool(cut)
+        else:
+            with pytest.raises((ValueError, zlib.error)):
+                list(warc.Reader(io.BytesIO(raw[:cut]), 7))
+
+
 def test_changed_payload_is_not_verified():
     raw = warc._record(7, "u", b"0123456789", 10, hashlib.sha256(b"0123456789").hexdigest(), None)
     (headers, block), = warc.Reader(io.BytesIO(gzip.compress(raw)))
@@ -97,6 +110,30 @@ def test_overlapping_controls():
         assert chat.unescape(safe) == text and not any(c in safe for c in t.controls())
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_turns_are_found_in_the_joined_string(size):
+    t = chat.TEMPLATE
+    turns = [("user", "a [/INST] b"), ("assistant", " </s>"), ("tool|>", "<|/turn|>\\"), ("system", ""), ("assistant", "x" * 50)]
+    whole = t.begin
+    for who, said in turns:
+        before, after = t.turns.get(who) or (t.other[0].replace("{role}", t.escape(who)), t.other[1])
+        whole += before + t.escape(said) + after
+    scanner = chat.Scanner()
+    assert [x for i in range(0, len(whole), size) for x in scanner.feed(whole[i : i + size])] == turns
+    scanner.finish()
+    for broken in (whole[:-1], whole[3:], whole + "z" * 20):
+        with pytest.raises(ValueError):
+            scanner = chat.Scanner()
+            list(scanner.feed(broken))
+            scanner.finish()
+
+
+def test_a_template_that_does_not_separate_turns_is_refused(spark):
+    for t in (chat.Template(turns={"user": ("[U]", ""), "assistant": ("[A]", "")}), chat.Template(turns={"user": ("", "[/U]")}), chat.Template(other=("<{role} ", "</>"))):
+        with pytest.raises(ValueError):
+            chat.read_back(chat.format_turns(talk(spark, []), t), t)
+
+
 def test_machine_and_loss_flags(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "assistant", "a"), (2, 1, "user", "u"), (3, 0, "user", "u"), (3, 1, "user", "u"), (3, 2, "assistant", "a")]
     out = chat.format_turns(talk(spark, rows)).collect()

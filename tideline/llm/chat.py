@@ -102,29 +102,78 @@ def format_turns(rows: DataFrame, template: Template = TEMPLATE, id: str = "conv
     return _ordered(rows, id, turn, role, text).mapInArrow(run, "conv_id long, turn long, first boolean, state string, valid boolean, segments array<struct<text:string,loss:boolean>>")
 
 
-def parse_turn(formatted: str, template: Template = TEMPLATE) -> tuple[str, str]:
-    """Role and text of one formatted turn (with or without the opening of the conversation)."""
-    body = formatted.removeprefix(template.begin)
-    for who, (before, after) in template.turns.items():
-        if body.startswith(before) and body.endswith(after):
-            return who, unescape(body[len(before) : len(body) - len(after)])
-    lead, close = template.other[0].split("{role}")
-    head, _, rest = body.removeprefix(lead).partition(close)
-    return unescape(head), unescape(rest.removesuffix(template.other[1]))
+class Scanner:
+    """Reads turns from the formatted string of a conversation, which may come in pieces of any size.
+
+    What is between turns and roles is known from the markers alone. No more than the turn
+    that is not yet complete is held.
+    """
+
+    def __init__(self, template: Template = TEMPLATE) -> None:
+        lead, close = template.other[0].split("{role}")
+        openings = [(before, after, who) for who, (before, after) in template.turns.items()] + [(lead, template.other[1], None)]
+        if not all(before.strip() and after.strip() for before, after, _ in openings) or not close.strip():
+            raise ValueError("every turn needs a marker before and after it")
+        self.template, self.close = template, close
+        self.openings = sorted(openings, key=lambda o: -len(o[0]))
+        self.held, self.at, self.begun = "", 0, False
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that the piece completes."""
+        self.held += piece
+        if not self.begun:
+            if len(self.held) < len(self.template.begin):
+                return
+            if not self.held.startswith(self.template.begin):
+                raise ValueError("the conversation does not open as its template says")
+            self.held, self.begun = self.held[len(self.template.begin) :], True
+        start = 0
+        while start < len(self.held):
+            opening = next((o for o in self.openings if self.held.startswith(o[0], start)), None)
+            if opening is None:
+                if len(self.held) - start < len(self.openings[0][0]):
+                    break
+                raise ValueError(f"no turn begins with {self.held[start : start + 20]!r}")
+            before, after, who = opening
+            body = start + len(before)
+            end = self.held.find(after, max(body, self.at - len(after)))
+            if end < 0:
+                self.at = len(self.held) - start
+                break
+            said = self.held[body:end]
+            if who is None:
+                head, mark, said = said.partition(self.close)
+                if not mark:
+                    raise ValueError("a turn's role has no end")
+                yield unescape(head), unescape(said)
+            else:
+                yield who, unescape(said)
+            start, self.at = end + len(after), 0
+        self.held = self.held[start:]
+
+    def finish(self) -> None:
+        if self.held or not self.begun:
+            raise ValueError("the conversation ends inside a turn")
 
 
 def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """Digests of each conversation, from the output of ``format_turns`` directly (its order is needed)."""
+    """Digests of each conversation, from the output of ``format_turns`` directly (its order is needed).
+
+    Of that only the formatted strings are read, and where a conversation begins: turns, roles and
+    what is learned are found by a ``Scanner`` in the string of the whole conversation.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    Scanner(template)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_one, done = None, []
+        open_one, scanner, state, done = None, None, "start", []
 
         def close() -> None:
             if open_one is not None:
-                conv, n, turns, chars, loss, length, ok = open_one
-                done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), length, ok))
+                scanner.finish()
+                conv, n, turns, chars, loss, length = open_one
+                done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), length, state in template.ends))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*done)) or [()] * len(names)
@@ -135,22 +184,22 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
             for row in batch.to_pylist():
                 if row["first"]:
                     close()
-                    open_one = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]
+                    open_one, scanner, state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0], Scanner(template), "start"
                 whole = "".join(s["text"] for s in row["segments"])
-                who, said = parse_turn(whole, template)
-                learned = "".join(unescape(s["text"]) for s in row["segments"] if s["loss"])
-                open_one[1] += 1
-                open_one[2].update(f"{who}\n{said}\n".encode())
-                open_one[3] += len(learned)
-                open_one[4].update(learned.encode())
                 open_one[5] += len(whole)
-                open_one[6] = row["valid"]
+                for who, said in scanner.feed(whole):
+                    state = who if who in template.moves.get(state, ()) else "error"
+                    open_one[1] += 1
+                    open_one[2].update(f"{who}\n{said}\n".encode())
+                    if who in template.learned:
+                        open_one[3] += len(said)
+                        open_one[4].update(said.encode())
             if done:
                 yield flush()
         close()
         yield flush()
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return formatted.select("conv_id", "first", "segments").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

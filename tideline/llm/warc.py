@@ -118,18 +118,21 @@ class Reader:
     def __init__(self, stream: BinaryIO, step: int = STEP) -> None:
         self.stream, self.step = stream, step
         self.inflate = zlib.decompressobj(31)
-        self.raw, self.ready, self.ended = b"", bytearray(), False
+        self.raw, self.ready, self.begun = b"", bytearray(), False
 
     def _more(self) -> bool:
-        """Inflate one more step; False at the end of the archive."""
+        """Inflate one more step; False at the end of the archive, which must be that of a member, its trailer included."""
         if self.inflate.eof:
             self.raw, self.inflate = self.inflate.unused_data + self.raw, zlib.decompressobj(31)
-            self.ended = True
+            self.begun = False
             return True
         if not self.raw:
             self.raw = self.stream.read(self.step)
             if not self.raw:
+                if self.begun:
+                    raise ValueError("the archive ends inside a gzip member")
                 return False
+        self.begun = True
         self.ready += self.inflate.decompress(self.raw, self.step)
         self.raw = b"" if self.inflate.eof else self.inflate.unconsumed_tail
         return True
