@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents, joined, let, spans, total
+from tideline.llm.common import documents, joined, let, spans, stage, total
 
 KINDS = ("email", "ip", "card", "phone", "number")
 # A repeated group is possessive: Java would otherwise recurse once for each repetition.
@@ -132,11 +132,11 @@ def _posterior(votes: str, prior: float, tables) -> float:
     return 1 / (1 + math.exp(max(-700.0, min(700.0, no - yes))))
 
 
-def expectation_maximisation(cells: list[tuple[str, int]], tolerance: float = 1e-8, most: int = 500):
+def expectation_maximisation(cells: list[tuple[str, int]], tolerance: float = 1e-8, most: int = 20_000):
     """Prior and vote tables of the labelers from (votes, count); starts from a trusting guess.
 
-    Works on distinct vote strings: 3 ** labelers at most. Stops at the tolerance; ``most``
-    guards against an endless loop on numbers that never settle.
+    Works on distinct vote strings: 3 ** labelers at most. Stops at the tolerance; an estimate that has not
+    settled after ``most`` rounds is an error.
     """
     prior, tables = 0.5, [({"+": 0.6, "0": 0.3, "-": 0.1}, {"+": 0.1, "0": 0.4, "-": 0.5}) for _ in LABELERS]
     for _ in range(most):
@@ -151,14 +151,23 @@ def expectation_maximisation(cells: list[tuple[str, int]], tolerance: float = 1e
         new = yes / everything
         tables = [tuple({v: x / sum(t.values()) for v, x in t.items()} for t in pair) for pair in sums]
         if abs(new - prior) < tolerance:
-            break
+            return new, tables
         prior = new
-    return new, tables
+    raise ArithmeticError(f"the labelers' reliabilities have not settled after {most} rounds")
 
 
-def fit(docs: DataFrame, text: str = "text", ridge: float = 1e-3) -> Model:
-    """Labeler reliabilities and the span classifier, from all documents; equal texts count once."""
-    each = docs.select(F.xxhash64(text).alias("hash"), F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
+def marked(docs: DataFrame, text: str = "text", into: str = "candidates") -> DataFrame:
+    """``docs`` with the candidates of each text. Both ``fit`` and ``find`` take them, so written once they are searched once."""
+    return docs.withColumn(into, candidates(F.coalesce(F.col(text), F.lit(""))))
+
+
+def fit(docs: DataFrame, text: str = "text", ridge: float = 1e-3, spans: str | None = None) -> Model:
+    """Labeler reliabilities and the span classifier, from all documents; equal texts count once.
+
+    ``spans``: column with the candidates, where ``marked`` has found them; ``text`` may then be a hash.
+    """
+    found = candidates(F.coalesce(F.col(text), F.lit(""))) if spans is None else F.col(spans)
+    each = docs.select(F.xxhash64(text).alias("hash"), F.explode(found).alias("c"))
     cells = (
         each.select("hash", *(F.col(f"c.{k}").alias(k) for k in ("start", "rank", "votes", "shape")))
         .distinct()
@@ -198,28 +207,31 @@ def probability(shape: Column, model: Model) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.9, into: str = "found") -> DataFrame:
+def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.9, into: str = "found", spans: str | None = None) -> DataFrame:
     """``docs`` with the column ``into``: array of (rank, start, kind, end, score) by kind as listed, then start.
 
     Spans of the fixed rules always count; the others (kind ``number``) if the classifier
-    gives at least ``threshold``. Null and empty texts give an empty array.
+    gives at least ``threshold``. Null and empty texts give an empty array. ``spans``: column with
+    the candidates, where ``marked`` has found them.
     """
     kinds = F.array(*map(F.lit, KINDS))
     scored = F.transform(
-        candidates(F.coalesce(F.col(text), F.lit(""))),
+        candidates(F.coalesce(F.col(text), F.lit(""))) if spans is None else F.col(spans),
         lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), F.get(kinds, c["rank"]).alias("kind"), c["end"].alias("end"), probability(c["shape"], model).alias("score")),
     )
     return docs.withColumn(into, F.array_sort(F.filter(scored, lambda m: (m["rank"] < 4) | (m["score"] >= threshold))))
 
 
-def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Model, text: str = "text", spans: str | None = None) -> DataFrame:
     """``docs`` with each found span replaced by its kind in capitals and brackets.
 
     Overlapping spans become one mark, that of the first. Texts without any, nulls
-    included, stay as they are; so do all other columns.
+    included, stay as they are; so do all other columns. ``spans`` as in ``find``; that column is dropped.
     """
     marks = "_private_spans"
-    found = find(docs, model, text, into=marks)
+    while marks in docs.columns:
+        marks += "_"
+    found = find(docs, model, text, into=marks, spans=spans)
     column = F.col(text)
 
     def step(a: Column, m: Column) -> Column:
@@ -234,13 +246,13 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     by_start = F.array_sort(F.transform(F.col(marks), lambda m: F.struct(m["start"], m["end"], m["kind"])))
     nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     masked = F.aggregate(by_start, nothing, step, close)
-    return found.withColumn(text, F.when(F.size(F.col(marks)) > 0, masked).otherwise(column)).drop(marks)
+    return found.withColumn(text, F.when(F.size(F.col(marks)) > 0, masked).otherwise(column)).drop(marks, *([spans] if spans else []))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     """Personal data of every document, with the digest of what the fixed rules find."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = find(docs, fit(docs)).select("doc_id", "found")
+    docs = stage(marked(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("hash"), "candidates"))
+    found = find(docs, fit(docs, "hash", spans="candidates"), spans="candidates").select("doc_id", "found")
 
     def count(rank: int) -> Column:
         return total(F.transform("found", lambda m: (m["rank"] == rank).cast("long")))
