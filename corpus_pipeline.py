@@ -30,7 +30,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind."""
-    masked = pii.redact(docs.select(*COLUMNS), pii.fit(docs))
+    found = stage(pii.marked(docs.select(F.struct(*COLUMNS).alias("row"), "text")).select("row", F.xxhash64("text").alias("hash"), "candidates"))
+    model = pii.fit(found, "hash", spans="candidates")
+    masked = pii.redact(found.select("row.*", "candidates"), model, spans="candidates")
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
