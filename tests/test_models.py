@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import cox, grids, intervals, metrics_surv, models
+from tideline.operators import blocks, cox, grids, intervals, metrics_surv, models, profile
 
 
 def cohort(n=160, seed=5):
@@ -252,7 +252,7 @@ def labelled(n=500, p=6, seed=11):
 @pytest.mark.parametrize("slice_", [1 << 16, 64])
 def test_penalty_grid(spark, monkeypatch, slice_):
     """500 settings with 5 folds in one fit: each meets its optimality conditions, some equal separate fits, scores equal plain ones."""
-    monkeypatch.setattr(grids, "SLICE", slice_)
+    monkeypatch.setattr(blocks, "SLICE", slice_)
     monkeypatch.setattr(grids, "PAYLOAD", 40_000 if slice_ == 64 else grids.PAYLOAD)
     p, names = labelled()
     settings = grids.penalty_grid(len(p), np.logspace(-2, 2, 100 if slice_ > 64 else 3), [0.0, 0.25, 0.5, 0.75, 1.0])
@@ -285,3 +285,45 @@ def test_grid_metrics_and_limits(spark):
         grids.fit_grid(spark.createDataFrame(p.assign(x0=p.y * 2 - 1)), names, "y", [(0.0, 1.0)], id="id", seed=1, folds=3, max_iter=15)
     with pytest.raises(ValueError):
         grids.fit_grid(df.limit(0), names, "y", [(0.1, 1.0)], id="id", seed=1)
+
+
+def test_dependence_from_leaf_counts(spark):
+    """Equal to setting the feature in every row, at each point of the grid."""
+    p, names = labelled(1000, 4, 5)
+    p["x0"] = p.x0.round(1)
+    df = models.assemble(spark.createDataFrame(p).repartition(3), names, "y")
+    m = models.forest(trees=12, depth=6).fit(df)
+    got = models.partial_dependence(m, df, names, "x0", points=15).orderBy("point").collect()
+    for r in got:
+        fixed = models.assemble(df.drop("features").withColumn("x0", F.lit(r["grid_value"])), names)
+        assert np.isclose(models.score(m, fixed).agg(F.avg("score")).first()[0], r["average"], atol=1e-12)
+    assert len(got) == 15 and got[0]["grid_value"] == p.x0.min() and got[-1]["grid_value"] == p.x0.max()
+
+
+def test_correlation_of_many_measures(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 300)) @ (np.eye(300) + 0.1 * rng.normal(size=(300, 300))) + 1000
+    x[:, 5] = 3.0
+    mask = rng.random(x.shape) < 0.6
+    names = [f"m{i}" for i in range(300)]
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.nonzero(mask)[0], "m": [names[j] for j in np.nonzero(mask)[1]], "v": x[mask]}))
+    got = profile.measure_corr(rows, keys=["id"], measure="m", value="v", order=[F.col("v")], measures=names).toPandas()
+    want = pd.DataFrame(np.where(mask, x, np.nan)).corr().to_numpy()
+    meet = mask.T.astype(int) @ mask.astype(int)
+    a, b = (got[c].str[1:].astype(int).to_numpy() for c in ("a", "b"))
+    assert len(got) == 300 * 299 / 2 and (got.n.to_numpy() == meet[a, b]).all()
+    fixed = (a == 5) | (b == 5)
+    assert got.r[fixed].isna().all() and np.allclose(got.r[~fixed], want[a, b][~fixed], atol=1e-9)
+
+
+def test_an_outlier_leaves_the_density_of_the_bulk(spark):
+    rng = np.random.default_rng(1)
+    v = np.append(rng.normal(0, 1, 3000), 1e9)
+    out = profile.density_curve(spark.createDataFrame([(float(x),) for x in np.append(v, np.nan)], "v double"), [], "v", points=4).orderBy("point").collect()
+    h = 0.9 * np.subtract(*np.quantile(v, [0.75, 0.25])) / 1.34 * len(v) ** -0.2
+    exact = [np.exp(-0.5 * ((r["x"] - v) / h) ** 2).sum() / len(v) / h / np.sqrt(2 * np.pi) for r in out]
+    assert np.allclose([r["density"] for r in out], exact, rtol=1e-4, atol=0) and out[1]["density"] == 0
+    bulk = profile.density_curve(spark.createDataFrame([(float(x),) for x in v[:-1]], "v double"), [], "v", points=200).toPandas()
+    h = 0.9 * min(v[:-1].std(ddof=1), np.subtract(*np.quantile(v[:-1], [0.75, 0.25])) / 1.34) * 3000**-0.2
+    exact = np.exp(-0.5 * ((bulk.x.to_numpy()[:, None] - v[None, :-1]) / h) ** 2).sum(axis=1) / 3000 / h / np.sqrt(2 * np.pi)
+    assert np.allclose(bulk.density, exact, atol=1e-4 * exact.max())

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_uniform
 from ..sources.sinks import stage
+from .blocks import SLICES, slices, summed
 from .metrics_cls import auroc_ap
 
-#: Numbers that one job may send to the driver, and those of one slice of its sums.
-PAYLOAD, SLICE = 1 << 23, 1 << 16
+#: Numbers that one job may send to the driver.
+PAYLOAD = 1 << 23
 #: Scores that a task computes at a time.
 SCORES = 1 << 21
 METRICS = ("accuracy", "f1", "log_loss", "areaUnderROC", "areaUnderPR")
@@ -69,20 +70,6 @@ class GridFit:
         return 1 / (1 + F.exp(-score))
 
 
-def _summed(parts: DataFrame, size: int) -> np.ndarray:
-    """Sums of vectors that tasks sent in slices (i, v)."""
-
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        v = group["v"].combine_chunks()
-        whole = v.flatten().to_numpy().reshape(len(v), -1).sum(axis=0)
-        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([whole], pa.list_(pa.float64()))})
-
-    out = np.zeros(size)
-    for r in parts.groupBy("i").applyInArrow(add, "i int, v array<double>").collect():
-        out[r["i"] * SLICE : r["i"] * SLICE + len(r["v"])] = r["v"]
-    return out
-
-
 def _passed(rows: DataFrame, of, size: int, p: int, step: int) -> np.ndarray:
     """Sum of the vectors ``of(fold, y, x)`` over blocks of at most ``step`` rows."""
 
@@ -93,10 +80,9 @@ def _passed(rows: DataFrame, of, size: int, p: int, step: int) -> np.ndarray:
             x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, p)
             for at in range(0, batch.num_rows, step):
                 total += of(fold[at : at + step], y[at : at + step], np.column_stack([np.ones(len(y[at : at + step])), x[at : at + step]]))
-        cut = range(0, size, SLICE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut), dtype=np.int32)), pa.array([total[a : a + SLICE] for a in cut], pa.list_(pa.float64()))], names=["i", "v"])
+        yield from slices(total)
 
-    return _summed(rows.select("fold", "y", "x").mapInArrow(run, "i int, v array<double>"), size)
+    return summed(rows.select("fold", "y", "x").mapInArrow(run, SLICES), size)
 
 
 def _derivatives(rows: DataFrame, beta: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

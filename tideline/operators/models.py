@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_uniform
 from ..sources.sinks import stage
+from .dependence import forest_dependence
 from .intervals import in_force, person_period, stabbing_join, stitch_predictions
 from .metrics_surv import c_index
 from .ordered import lookup, ordered_scan
@@ -90,9 +91,11 @@ def impurity_importance(spark, model: Model, names: Sequence[str]) -> DataFrame:
 def partial_dependence(model: Model, df: DataFrame, columns: Sequence[str], feature: str, points: int = 100) -> DataFrame:
     """Average score with ``feature`` set to each of ``points`` values over its range.
 
-    The grid is a fixed-length array attached to each row, so the work is rows x points
-    and the average combines map-side.
+    Forests are read from counts of rows by leaf. For other models the grid is a fixed-length
+    array attached to each row, so the work is rows x points and the average combines map-side.
     """
+    if isinstance(best_model(model), RandomForestClassificationModel):
+        return forest_dependence(best_model(model), df, columns, feature, points)
     low_high = df.agg(F.struct(F.min(feature).cast("double").alias("lo"), F.max(feature).cast("double").alias("hi"))).scalar()
     rows = df.select(*columns).withColumn("__r", low_high).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     value = F.col("__r.lo") + (F.col("__r.hi") - F.col("__r.lo")) * F.col("__i") / F.lit(float(points - 1))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_percent
+from ..sources.sinks import stage
+from .blocks import SLICES, slices, summed
 from .ordered import lookup
 from .quantiles import grouped_quantiles
 from .reshape import first_per_key, top_per_group, unpivot_long
@@ -81,27 +84,45 @@ def profile_text(df: DataFrame, columns: Sequence[str], top: int = 4) -> DataFra
 def measure_corr(rows: DataFrame, *, keys: Sequence[str], measure: str, value: str, order: Sequence, measures: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of measures taken together (same ``keys``).
 
-    One value per (key, measure) is kept by an explicit order, pivoted, and all pairs come
-    from one aggregate of sums; missing when a side does not vary.
+    One value per (key, measure) is kept by an explicit order; a key's values become one short
+    list, no wider than ``measures``. Tasks add up products of blocks of keys: how
+    often two measures meet, and their sums, squares and products there, centred by the measures'
+    means. So there is no pivot and no column per pair. Missing when a side does not vary.
     """
-    single = first_per_key(rows, [*keys, measure], order)
-    wide = single.groupBy(*keys).pivot(measure, list(measures)).agg(F.first(value))
-    cols = {m: f"v{i}" for i, m in enumerate(measures)}
-    wide = wide.select(*[F.col(f"`{m}`").alias(c) for m, c in cols.items()])
-    pairs = list(combinations(measures, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(cols[a]), F.col(cols[b])
-        both = x.isNotNull() & y.isNotNull()
-        aggs += [
-            F.count_if(both).alias(f"n{i}"),
-            F.covar_pop(x, y).alias(f"c{i}"),
-            F.stddev_pop(F.when(both, x)).alias(f"x{i}"),
-            F.stddev_pop(F.when(both, y)).alias(f"y{i}"),
-        ]
-    row = wide.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}")).alias("r")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(items))
+    measures = list(measures)
+    m = len(measures)
+    at = F.element_at(F.create_map(*[x for i, n in enumerate(measures) for x in (F.lit(n), F.lit(i))]), F.col(measure))
+    single = first_per_key(rows.filter(F.col(measure).isin(measures)), [*keys, measure], order).filter(F.col(value).isNotNull())
+    single = single.select(*keys, at.alias("i"), F.col(value).cast("double").alias("v"))
+    lists = stage(single.groupBy(*keys).agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v")).select("i", "v"))
+    centre = np.zeros(m)
+    for r in lists.select(F.explode(F.arrays_zip("i", "v")).alias("x")).groupBy("x.i").agg(F.avg("x.v").alias("mean")).collect():  # one row per measure
+        centre[r["i"]] = r["mean"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, m, m))
+        step = max(1, (1 << 22) // m)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                col = part.column(0).flatten().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), np.diff(part.column(0).offsets.to_numpy()))
+                x, here = np.zeros((part.num_rows, m)), np.zeros((part.num_rows, m))
+                x[row, col], here[row, col] = part.column(1).flatten().to_numpy() - centre[col], 1.0
+                total += here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x
+        yield from slices(total.ravel())
+
+    n, s, q, c = summed(lists.mapInArrow(run, SLICES), 4 * m * m).reshape(4, m, m)
+    out = []
+    for a in range(m):
+        for b in range(a + 1, m):
+            k, r = n[a, b], None
+            if k:
+                va, vb = q[a, b] - s[a, b] ** 2 / k, q[b, a] - s[b, a] ** 2 / k
+                if va > 1e-12 * q[a, b] and vb > 1e-12 * q[b, a]:
+                    r = float((c[a, b] - s[a, b] * s[b, a] / k) / math.sqrt(va * vb))
+            out.append((measures[a], measures[b], int(k), r))
+    return rows.sparkSession.createDataFrame(out, "a string, b string, n long, r double")
 
 
 def histogram_width(df: DataFrame, by: Sequence[str], value: str, width: float) -> DataFrame:
@@ -121,27 +142,36 @@ def histogram_equal(df: DataFrame, by: Sequence[str], value: str, bins: int) ->
     return r.groupBy(*by, b.alias("bin")).agg(F.sum("__k").alias("n"))
 
 
-def density_curve(df: DataFrame, by: Sequence[str], value: str, *, points: int = 512, cells: int = 4096) -> DataFrame:
+def density_curve(df: DataFrame, by: Sequence[str], value: str, *, points: int = 512, per_bandwidth: int = 8, reach: float = 6.0) -> DataFrame:
     """Gaussian kernel density per group on an even grid over its range.
 
-    Bandwidth ``0.9 min(sd, iqr / 1.34) n^(-1/5)``.  Values are first counted on ``cells``
-    fine cells, so the cost is grid x cells per group whatever the number of rows.
+    Bandwidth ``h = 0.9 min(sd, iqr / 1.34) n^(-1/5)``. Values are first gathered in cells of width
+    ``h / per_bandwidth``, of which only those with values exist, so far outliers cost nothing. A cell
+    keeps its values' number, mean and squared deviation, with which it stands for their kernels up to
+    third order, and feeds the grid points within ``reach`` bandwidths (beyond, a kernel is below 2e-8 of its height).
     """
     by = list(by)
-    d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    v = F.col(value).cast("double")
+    d = df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("v"))
     stats = d.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     q = grouped_quantiles(d, by, "v", {"q1": 0.25, "q3": 0.75})
     stats = lookup(stats, q, by, "inner", hot="all")
     spread = F.least("sd", F.when(F.col("q3") > F.col("q1"), (F.col("q3") - F.col("q1")) / 1.34))
-    stats = stats.withColumn("h", 0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).filter("h > 0").select(*by, "n", "lo", "hi", "h")
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(cells))
-    cell = F.least(F.lit(cells - 1).cast("long"), F.floor((F.col("v") - F.col("lo")) / width))
-    binned = lookup(d, stats, by, "inner", hot="all").groupBy(*by, "n", "lo", "hi", "h", cell.alias("cell")).agg(F.count("*").alias("k"))
-    # at most `cells` rows per group from here on; the grid is a fixed-length array
-    mid = F.col("lo") + (F.col("cell") + 0.5) * width
-    grid = binned.withColumn("mid", mid).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / F.lit(float(points - 1))
-    z = (x - F.col("mid")) / F.col("h")
-    return grid.groupBy(*by, F.col("i").alias("point"), x.alias("x")).agg(
-        (F.sum(F.col("k") * F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h")) / math.sqrt(2 * math.pi)).alias("density")
-    )
+    stats = stage(stats.withColumn("h", 0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).filter("h > 0").select(*by, "n", "lo", "hi", "h"))
+    u = (F.col("v") - F.col("lo")) / F.col("h")
+    # in units of h from the group's least value
+    values = lookup(d, stats, by, "inner", hot="all").withColumn("u", u)
+    cell = F.floor(F.col("u") * per_bandwidth)
+    off = F.col("u") - (cell + 0.5) / per_bandwidth
+    cells = values.groupBy(*by, "n", "lo", "hi", "h", cell.alias("cell")).agg(F.count("*").alias("k"), F.avg(off).alias("__m"), F.avg(off * off).alias("__q"))
+    cells = cells.withColumn("mean", (F.col("cell") + 0.5) / per_bandwidth + F.col("__m")).withColumn("m2", F.greatest(F.col("__q") - F.col("__m") * F.col("__m"), F.lit(0.0)))
+    gap = (F.col("hi") - F.col("lo")) / F.col("h") / float(points - 1)
+    first, last = F.greatest(F.ceil((F.col("mean") - reach) / gap), F.lit(0)), F.least(F.floor((F.col("mean") + reach) / gap), F.lit(points - 1))
+    fed = cells.filter(first <= last).withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    z = F.col("point") * gap - F.col("mean")
+    share = F.col("k") * F.exp(-0.5 * z * z) * (1 + (z * z - 1) * F.col("m2") / 2)
+    # every point of the grid, those that nothing reaches too
+    grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(*by, "n", "lo", "hi", "h", "point", F.lit(0.0).alias("share"))
+    both = fed.select(*by, "n", "lo", "hi", "h", "point", share.alias("share")).unionByName(grid)
+    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(float(points - 1))
+    return both.groupBy(*by, "n", "lo", "hi", "h", "point").agg((F.sum("share") / F.first(F.col("n") * F.col("h")) / math.sqrt(2 * math.pi)).alias("density")).select(*by, "point", x.alias("x"), "density")

@@ -511,9 +511,11 @@ sql("histogram_equal", """SELECT measure, least(19, coalesce(floor((n - lo) * 20
   SELECT *, min(n) OVER (PARTITION BY measure) AS lo, max(n) OVER (PARTITION BY measure) AS hi FROM (SELECT id, measure, count(*) AS n FROM x_m GROUP BY 1, 2)) GROUP BY 1, 2""")
 CTE["x_ds"] = """SELECT *, 0.9e0 * least(sd, CASE WHEN q3 > q1 THEN (q3 - q1) / 1.34e0 END) * n ** -0.2e0 AS h FROM (
   SELECT measure, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25e0) AS q1, quantile_cont(value, 0.75e0) AS q3 FROM x_m GROUP BY 1)"""
-CTE["x_db"] = """SELECT measure, n, lo, hi, h, least(4095, floor((value - lo) / ((hi - lo) / 4096e0)))::BIGINT AS cell, count(*) AS k FROM x_m JOIN x_ds USING (measure) GROUP BY ALL"""
-sql("density_curve", """SELECT measure, point, x, sum(k * exp(-0.5e0 * ((x - mid) / h) * ((x - mid) / h))) / any_value(n * h) / sqrt(2 * pi()) AS density FROM (
-  SELECT *, lo + (cell + 0.5e0) * ((hi - lo) / 4096e0) AS mid, lo + (hi - lo) * point / 511e0 AS x FROM x_db, (SELECT unnest(range(512))::INT AS point)) GROUP BY 1, 2, 3""", "x density")
+CTE["x_db"] = """SELECT measure, n, lo, hi, h, k, (cell + 0.5e0) / 8 + m AS mean, greatest(q - m * m, 0) AS m2 FROM (
+  SELECT measure, n, lo, hi, h, cell, count(*) AS k, avg(u - (cell + 0.5e0) / 8) AS m, avg((u - (cell + 0.5e0) / 8) * (u - (cell + 0.5e0) / 8)) AS q FROM (
+    SELECT *, floor(u * 8)::BIGINT AS cell FROM (SELECT measure, n, lo, hi, h, (value - lo) / h AS u FROM x_m JOIN x_ds USING (measure))) GROUP BY ALL)"""
+sql("density_curve", """SELECT measure, point, x, sum(CASE WHEN abs(z) <= 6 THEN k * exp(-0.5e0 * z * z) * (1 + (z * z - 1) * m2 / 2) ELSE 0 END) / any_value(n * h) / sqrt(2 * pi()) AS density FROM (
+  SELECT *, (hi - lo) / h * point / 511e0 - mean AS z, lo + (hi - lo) * point / 511e0 AS x FROM x_db, (SELECT unnest(range(512))::INT AS point)) GROUP BY 1, 2, 3""", "x density")
 
 # sinks: what is read back
 sql("partition_sink", "SELECT method, forecast, count(*) AS n, avg(metric) AS mean_metric FROM x_rg GROUP BY 1, 2", "mean_metric")
