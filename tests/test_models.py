@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import blocks, cox, grids, intervals, metrics_surv, models, profile
+from tideline.operators import blocks, cox, grids, intervals, measures, metrics_surv, models, profile
 
 
 def cohort(n=160, seed=5):
@@ -327,3 +327,34 @@ def test_an_outlier_leaves_the_density_of_the_bulk(spark):
     h = 0.9 * min(v[:-1].std(ddof=1), np.subtract(*np.quantile(v[:-1], [0.75, 0.25])) / 1.34) * 3000**-0.2
     exact = np.exp(-0.5 * ((bulk.x.to_numpy()[:, None] - v[None, :-1]) / h) ** 2).sum(axis=1) / 3000 / h / np.sqrt(2 * np.pi)
     assert np.allclose(bulk.density, exact, atol=1e-4 * exact.max())
+
+
+def test_forest_fills_numbers_and_texts(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=600)
+    kind = np.where(a > 0.3, "high", np.where(a < -0.5, "low", "mid"))
+    p = pd.DataFrame({"id": np.arange(600), "a": a, "b": 2 * a + 0.1 * rng.normal(size=600), "kind": kind, "none": None})
+    gap_b, gap_k = rng.random(600) < 0.2, rng.random(600) < 0.2
+    df = spark.createDataFrame(p.astype({"none": "string"})[["id", "a", "b", "kind"]]).withColumn("none", F.lit(None).cast("double"))
+    df = df.join(spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "gb": gap_b, "gk": gap_k})), "id")
+    df = df.select("id", "a", F.when(~F.col("gb"), F.col("b")).alias("b"), F.when(~F.col("gk"), F.col("kind")).alias("kind"), "none")
+    out = models.impute_forest(df, id="id", numeric=["b", "none"], complete=["a"], categorical=["kind"], trees=15, depth=5, sweeps=3).toPandas().sort_values("id", ignore_index=True)
+    assert out.columns.tolist() == ["id", "a", "b", "none", "kind"] and out.none.isna().all()
+    assert np.allclose(out.b[~gap_b], p.b[~gap_b]) and (out.kind[~gap_k] == p.kind[~gap_k]).all()
+    assert (out.kind[gap_k] == p.kind[gap_k]).mean() > 0.85 and np.abs(out.b - p.b)[gap_b].mean() < 0.5
+    assert models.impute_forest(df.limit(0), id="id", numeric=["b"], complete=["a"], categorical=["kind"]).count() == 0
+
+
+def test_measures_filled_by_forests(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, m, float(t), i / 10 + k + rng.normal() / 10, t) for i in range(80) for k, m in enumerate("xy") for t in range(-2, 3) if not (i % 4 == 0 and m == "y")]
+    df = spark.createDataFrame(rows, "id long, m string, t double, v double, seq int")
+    entities = df.select("id").distinct()
+    cov = entities.select("id", F.when(F.col("id") < 40, "young").otherwise("old").alias("age"))
+    got = measures.baseline_measures(df, entities, id="id", measure="m", t="t", value="v", measures=["x", "y"], how="forest", covariates=cov, trees=15, depth=5, sweeps=2)
+    plain = measures.baseline_measures(df, entities, id="id", measure="m", t="t", value="v", measures=["x", "y"], how="mean")
+    assert got.columns == plain.columns and got.count() == plain.count() and got.filter("value is null").count() == 0
+    filled = {r["id"]: r["value"] for r in got.filter("m = 'y' and period = 0 and id % 4 = 0").collect()}
+    assert len(filled) == 20 and np.mean([abs(v - (i / 10 + 1)) for i, v in filled.items()]) < 1
+    same = lambda d: sorted(map(tuple, d.filter("not (m = 'y' and id % 4 = 0)").collect()))
+    assert same(got) == same(plain)

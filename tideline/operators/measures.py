@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import log_unless
 from ..sources.sinks import stage
 from .impute import column_fills
+from .models import impute_forest
 from .ordered import hot_values, lookup, ordered_scan
 from .reshape import complete_grid, pivot_wide, unpivot_long
 
@@ -117,9 +118,31 @@ def measure_summary(
     return out.withColumns({f"{s}_{p}": F.coalesce(F.col(f"{s}_{p}"), F.lit(0)) for s in ZERO_FILLED for p in periods})
 
 
-def impute_summary(summary: DataFrame, *, id: str, measure: str, measures: Sequence[str], how: str) -> DataFrame:
-    """Fill mean, max, sd, tv and recent columns per measure over all entities."""
+def forest_filled(long: DataFrame, *, id: str, measure: str, measures: Sequence[str], columns: Sequence[str], covariates: DataFrame | None = None, **forest) -> DataFrame:
+    """Long rows with gaps in ``columns`` filled by chained forests over the wide form: all values of all measures, and the entities' covariates.
+
+    ``covariates`` has a row per entity; its text columns are filled as categories, its numeric
+    ones too if they have gaps, and neither is returned. ``forest``: arguments of ``impute_forest``.
+    """
+    others = [c for c in long.columns if c not in (id, measure, *columns)]
+    at = {(c, m): f"__{i}_{j}" for i, c in enumerate([*columns, *others]) for j, m in enumerate(measures)}
+    wide = long.groupBy(id).agg(*[F.max(F.when(F.col(measure) == m, F.col(c).cast("double"))).alias(n) for (c, m), n in at.items()])
+    numeric, texts = [at[c, m] for c in columns for m in measures], []
+    if covariates is not None:
+        wide = wide.join(covariates, id, "left")
+        texts = [c for c, t in covariates.dtypes if t == "string" and c != id]
+        numeric += [c for c in covariates.columns if c != id and c not in texts]
+    filled = impute_forest(wide, id=id, numeric=numeric, complete=[at[c, m] for c in others for m in measures], categorical=texts, **forest)
+    pieces = F.array(*[F.struct(F.lit(m).alias("m"), *[F.col(at[c, m]).alias(c) for c in columns]) for m in measures])
+    back = filled.select(id, F.inline(pieces)).withColumnRenamed("m", measure)
+    return long.drop(*columns).join(back, [id, measure]).select(*long.columns)
+
+
+def impute_summary(summary: DataFrame, *, id: str, measure: str, measures: Sequence[str], how: str, covariates: DataFrame | None = None, **forest) -> DataFrame:
+    """Fill mean, max, sd, tv and recent columns: per measure over all entities (``mean``, ``median``), or by ``forest`` from all other columns and ``covariates``."""
     columns = [c for c in summary.columns if c.startswith(("mean_", "max_", "sd_", "tv_", "recent_value"))]
+    if how == "forest":
+        return forest_filled(summary, id=id, measure=measure, measures=measures, columns=columns, covariates=covariates, **forest)
     fills = column_fills(unpivot_long(summary, keys=[measure], columns=columns), [measure, "name"], "value", how)
     table = fills.groupBy(measure).pivot("name", columns).agg(F.first("fill"))
     table = table.select(measure, *[F.col(c).alias(f"__fill_{c}") for c in columns])
@@ -134,10 +157,11 @@ def widen(summary: DataFrame, *, id: str, measure: str, measures: Sequence[str])
     return pivot_wide(summary, keys=[id], names=measure, values=values, levels=measures)
 
 
-def baseline_measures(rows: DataFrame, entities: DataFrame, *, id: str, measure: str, t: str, value: str, measures: Sequence[str], how: str, dropped: Sequence[str] = ()) -> DataFrame:
+def baseline_measures(rows: DataFrame, entities: DataFrame, *, id: str, measure: str, t: str, value: str, measures: Sequence[str], how: str, dropped: Sequence[str] = (), covariates: DataFrame | None = None, **forest) -> DataFrame:
     """Mean per time with everything up to day 0 collapsed to time 0, imputed only there.
 
     Every entity gets a baseline row for every measure; later means are kept as observed.
+    ``how``: ``mean`` or ``median`` of the measure, or ``forest`` with ``covariates``.
     """
     kept = [m for m in measures if m not in set(dropped)]
     at = F.when(F.col(t) <= 0, F.lit(0.0)).otherwise(F.col(t))
@@ -145,6 +169,9 @@ def baseline_measures(rows: DataFrame, entities: DataFrame, *, id: str, measure:
     observed = means.filter("period = 0").drop("period")
     # one row per entity and measure, read for the fills and for the rows
     base = stage(complete_grid(entities, id, measure, kept).join(observed, [id, measure], "left"))
+    if how == "forest":
+        filled = forest_filled(base, id=id, measure=measure, measures=kept, columns=["value"], covariates=covariates, **forest)
+        return filled.select(id, measure, F.lit(0.0).alias("period"), "value").unionByName(means.filter("period <> 0"))
     fills = column_fills(base, [measure], "value", how)
     # one row per listed measure
     base = base.join(F.broadcast(fills), measure, "left").select(id, measure, F.lit(0.0).alias("period"), F.coalesce("value", "fill").alias("value"))

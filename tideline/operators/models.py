@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -179,33 +179,66 @@ def hazard_survival(model: Model, test: DataFrame, covariates: Sequence[str], ed
 
 
 def impute_forest(
-    df: DataFrame, *, id: str, numeric: Sequence[str], complete: Sequence[str], sweeps: int = 5, trees: int = 100, depth: int = 8, seed: int = 0
+    df: DataFrame, *, id: str, numeric: Sequence[str] = (), complete: Sequence[str] = (), categorical: Sequence[str] = (), sweeps: int = 5, trees: int = 100, depth: int = 8, seed: int = 0
 ) -> DataFrame:
-    """Chained forest imputation of numeric columns.
-
-    Start from column means, then refit each incomplete column on all others and replace
-    its missing cells; stop when the normalised change rises.  Every sweep is written out,
-    so lineage does not grow and a lost executor repeats no training.
+    """Chained forest imputation of numeric and text columns; ``complete`` are numeric inputs without gaps.
+
+    Start from column means and most frequent texts (of equally frequent ones the first), then
+    refit each incomplete column on all others, those with fewest gaps first, and replace its missing cells. A
+    sweep's change is the squared change of the numeric cells over their squares, and the share of
+    text cells that changed. When each kind that has gaps changed more than in the sweep before,
+    that sweep's table is returned. Texts are few-valued: their levels are categories of the trees. Every sweep
+    is written out, so lineage does not grow and a lost executor repeats no training. A column
+    without any value stays as it is and is no input.
     """
-    numeric, complete = list(numeric), list(complete)
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in numeric]).first()
-    todo = sorted((c for c in numeric if stats[f"n_{c}"] > 0), key=lambda c: stats[f"n_{c}"])
-    flags = {f"__na_{c}": F.col(c).isNull() for c in todo}
-    cur = stage(df.select(id, *complete, *numeric).withColumns(flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(stats[f"m_{c}"] or 0.0)) for c in numeric}))
-    last = float("inf")
-    for _ in range(sweeps):
+    numeric, complete, categorical = list(numeric), list(complete), list(categorical)
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in numeric + categorical], *[F.avg(c).alias(f"m_{c}") for c in numeric], F.count("*").alias("rows")).first()
+    if not gaps["rows"]:
+        return df.select(id, *complete, *numeric, *categorical)
+    empty = [c for c in numeric + categorical if gaps[f"n_{c}"] == gaps["rows"]]
+    used, texts = [c for c in numeric if c not in empty], [c for c in categorical if c not in empty]
+    todo = sorted((c for c in used + texts if gaps[f"n_{c}"] > 0), key=lambda c: gaps[f"n_{c}"])
+    indexed = df.select(id, *complete, *numeric, *categorical).withColumns({f"__na_{c}": F.col(c).isNull() for c in todo})
+    levels, first = {}, {}
+    for c in texts:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).collect()  # one row per level of a categorical column
+        first[c], levels[c] = counts[0][0], sorted(r[0] for r in counts)
+    starts = {c: F.coalesce(F.col(c).cast("double"), F.lit(gaps[f"m_{c}"])) for c in used} | {c: F.coalesce(F.col(c), F.lit(first[c])) for c in texts}
+    cur = stage(indexed.withColumns(starts))
+    coders = {c: StringIndexerModel.from_labels(levels[c], inputCol=c, outputCol=f"__i_{c}") for c in texts}
+    bins = max([32, *map(len, levels.values())])
+    common = {"numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": bins}
+    name = lambda c: f"__i_{c}" if c in coders else c
+
+    def coded(t: DataFrame) -> DataFrame:
+        for c in texts:
+            t = coders[c].transform(t)
+        return t
+
+    last = {"numeric": float("inf"), "text": float("inf")}
+    for _ in range(sweeps if todo else 0):
         new = cur
         for c in todo:
-            others = [x for x in [*complete, *numeric] if x != c]
-            fit = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(new.filter(~F.col(f"__na_{c}")), others, c))
-            filled = fit.transform(assemble(new, others)).withColumn(c, F.when(F.col(f"__na_{c}"), F.col("prediction")).otherwise(F.col(c)))
-            new = filled.drop("features", "prediction")
+            inputs = [*complete, *[name(x) for x in used + texts if x != c]]
+            rows = coded(new)
+            maker = RandomForestClassifier(labelCol=name(c), **common) if c in coders else RandomForestRegressor(labelCol=c, **common)
+            fit = maker.fit(assemble(rows.filter(~F.col(f"__na_{c}")), inputs))
+            told = F.element_at(F.array(*[F.lit(v) for v in levels[c]]), F.col("prediction").cast("int") + 1) if c in coders else F.col("prediction")
+            filled = fit.transform(assemble(rows, inputs)).withColumn(c, F.when(F.col(f"__na_{c}"), told).otherwise(F.col(c)))
+            new = filled.select(*new.columns)
         new = stage(new)
         pairs = new.select(id, *[F.col(c).alias(f"__x_{c}") for c in todo]).join(cur, id)
-        total = lambda e: F.sum(sum((F.when(F.col(f"__na_{c}"), e(c)).otherwise(0.0) for c in todo), F.lit(0.0)))
-        r = pairs.agg(total(lambda c: F.pow(F.col(f"__x_{c}") - F.col(c), F.lit(2.0))).alias("a"), total(lambda c: F.pow(F.col(f"__x_{c}"), F.lit(2.0))).alias("b")).first()
-        change = (r["a"] or 0.0) / (r["b"] or 1.0)
-        if change >= last:
+        total = lambda of, e: F.sum(sum((F.when(F.col(f"__na_{c}"), e(c)).otherwise(0.0) for c in todo if (c in coders) == of), F.lit(0.0)))
+        r = pairs.agg(
+            total(False, lambda c: F.pow(F.col(f"__x_{c}") - F.col(c), F.lit(2.0))).alias("a"), total(False, lambda c: F.pow(F.col(f"__x_{c}"), F.lit(2.0))).alias("b"),
+            total(True, lambda c: (F.col(f"__x_{c}") != F.col(c)).cast("double")).alias("t"), total(True, lambda c: F.lit(1.0)).alias("k"),
+        ).first()
+        change = {}
+        if any(c not in coders for c in todo):
+            change["numeric"] = (r["a"] or 0.0) / (r["b"] or 1.0)
+        if any(c in coders for c in todo):
+            change["text"] = (r["t"] or 0.0) / (r["k"] or 1.0)
+        if all(v >= last[k] for k, v in change.items()):
             break
-        cur, last = new, change
-    return cur.select(id, *complete, *numeric)
+        cur, last = new, last | change
+    return cur.select(id, *complete, *numeric, *categorical)

@@ -80,10 +80,17 @@ def survival_entities(spark: SparkSession, d: str) -> DataFrame:
     return cohort.merge_outcome(e, labelled.select("id", "n_prior", "event_t"), id="id", study_end="study_end", censors=CENSORS, counts=["n_prior"])
 
 
+def covariates(spark: SparkSession, d: str) -> DataFrame:
+    """Entity columns that help to fill measures, one of them text with gaps."""
+    known = F.when(F.col("segment") != "BUILDING", F.col("segment")).alias("segment")
+    return fx.spine(spark, d).join(fx.switch_times(spark, d), "id", "left").select("id", "acctbal", "study_end", "switch_t", "region", known)
+
+
 def baseline(spark: SparkSession, d: str, how: str = "mean") -> DataFrame:
     rows = measures.transform(fx.measures(spark, d), measure="measure", value="value", untouched=["NO"])
     return measures.baseline_measures(
-        rows, fx.spine(spark, d), id="id", measure="measure", t="t", value="value", measures=fx.MEASURES, how=how, dropped=["RO"]
+        rows, fx.spine(spark, d), id="id", measure="measure", t="t", value="value", measures=fx.MEASURES, how=how, dropped=["RO"],
+        covariates=covariates(spark, d) if how == "forest" else None,
     )
 
 

@@ -296,6 +296,11 @@ def baseline_measures(spark, d):
     return co.baseline(spark, d, "median")
 
 
+@query
+def baseline_measures_forest(spark, d):
+    return co.baseline(spark, d, "forest")
+
+
 @query
 def pivot_wide(spark, d):
     return measures.widen(co.summary(spark, d).drop("tv_accrual", "sd_accrual"), id="id", measure="measure", measures=co.KEPT)
@@ -912,8 +917,8 @@ def partial_dependence(spark, d):
 
 @query
 def impute_forest(spark, d):
-    e = fx.spine(spark, d).join(fx.switch_times(spark, d), "id", "left").select("id", "acctbal", "study_end", "death", "switch_t")
-    return models.impute_forest(e, id="id", numeric=["death", "switch_t"], complete=["acctbal", "study_end"])
+    e = fx.spine(spark, d).select("id", "death").join(co.covariates(spark, d), "id")
+    return models.impute_forest(e, id="id", numeric=["death", "switch_t"], complete=["acctbal", "study_end"], categorical=["segment", "region"])
 
 
 def hazard_rows(spark, d):
