@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 CORE = [
     "event_flags", "merge_outcome", "random_landmark", "measure_trend", "feature_table", "baseline_measures", "interval_build", "person_period",
     "permute_column", "standardize", "best_cutoff", "bootstrap_metric", "baseline_hazard", "c_index_ipcw", "km_by_stratum",
-    "variable_order", "pdp_common_grid", "strata_table", "profile_table", "partition_sink",
+    "cox_fit", "permutation_importance_fixed", "density_curve", "variable_order", "pdp_common_grid", "strata_table", "profile_table", "partition_sink",
 ]
 
 

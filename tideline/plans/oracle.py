@@ -531,6 +531,43 @@ CTE["x_h0"] = """SELECT e.t, any_value(e.d) / sum(exp(x_hz.lp)) AS h FROM (SELEC
   JOIN x_hz ON x_hz.start < e.t AND x_hz."end" >= e.t GROUP BY 1"""
 sql("cox_predict_fixed", """SELECT x_st.id, x_st.start, x_st.eval_t, exp(-hz * exp(lp)) AS surv FROM x_st JOIN x_hz ON x_hz.id = x_st.id AND x_hz.start = x_st.start
   JOIN (SELECT g.eval_t, coalesce(sum(h), 0) AS hz FROM (SELECT DISTINCT eval_t FROM x_st) g LEFT JOIN x_h0 ON t <= g.eval_t GROUP BY 1) USING (eval_t)""", "start eval_t surv")
+def newton(steps: int, ties: str = "efron", fitted: bool = False) -> str:
+    """Newton's method for proportional hazards with three covariates, a step per table: the coefficient table, or the coefficients alone."""
+    share = "unnest(range(d::BIGINT)) / d" if ties == "efron" else "0 * unnest(range(d::BIGINT))"
+    ij = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    cof = lambda i, j: (lambda a, b: f"({h(a[0], b[0])} * {h(a[1], b[1])} - {h(a[0], b[1])} * {h(a[1], b[0])})" if (i + j) % 2 == 0 else f"({h(a[0], b[1])} * {h(a[1], b[0])} - {h(a[0], b[0])} * {h(a[1], b[1])})")(
+        [k for k in (1, 2, 3) if k != i], [k for k in (1, 2, 3) if k != j]
+    )
+    det = " + ".join(f"h1{j} * {cof(1, j)}" for j in (1, 2, 3))
+    sums = ["sum(w) AS s0"] + [f"sum(w * x{i}) AS s{i}" for i in (1, 2, 3)] + [f"sum(w * x{i} * x{j}) AS s{i}{j}" for i, j in ij]
+    sums += ["sum(w * ev) AS e0"] + [f"sum(w * ev * x{i}) AS e{i}" for i in (1, 2, 3)] + [f"sum(w * ev * x{i} * x{j}) AS e{i}{j}" for i, j in ij]
+    first = [f"(s{i} - u * e{i}) / r" for i in (1, 2, 3)]
+    ctes = ["b0 AS MATERIALIZED (SELECT 0e0 AS b1, 0e0 AS b2, 0e0 AS b3)"]
+    for k in range(steps):
+        ctes.append(f"""s{k} AS MATERIALIZED (SELECT t, any_value(d) AS d, {", ".join(f"any_value(y{i}) AS y{i}" for i in (1, 2, 3))}, {", ".join(sums)} FROM (
+          SELECT x_ce.*, x1, x2, x3, exp(b1 * x1 + b2 * x2 + b3 * x3) AS w, (event > 0 AND stop = t)::INT AS ev FROM x_ce JOIN x_cx ON start < t AND stop >= t, b{k}) GROUP BY t)""")
+        ctes.append(f"""g{k} AS MATERIALIZED (SELECT {", ".join(f"(SELECT sum(y{i}) FROM s{k}) - sum({first[i - 1]}) AS g{i}" for i in (1, 2, 3))},
+          {", ".join(f"sum((s{i}{j} - u * e{i}{j}) / r - {first[i - 1]} * {first[j - 1]}) AS h{i}{j}" for i, j in ij)} FROM (SELECT *, s0 - u * e0 AS r FROM (SELECT *, {share} AS u FROM s{k})))""")
+        ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i} + (' + ' + '.join(f'g{j} * {cof(i, j)}' for j in (1, 2, 3)) + f') / ({det}) AS b{i}' for i in (1, 2, 3))} FROM b{k}, g{k})")
+    if fitted:
+        return f"SELECT * FROM (WITH {', '.join(ctes)} SELECT b1, b2, b3 FROM b{steps})"
+    tail = lambda z: f"1 - (SELECT sum(exp(n * ln(z2) - lgamma(2 * n + 2) + n * ln(2e0) + lgamma(n + 1))) FROM (SELECT unnest(range(200)) AS n, {z} * {z} AS z2)) * sqrt(2 / pi()) * abs({z}) * exp(-{z} * {z} / 2)"
+    rows = " UNION ALL ".join(f"SELECT '{v}' AS variable, b{steps}.b{i} AS estimate, sqrt({cof(i, i)} / ({det})) AS se FROM b{steps}, g{steps - 1}" for i, v in enumerate(("acctbal", "building", "switched"), 1))
+    return f"""SELECT variable, estimate, exp(estimate) AS hr, se, z, {tail("z")} AS p_value, abs(z) AS importance FROM (SELECT *, estimate / se AS z FROM (WITH {", ".join(ctes)} {rows}))"""
+
+
+CTE["x_cx"] = """SELECT start, "end" AS stop, event, z AS x1, (segment = 'BUILDING')::INT::DOUBLE AS x2, (treatment = 'switched')::INT::DOUBLE AS x3 FROM x_ti
+  JOIN (SELECT id, segment, (acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER () AS z FROM x_sp) USING (id)"""
+CTE["x_ce"] = "SELECT stop AS t, count(*)::DOUBLE AS d, sum(x1) AS y1, sum(x2) AS y2, sum(x3) AS y3 FROM x_cx WHERE event > 0 GROUP BY 1"
+sql("cox_fit", newton(8), "estimate hr se z p_value importance")
+CTE["x_bb"] = newton(8, "breslow", fitted=True)
+CTE["x_hb"] = """SELECT id, start, "end", event, b1 * z + b2 * (segment = 'BUILDING')::INT + b3 * (treatment = 'switched')::INT AS lp FROM x_ti
+  JOIN (SELECT id, segment, (acctbal - avg(acctbal) OVER ()) / stddev_pop(acctbal) OVER () AS z FROM x_sp) USING (id), x_bb"""
+CTE["x_b0"] = """SELECT e.t, any_value(e.d) / sum(exp(x_hb.lp)) AS h FROM (SELECT "end" AS t, count(*)::DOUBLE AS d FROM x_hb WHERE event > 0 GROUP BY 1) e
+  JOIN x_hb ON x_hb.start < e.t AND x_hb."end" >= e.t GROUP BY 1"""
+sql("cox_predict", """SELECT x_st.id, x_st.start, x_st.eval_t, exp(-hz * exp(lp)) AS surv FROM x_st JOIN x_hb ON x_hb.id = x_st.id AND x_hb.start = x_st.start
+  JOIN (SELECT g.eval_t, coalesce(sum(h), 0) AS hz FROM x_t g LEFT JOIN x_b0 ON t <= g.eval_t GROUP BY 1) USING (eval_t)""", "start eval_t surv")
 sql("asof_at_event_times", """SELECT id, start, fu AS follow_up, t AS eval_t FROM (
   SELECT *, lead(start) OVER (PARTITION BY id ORDER BY start, "end") AS nxt, max("end") OVER (PARTITION BY id) AS fu FROM x_ti) i JOIN x_et ON start <= t AND (nxt IS NULL OR t < nxt)""", "start follow_up eval_t")
 CTE["x_ste"] = """SELECT i.* EXCLUDE (rn), t AS eval_t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start DESC, "end" DESC) AS rn FROM x_ti) i JOIN x_et ON t >= start AND (rn = 1 OR t < "end")"""
