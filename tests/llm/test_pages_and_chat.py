@@ -145,7 +145,7 @@ def test_machine_and_loss_flags(spark):
     assert chat.read_back(chat.format_turns(talk(spark, []))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op7_chat_format", "op9_ngram_jaccard_join", "op10_fair_mix"])
+@pytest.mark.parametrize("name", ["op2_warc", "op7_chat_format", "op9_ngram_jaccard_join", "op10_fair_mix", "op12_html_text", "op13_vector_codes"])
 def test_queries_match_sql(spark, name, sf):
     from harness import compare, duck
 
