@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed, scalars
 from ..operators import cohort, cox, events, features, impute, grids, intervals, measures, metrics_cls, metrics_surv, models, profile, reshape, results, sampling
+from ..operators import survival_forest as survival_forests
 from ..operators.ordered import lookup
 from ..sources import sinks, tables
 from . import cohorts as co
@@ -965,6 +966,14 @@ def hazard_forest(spark, d):
     return models.hazard_survival(m, rows, COVARIATES, EDGES, id="id", hot=fx.hot_ids(spark, d))
 
 
+@query
+def survival_forest(spark, d):
+    """Log-rank forest on all event times, survival at the reported ones."""
+    rows = hazard_rows(spark, d)
+    m = survival_forests.fit_survival_forest(rows, COVARIATES, id="id", seed=fx.SEED)
+    return survival_forests.forest_survival(m, rows, spark.createDataFrame([(t,) for t in TIMES], "eval_t double"), id="id", hot=fx.hot_ids(spark, d))
+
+
 def importance(spark, d, model, rows, **kw):
     """Permutation importance at the evaluation times; rows of an entity are told apart by number."""
     rows = rows.withColumn("k", F.when(F.col("treatment") == "switched", 2).otherwise(1))
