@@ -452,9 +452,40 @@ def test_vectors_that_take_no_part(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in graph.neighbours(df, df.filter("vec_id >= 0")).collect())
     assert {q for q, *_ in got} == {100, 101, 102}
     assert [x[1:] for x in got if x[0] == 100] == [(1, 101, 1.0), (2, 102, 1.0)]
+    # a repeated row asks once
+    assert [x[1:3] for x in got if x[0] == 102] == [(1, 100), (2, 101)]
     assert graph.neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_an_id_with_two_vectors_asks_with_each(spark):
+    rows = [(1, [1.0, 0.0]), (1, [9.0, 0.0]), (2, [2.0, 0.0]), (3, [7.0, 0.0]), (4, [1.0, 0.0, 5.0]), (5, [1.0, 0.0, 7.0])]
+    df = spark.createDataFrame([(*r, "v", 1, 2) for r in rows], VECTORS)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in graph.neighbours(df, df.filter("vec_id in (1, 4)"), k=1).collect())
+    assert got == [(1, 1, 2, 1.0), (1, 1, 3, 2.0), (4, 1, 5, 2.0)]
+
+
+def test_shards_grow_with_the_table():
+    assert graph.layout(0) == graph.layout(50_000) == (2048, 64)
+    assert graph.layout(10**6) == (10_000, 142) and graph.layout(10**9) == (65_536, 363)
+    copies = [-(-n // graph.layout(n)[0]) for n in (10**5, 10**6, 10**7)]
+    assert copies[2] / copies[0] < 100**0.4  # queries times shards grow slower than n ** 1.4
+
+
+def test_recall_of_larger_shards(spark):
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(12_500, 64)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), "v", 1, 2) for i, v in enumerate(data)], VECTORS).repartition(4)
+    got = defaultdict(set)
+    for r in graph.neighbours(df, df.filter("vec_id % 100 = 0"), shard=4096).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(data), 100):
+        d = ((data - data[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / (10 * len(got)) >= 0.97 and len(got) == 125
+
+
 # pipeline
 
 

@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Distinct vectors are dealt to shards of bounded size by hash. In each shard a graph grows:
+Distinct vectors are dealt to shards by hash. Shards grow with the table, to the power of two
+thirds, so that their number, and with it the copies of a query, grows only by the third root;
+the beam widens with the root of a shard's size, which holds the recall. In each shard a graph grows:
 a greedy beam search proposes neighbours for a batch of vectors, relaxed distance pruning
 keeps those that no kept neighbour is much closer to, and edges back are pruned the same way
 where a vector gets too many. Queries walk every shard's graph with a beam; the best of all
@@ -9,6 +11,7 @@ shards are the answer. All work on a batch is done in numpy at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +22,14 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import stage
 
-#: Distinct vectors of a shard, about.
-SHARD = 2048
+#: Distinct vectors of a shard, about: at least, and at most (what a task holds and builds in minutes).
+SHARD, MOST = 2048, 1 << 16
 DEGREE = 24
+#: Beam of a build, and of queries to a shard of ``SHARD`` vectors.
 BEAM = 64
 BATCH = 256
+#: Numbers in a block of query vectors, which travels as one row.
+BLOCK = 1024
 #: Beam entries opened in one step.
 OPEN = 4
 RELAX = (1.0, 1.2)
@@ -158,70 +164,104 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int
     return graph
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+def layout(n: int) -> tuple[int, int]:
+    """(vectors of a shard, beam of a query) for ``n`` distinct vectors."""
+    shard = min(MOST, max(SHARD, math.ceil(round(n ** (2 / 3), 6))))
+    return shard, math.ceil(BEAM * math.sqrt(shard / SHARD))
+
+
+def _blocks(asked: DataFrame) -> DataFrame:
+    """(length, v, ids, keys): query vectors of one length behind each other, ``BLOCK`` numbers a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, column = batch.column(0), batch.column(1), batch.column(2)
+            length = np.diff(column.offsets.to_numpy())
+            for size in np.unique(length):
+                at = np.flatnonzero(length == size)
+                step = max(1, BLOCK // int(size))
+                parts = [pa.array(at[i : i + step]) for i in range(0, len(at), step)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(size)] * len(parts), pa.int32()),
+                        pa.array([column.take(p).flatten().to_numpy() for p in parts], pa.list_(pa.float64())),
+                        *(pa.array([c.take(p).to_numpy() for p in parts], pa.list_(pa.int64())) for c in (ids, keys)),
+                    ],
+                    names=["length", "v", "ids", "keys"],
+                )
+
+    return asked.select("query_id", F.xxhash64("v"), "v").mapInArrow(run, "length int, v array<double>, ids array<long>, keys array<long>")
+
+
+def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", shard: int | None = None, beam: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its ``k`` nearest rows of another id.
 
     Vectors that are null, zero or hold a null, NaN or infinity take no part, nor do rows without
-    an id. Vectors of another length than the query's are no candidates. Equal vectors are one
-    point of a graph, which carries its ``k + 1`` smallest ids; they are found by a window whose
-    limit Spark applies before the shuffle, so any number of copies is harmless. ``score`` is the
-    Euclidean distance of the original vectors in double precision; equal ones go by id.
+    an id. Vectors of another length than the query's are no candidates. Repeated rows, of one id
+    and vector, count once; an id with several vectors asks, and is found, with each. Equal vectors
+    are one point of a graph, which carries its ``k + 1`` smallest ids; they are found by a window
+    whose limit Spark applies before the shuffle, so any number of copies is harmless. ``score`` is
+    the Euclidean distance of the original vectors in double precision; equal ones go by id.
+
+    ``shard`` and ``beam`` follow ``layout`` unless given. Every query goes to every shard.
     """
     numbers = F.col(vector).cast("array<double>")
 
     def sound(df: DataFrame, name: str) -> DataFrame:
         df = df.select(F.col(id).cast("long").alias(name), F.transform(numbers, lambda x: x + F.lit(0.0)).alias("v"))
         bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        return df.filter(F.col(name).isNotNull() & F.col("v").isNotNull()).filter(~bad).filter(F.exists("v", lambda x: x != 0))
+        return df.filter(F.col(name).isNotNull() & F.col("v").isNotNull()).filter(~bad).filter(F.exists("v", lambda x: x != 0)).distinct()
 
     by = Window.partitionBy("v").orderBy("vec_id")
-    least = sound(rows, "vec_id").distinct().withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1)
+    least = sound(rows, "vec_id").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1)
     points = stage(least.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    shards = max(1, -(-points.count() // shard))
-    own = points.select(F.size("v").alias("length"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
-    asked = sound(queries, "query_id").select(F.size("v").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "v", F.lit(None).cast("array<long>").alias("ids"))
-    dealt = own.unionByName(asked).repartition(shards, "length", "shard").sortWithinPartitions("length", "shard", F.col("query_id").asc_nulls_first(), "v")
+    n = points.count()
+    shard = shard or layout(n)[0]
+    width = max(beam or math.ceil(BEAM * math.sqrt(max(1, shard / SHARD))), k + 1)
+    shards = max(1, -(-n // shard))
+    own = points.select(F.size("v").alias("length"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "v", "ids", F.array().cast("array<long>").alias("keys"))
+    asked = _blocks(sound(queries, "query_id")).select("length", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "v", "ids", "keys")
+    dealt = own.unionByName(asked).repartition(shards, "length", "shard").sortWithinPartitions("length", "shard", "asks", "v")
 
-    def answer(graph: Graph, vectors: np.ndarray, ids: list[list[int]], asking: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    def answer(graph: Graph, vectors: np.ndarray, ids: list[list[int]], asking: np.ndarray, keys: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         """The best ``k`` of this shard for each query."""
-        found, _ = search(graph, (q - vectors.mean(axis=0)).astype(np.float32), max(beam, k + 1))
-        out: list[tuple[int, int, float]] = []
-        for one, at, x in zip(asking.tolist(), found, q):
+        found, _ = search(graph, (q - vectors.mean(axis=0)).astype(np.float32), width)
+        out: list[tuple[int, int, int, float]] = []
+        for one, key, at, x in zip(asking.tolist(), keys.tolist(), found, q):
             at = at[at >= 0]
             gap = vectors[at] - x
             exact = np.sqrt((gap * gap).sum(axis=1))
             best = sorted((d, i) for d, p in zip(exact.tolist(), at.tolist()) for i in ids[p] if i != one)[:k]
-            out += [(one, i, d) for d, i in best]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+            out += [(one, key, i, d) for d, i in best]
+        cols = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "key", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ids, vectors, graph = None, [], [], None, None
         for batch in batches:
             length, part = (batch.column(i).to_numpy() for i in (0, 1))
-            asking = batch.column(2)
-            kind = asking.is_null().to_numpy(zero_copy_only=False)
-            asking = asking.fill_null(0).to_numpy()
-            flat, ends = batch.column(3).flatten().to_numpy(), batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
-            cuts = np.flatnonzero((np.diff(length) != 0) | (np.diff(part) != 0) | (np.diff(kind.astype(int)) != 0)) + 1
+            asks = batch.column(2).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(length) != 0) | (np.diff(part) != 0) | np.diff(asks)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
                 if lo == hi:
                     continue
                 if (length[lo], part[lo]) != now:
                     now, held, ids, graph = (length[lo], part[lo]), [], [], None
-                v = flat[ends[lo] : ends[hi]].reshape(hi - lo, -1)
-                if kind[lo]:
+                v = batch.column(3).slice(lo, hi - lo).flatten().to_numpy().reshape(-1, length[lo])
+                if not asks[lo]:
                     held.append(v)
                     ids += batch.column(4).slice(lo, hi - lo).to_pylist()
                 elif held:
                     if graph is None:
                         vectors = np.concatenate(held)
                         graph = build(vectors)
+                    asking, keys = (batch.column(i).slice(lo, hi - lo).flatten().to_numpy() for i in (4, 5))
                     for at in range(0, len(v), BATCH):
-                        yield answer(graph, vectors, ids, asking[lo + at : min(hi, lo + at + BATCH)], v[at : at + BATCH])
+                        some = slice(at, at + BATCH)
+                        yield answer(graph, vectors, ids, asking[some], keys[some], v[some])
 
-    near = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = dealt.mapInArrow(run, "query_id long, key long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
