@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import pii, secrets
+from tideline.llm import common, pii, secrets
 from tideline.llm.common import running, spans
 
 SECRETS = [
@@ -161,3 +162,50 @@ def test_queries(spark, sf, name):
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
         assert [r[f"n_{k}"] for k, _, _ in rules] == [sum(x.startswith(f"{k}:") for x in want.split(",")) for k, _, _ in rules]
+
+
+# helpers of long texts
+
+
+def test_spans_apart_from_others(spark):
+    """Against all pairs, also over many blocks."""
+    rng = random.Random(11)
+    rows = []
+    for size in (0, 1, 3, 20, 900):
+        for _ in range(6):
+            at, found = 0, []
+            for _ in range(size):
+                at += rng.randint(0, 9)
+                found.append((at, at + rng.randint(1, 5)))
+                at = found[-1][1]
+            others = [(a, a + rng.randint(1, 30)) for a in (rng.randint(0, at + 9) for _ in range(rng.choice([0, 2, size // 3])))]
+            rows.append((found, others))
+    df = spark.createDataFrame(rows, "found array<struct<start:long,end:long>>, others array<struct<start:long,end:long>>")
+    for r in df.select("found", "others", common.untouched(F.col("found"), F.col("others")).alias("free")).collect():
+        assert [tuple(m) for m in r.free] == [(a, b) for a, b in r.found if not any(x < b and y > a for x, y in r.others)]
+
+
+def test_cuts_of_a_text(spark):
+    rng = random.Random(12)
+    texts = ["", "a", "é" * common.PART, "".join(rng.choice("ab\n😀é ") for _ in range(5 * common.PART + 7))]
+    rows = [(t, *sorted((rng.randint(0, len(t)), rng.randint(0, len(t))))) for t in texts for _ in range(12)] + [(t, len(t), len(t)) for t in texts] + [(t, 0, len(t)) for t in texts]
+    df = spark.createDataFrame(rows, "text string, a long, b long")
+    assert all(r.x == r.text[r.a : r.b] for r in df.select("text", "a", "b", common.cut(common.parts(F.col("text")), F.col("a"), F.col("b")).alias("x")).collect())
+
+
+def test_many_spans_in_one_text(spark):
+    """Redaction against one pass over the found spans; work that grew with the square would take minutes."""
+    text = "".join(f"é😀 a{i}@b.co " if i % 3 else f"call 212-555-{i % 10000:04d}, " for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pii.fit(df)
+    found = sorted((m.start, m.end, m.kind) for m in pii.find(df, model).first().found)
+    assert len(found) >= 13_333
+    at, want = 0, []
+    for start, end, kind in found:
+        if start >= at:
+            want += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    assert pii.redact(df, model).first().text == "".join(want) + text[at:]
+    secret = "".join(f"token=abcd{i:06d}, " if i % 2 else f"Zx9qT7{i:06d}pLm4Rk8 " for i in range(20_000))
+    got = secrets.scan(spark.createDataFrame([(1, secret)], "doc_id long, text string"), [1.0] * ((secrets.WIDTH + 1) * secrets.WIDTH)).first().found
+    assert Counter(m.kind for m in got) == {"assign": 10_000, "random": 10_000}

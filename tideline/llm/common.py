@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: Elements that one block of ``running`` adds up by itself.
+#: Elements that one block of ``running`` or ``highest`` takes by itself.
 BLOCK = 256
+#: Code points of a part of a text.
+PART = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,61 @@ def running(values: Column) -> Column:
     return let(values, blocks)
 
 
+def highest(values: Column) -> Column:
+    """For each element the largest of those before it, null for the first; in blocks, as ``running``."""
+
+    def blocks(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        each = F.transform(numbers, lambda b: F.array_max(F.slice(v, b * BLOCK + 1, BLOCK)))
+        return let(each, lambda s: let(F.transform(s, lambda _, b: F.array_max(F.slice(s, 1, b))), lambda before: F.transform(v, lambda _, i: one(v, before, i))))
+
+    def one(v: Column, before: Column, i: Column) -> Column:
+        b = F.floor(i / BLOCK).cast("int")
+        return F.greatest(F.get(before, b), F.array_max(F.slice(v, b * BLOCK + 1, i - b * BLOCK)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(v))
+
+
+def parts(text: Column) -> Column:
+    """A text in parts of ``PART`` code points, for ``cut``."""
+    return F.when(F.length(text) <= PART, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}+"), F.lit(0)))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text that ``parts`` has cut: the text before them is not read."""
+    first, last = (F.floor(x / PART).cast("int") for x in (start, end))
+    near = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    return F.substring(near, (start - first * PART).cast("int") + 1, (end - start).cast("int"))
+
+
+def untouched(found: Column, others: Column) -> Column:
+    """Those of ``found``, spans by ascending start, that overlap none of ``others``, spans in any order.
+
+    Both are merged by start; a span is free if no other before it ends behind its start and the
+    next other starts behind it. The work grows with the number of spans, not with its square.
+    """
+    never = F.lit(-(1 << 62))
+
+    def apart(f: Column) -> Column:
+        mine = F.transform(f, lambda m, i: F.struct(m["start"].alias("start"), F.lit(1).alias("own"), m["end"].alias("end"), i.alias("at")))
+        theirs = F.transform(others, lambda m: F.struct(m["start"].alias("start"), F.lit(0).alias("own"), m["end"].alias("end"), F.lit(-1).alias("at")))
+        return let(F.array_sort(F.concat(theirs, mine)), lambda order: judged(f, order))
+
+    def judged(f: Column, order: Column) -> Column:
+        reached = highest(F.transform(order, lambda m: F.when(m["own"] == 0, m["end"]).otherwise(never)))
+        coming = highest(F.transform(F.reverse(order), lambda m: F.when(m["own"] == 0, -m["start"]).otherwise(never)))
+        return let(reached, lambda r: let(coming, lambda c: kept(f, order, r, c)))
+
+    def kept(f: Column, order: Column, reached: Column, coming: Column) -> Column:
+        def free(m: Column, i: Column) -> Column:
+            before, after = F.get(reached, i), F.get(coming, F.size(order) - 1 - i)
+            return F.when((m["own"] == 1) & (F.coalesce(before, never) <= m["start"]) & (F.coalesce(after, never) <= -m["end"]), m["at"])
+
+        return F.transform(F.filter(F.transform(order, free), lambda at: at.isNotNull()), lambda at: F.get(f, at))
+
+    return let(found, lambda f: F.when((F.size(f) == 0) | (F.size(others) == 0), f).otherwise(apart(f)))
+
+
 def spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
     """Leftmost non-overlapping matches with their places in code points.
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents, joined, let, spans, stage, total
+from tideline.llm.common import cut, documents, highest, joined, let, parts, spans, stage, total, untouched
 
 KINDS = ("email", "ip", "card", "phone", "number")
 # A repeated group is possessive: Java would otherwise recurse once for each repetition.
@@ -75,9 +75,9 @@ def candidates(text: Column) -> Column:
     parts, lead), each below its entry in ``SHAPE``.
     """
 
-    def described(m: Column) -> Column:
+    def described(m: Column, whole: Column) -> Column:
         digits, body = _digits(m["text"]), m["text"]
-        before = F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(m["start"], F.lit(CONTEXT)).cast("int"))
+        before = cut(whole, F.greatest(m["start"] - CONTEXT, F.lit(0)), m["start"])
         around = F.regexp_replace(body, "[0-9]", "")
 
         def vote(yes: Column, no: Column) -> Column:
@@ -104,9 +104,9 @@ def candidates(text: Column) -> Column:
         return let(F.length(digits), of)
 
     def all_of(base: Column) -> Column:
-        loose = F.filter(spans(text, LOOSE), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+        loose = untouched(spans(text, LOOSE), base)
         both = F.concat(base, F.transform(loose, lambda m: F.struct(m["start"], m["end"], m["text"], F.lit(4).alias("rank"))))
-        return F.transform(both, described)
+        return let(both, lambda b: let(parts(F.when(F.size(b) > 0, text).otherwise("")), lambda whole: F.transform(b, lambda m: described(m, whole))))
 
     return let(base_spans(text), all_of)
 
@@ -234,19 +234,17 @@ def redact(docs: DataFrame, model: Model, text: str = "text", spans: str | None
     found = find(docs, model, text, into=marks, spans=spans)
     column = F.col(text)
 
-    def step(a: Column, m: Column) -> Column:
-        gap = F.substring(column, a["at"].cast("int") + 1, F.greatest(m["start"] - a["at"], F.lit(0)).cast("int"))
-        fresh = F.array(gap, F.concat(F.lit("["), F.upper(m["kind"]), F.lit("]")))
-        parts = F.when(m["start"] >= a["at"], F.concat(a["parts"], fresh)).otherwise(a["parts"])
-        return F.struct(F.greatest(a["at"], m["end"]).alias("at"), parts.alias("parts"))
+    def masked(found: Column, reached: Column, whole: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(reached, i), F.lit(0).cast("long"))
+            return F.when(m["start"] >= at, F.concat(cut(whole, at, m["start"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))).otherwise("")
 
-    def close(a: Column) -> Column:
-        return F.concat(F.array_join(a["parts"], ""), F.substring(column, a["at"].cast("int") + 1, F.length(column)))
+        rest = cut(whole, F.array_max(F.transform(found, lambda m: m["end"])), F.length(column))
+        return F.concat(F.array_join(F.transform(found, one), ""), rest)
 
     by_start = F.array_sort(F.transform(F.col(marks), lambda m: F.struct(m["start"], m["end"], m["kind"])))
-    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(by_start, nothing, step, close)
-    return found.withColumn(text, F.when(F.size(F.col(marks)) > 0, masked).otherwise(column)).drop(marks, *([spans] if spans else []))
+    new = let(by_start, lambda f: let(highest(F.transform(f, lambda m: m["end"])), lambda r: let(parts(column), lambda whole: masked(f, r, whole))))
+    return found.withColumn(text, F.when(F.size(F.col(marks)) > 0, new).otherwise(column)).drop(marks, *([spans] if spans else []))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

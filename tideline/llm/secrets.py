@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents, joined, let, spans, total
+from tideline.llm.common import documents, joined, let, spans, total, untouched
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*+[:=]\\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, model: Sequence[float], text: str = "text", min_length
         return F.struct(m["start"].alias("start"), rank.alias("rank"), F.get(kinds, rank).alias("kind"), m["end"].alias("end"), score.alias("score"))
 
     def all_of(base: Column) -> Column:
-        free = F.filter(spans(F.col(text), run), lambda c: c["text"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+        free = untouched(F.filter(spans(F.col(text), run), lambda c: c["text"].rlike("[A-Za-z]")), base)
         scored = F.transform(free, lambda c: mark(c, F.lit(3), log_ratio(c["text"], model)))
         fixed = F.transform(base, lambda m: mark(m, m["rank"], F.lit(None).cast("double")))
         return F.array_sort(F.concat(fixed, F.filter(scored, lambda c: c["score"] > math.log(odds))))
