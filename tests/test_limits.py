@@ -136,3 +136,19 @@ def test_one_hot_refuses_levels_that_are_not_listed(spark):
     assert sorted(map(tuple, features.one_hot(rows, ["c"], levels={"c": ["a", "b"]}, drop="first").collect())) == [(0.0,), (0.0,), (1.0,)]
     with pytest.raises(Exception, match="not listed: b"):
         features.one_hot(rows, ["c"], levels={"c": ["a", "z"]}, drop="first").collect()
+
+
+def test_levels_are_written_in_one_pass(spark, tmp_path):
+    """A level without rows gets an empty file set, other values and NULL none."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "x"), (5, None)], "id long, kind string").mapInArrow(tell, "id long, kind string")
+    paths = sinks.write_by_level(rows, str(tmp_path / "levels"), "kind", ["a", "b", "c"])
+    assert seen.value == 5
+    back = {k: sorted(r["id"] for r in spark.read.schema("id long").parquet(p).collect()) for k, p in paths.items()}
+    assert back == {"a": [1, 3], "b": [2], "c": []}

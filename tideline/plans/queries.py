@@ -56,11 +56,8 @@ def tagged_union(spark, d):
 @query
 def directory_union(spark, d):
     """Write one file set per measure, read them back as one table with the name as a column."""
-    path = scratch(spark, "measures")
     rows = fx.measures(spark, d).select("id", "measure", "t", "value", "l_orderkey", "l_linenumber")
-    for m in fx.MEASURES:
-        rows.filter(F.col("measure") == m).drop("measure").write.parquet(f"{path}/{m}.parquet")
-    files = {m: f"{path}/{m}.parquet" for m in fx.MEASURES}
+    files = sinks.write_by_level(rows, scratch(spark, "measures"), "measure", fx.MEASURES)
     return tables.read_measure_files(spark, files, rows.drop("measure").schema, "measure", fmt="parquet")
 
 

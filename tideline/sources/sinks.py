@@ -45,6 +45,19 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], mode: str =
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def write_by_level(df: DataFrame, path: str, key: str, levels: Sequence[str]) -> dict[str, str]:
+    """One file set per listed value of ``key``, in one pass over ``df``; their paths by value.
+
+    Rows of other values are not written; a value without rows gets an empty file set.
+    """
+    paths = {v: f"{path}/{key}={v}" for v in levels}
+    empty = df.sparkSession.createDataFrame([], df.drop(key).schema)
+    for p in paths.values():
+        empty.write.parquet(p)
+    write_partitioned(df.filter(df[key].isin(list(levels))), path, [key], "append")
+    return paths
+
+
 def write_bundle(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
     """Several tables saved together under one directory."""
     for name, df in tables.items():
