@@ -49,6 +49,11 @@ def test_entity_chain_leaves_the_orders_alone_after_one_pass(spark, sf):
     assert plan(fx.order_days(spark, sf)).count("orders.parquet") <= 2
 
 
+def test_assembled_entities_read_orders_from_one_written_table(spark, sf):
+    text = plan(entry.queries()["entity_assemble"](spark, sf))
+    assert "orders.parquet" not in text and "tideline-stage" in text
+
+
 def test_density_of_a_single_group(spark, sf):
     out = profile.density_curve(fx.table(spark, sf, "customer"), [], "c_acctbal", points=40).orderBy("x").collect()
     area = sum((b["x"] - a["x"]) * (a["density"] + b["density"]) / 2 for a, b in zip(out, out[1:]))

@@ -171,15 +171,16 @@ def prior_events(spark, d):
 
 @query
 def entity_assemble(spark, d):
-    o = fx.orders_by_day(spark, d)
-    logs = fx.event_logs(spark, d)
+    # written once: only rows by entity meet in the task that joins the lookups
+    o = sinks.stage(fx.order_days(spark, d))
+    logs = fx.event_logs(spark, d, o)
     lookups = [
         events.union_count(list(logs.values()), "id", "n_events"),
         events.existence_flag(o, "id", "medium", F.col("o_orderpriority") == "3-MEDIUM"),
-        fx.switch_times(spark, d),
+        fx.switch_times(spark, d, o),
         o.groupBy("id").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total_price")),
     ]
-    e = cohort.assemble(fx.spine(spark, d), lookups, "id", {"n_events": 0, "medium": 0.0, "n_orders": 0})
+    e = cohort.assemble(fx.spine(spark, d, o), lookups, "id", {"n_events": 0, "medium": 0.0, "n_orders": 0})
     return e.withColumn("years_to_switch", scalars.years("switch_t")).withColumn("log_orders", scalars.log_plus_one(F.col("n_orders").cast("double")))
 
 
