@@ -345,6 +345,21 @@ def test_forest_fills_numbers_and_texts(spark):
     assert models.impute_forest(df.limit(0), id="id", numeric=["b"], complete=["a"], categorical=["kind"]).count() == 0
 
 
+def test_forest_imputation_uses_all_tasks_and_reads_files(spark, monkeypatch):
+    """Rows of one task are dealt over all; every column's fit starts from a written table."""
+    written, write = [], models.stage
+
+    def staged(df):
+        written.append(df.rdd.getNumPartitions())
+        return write(df)
+
+    monkeypatch.setattr(models, "stage", staged)
+    df = spark.createDataFrame([(i, float(i), None if i % 5 == 0 else 2.0 * i, None if i % 7 == 0 else 3.0 * i) for i in range(200)], "id long, a double, b double, c double").coalesce(1)
+    out = models.impute_forest(df, id="id", numeric=["b", "c"], complete=["a"], trees=2, depth=3, sweeps=1)
+    assert out.filter("b IS NULL OR c IS NULL").count() == 0
+    assert len(written) == 3 and min(written) >= 8
+
+
 def test_measures_filled_by_forests(spark):
     rng = np.random.default_rng(6)
     rows = [(i, m, float(t), i / 10 + k + rng.normal() / 10, t) for i in range(80) for k, m in enumerate("xy") for t in range(-2, 3) if not (i % 4 == 0 and m == "y")]

@@ -19,7 +19,7 @@ from ..sources.sinks import stage
 from .dependence import forest_dependence
 from .intervals import in_force, person_period, stabbing_join, stitch_predictions
 from .metrics_surv import c_index
-from .ordered import lookup, ordered_scan
+from .ordered import lookup, ordered_scan, shuffle_partitions
 from .sampling import permute_column, with_repetitions
 
 PENALTIES = {"none": (0.0, 0.0), "lasso": (1.0, 1.0), "ridge": (1.0, 0.0), "elastic": (1.0, 0.5)}
@@ -37,6 +37,11 @@ def assemble(df: DataFrame, columns: Sequence[str], label: str | None = None) ->
     return out if label is None else out.withColumn("label", F.col(label).cast("double"))
 
 
+def fit_tasks(spark) -> int:
+    """Tasks among which the rows of an iterative fit are dealt, so that a small table uses all cores too."""
+    return max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+
+
 def forest(trees: int = 500, min_leaf: int = 1, depth: int = 10, seed: int = 0) -> RandomForestClassifier:
     # nodes of many trees are split in one pass over the rows, as far as the histograms fit
     return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
@@ -187,9 +192,9 @@ def impute_forest(
     refit each incomplete column on all others, those with fewest gaps first, and replace its missing cells. A
     sweep's change is the squared change of the numeric cells over their squares, and the share of
     text cells that changed. When each kind that has gaps changed more than in the sweep before,
-    that sweep's table is returned. Texts are few-valued: their levels are categories of the trees. Every sweep
-    is written out, so lineage does not grow and a lost executor repeats no training. A column
-    without any value stays as it is and is no input.
+    that sweep's table is returned. Texts are few-valued: their levels are categories of the trees. The table
+    is dealt over all tasks and written after every column, so that a fit reads files and not the forests
+    before it, and a lost executor repeats no training. A column without any value stays as it is and is no input.
     """
     numeric, complete, categorical = list(numeric), list(complete), list(categorical)
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in numeric + categorical], *[F.avg(c).alias(f"m_{c}") for c in numeric], F.count("*").alias("rows")).first()
@@ -204,7 +209,8 @@ def impute_forest(
         counts = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).collect()  # one row per level of a categorical column
         first[c], levels[c] = counts[0][0], sorted(r[0] for r in counts)
     starts = {c: F.coalesce(F.col(c).cast("double"), F.lit(gaps[f"m_{c}"])) for c in used} | {c: F.coalesce(F.col(c), F.lit(first[c])) for c in texts}
-    cur = stage(indexed.withColumns(starts))
+    # by a hash of the id: a shuffle by the id itself would be left out, or its parts be merged
+    cur = stage(indexed.withColumns(starts).repartition(fit_tasks(df.sparkSession), F.xxhash64(id)))
     coders = {c: StringIndexerModel.from_labels(levels[c], inputCol=c, outputCol=f"__i_{c}") for c in texts}
     bins = max([32, *map(len, levels.values())])
     common = {"numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": bins}
@@ -225,8 +231,7 @@ def impute_forest(
             fit = maker.fit(assemble(rows.filter(~F.col(f"__na_{c}")), inputs))
             told = F.element_at(F.array(*[F.lit(v) for v in levels[c]]), F.col("prediction").cast("int") + 1) if c in coders else F.col("prediction")
             filled = fit.transform(assemble(rows, inputs)).withColumn(c, F.when(F.col(f"__na_{c}"), told).otherwise(F.col(c)))
-            new = filled.select(*new.columns)
-        new = stage(new)
+            new = stage(filled.select(*new.columns))
         pairs = new.select(id, *[F.col(c).alias(f"__x_{c}") for c in todo]).join(cur, id)
         total = lambda of, e: F.sum(sum((F.when(F.col(f"__na_{c}"), e(c)).otherwise(0.0) for c in todo if (c in coders) == of), F.lit(0.0)))
         r = pairs.agg(
