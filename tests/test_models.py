@@ -188,6 +188,20 @@ def test_a_hundred_covariates(spark):
     assert np.allclose(m.beta, b + np.linalg.solve(again[2], again[1]), rtol=0, atol=1e-9)
 
 
+def test_models_of_equal_coefficients_are_derived_once(spark, monkeypatch):
+    p, names = wide_cohort(300, 3, 4)
+    df = spark.createDataFrame(p).withColumn("fold", (F.col("id") % 3).cast("int"))
+    packed = cox.Packed(df.select("start", "end", "event", *names, "fold"), names, 3000)
+    asked, make = [], cox._Breslow
+    monkeypatch.setattr(cox, "_Breslow", lambda models, *a: asked.append(len(models)) or make(models, *a))
+    monkeypatch.setattr(cox, "CELLS", 100)  # models take turns inside a task
+    b = np.linspace(-0.5, 0.5, len(names))
+    got = cox.derivatives(packed, {i: (b, i % 2) for i in range(6)}, "breslow")
+    assert asked == [2] and all(got[i][0] == got[i % 2][0] for i in range(6))
+    ll, g, h = plain_derivatives(p[p.id % 3 != 1], names, b, "breslow")
+    assert np.isclose(got[5][0], ll, rtol=1e-10) and np.allclose(got[5][1], g) and np.allclose(got[5][2], h)
+
+
 def test_penalised_path(spark):
     p, names = wide_cohort(400, 12, 9)
     m = cox.cox_penalised(spark.createDataFrame(p), names, id="id", alpha=0.9, seed=3, n_lambdas=12, ratio=0.01, folds=3, together=5)
