@@ -290,6 +290,15 @@ def test_penalty_grid(spark, monkeypatch, slice_):
     assert np.allclose(s.s, 1 / (1 + np.exp(-(fit.coefficients[at][0] + s[names].to_numpy() @ fit.coefficients[at][1:]))))
 
 
+def test_folds_start_from_the_fit_on_all_rows(spark, monkeypatch):
+    p, names = labelled(300, 6)
+    df, settings, asked, passed = spark.createDataFrame(p), [(0.02, 1.0), (0.02, 0.0), (0.1, 0.5)], [], grids._passed
+    monkeypatch.setattr(grids, "_passed", lambda rows, of, size, q, step: asked.append(size // (1 + (q + 1) * (q + 4) // 2)) or passed(rows, of, size, q, step))
+    fit = grids.fit_grid(df, names, "y", settings, id="id", seed=3, folds=3)
+    # all settings are equal at the start; folds come in once the fits on all rows have ended
+    assert asked[0] == 1 and max(asked[: asked.index(9)]) <= 3 and len(asked) == fit.steps + 1
+
+
 def test_grid_metrics_and_limits(spark):
     p, names = labelled(200, 2)
     df = spark.createDataFrame(p).unionByName(spark.createDataFrame(p.head(2).assign(x0=float("nan"), id=-1)))

@@ -89,6 +89,10 @@ def _derivatives(rows: DataFrame, beta: np.ndarray, out: np.ndarray) -> tuple[np
     """Log loss (m), gradient (m x q) and second derivatives (m x q x q) of the models in the rows of ``beta``, summed over rows."""
     m, q = beta.shape
     i, j = np.triu_indices(q)
+    # settings at the same coefficients, as all are at the start, ask once
+    once, back = np.unique(np.column_stack([out, beta]), axis=0, return_inverse=True)
+    if len(once) < m:
+        return tuple(v[back] for v in _derivatives(rows, once[:, 1:], once[:, 0].astype(out.dtype)))
     per = max(1, PAYLOAD // (1 + q + len(i)))
     if m > per:
         parts = [_derivatives(rows, beta[at : at + per], out[at : at + per]) for at in range(0, m, per)]
@@ -97,10 +101,21 @@ def _derivatives(rows: DataFrame, beta: np.ndarray, out: np.ndarray) -> tuple[np
     def of(fold, y, x):
         z = x @ beta.T
         # columns of a left-out row are 0
-        seen = (fold[:, None] != out[None, :]).astype(float)
-        prob = 1 / (1 + np.exp(-z))
-        loss = ((np.logaddexp(0, z) - y[:, None] * z) * seen).sum(axis=0)
-        return np.concatenate([loss, (x.T @ ((prob - y[:, None]) * seen)).ravel(), ((x[:, i] * x[:, j]).T @ (prob * (1 - prob) * seen)).ravel()])
+        seen = fold[:, None] != out[None, :]
+        # one exponential for the loss, the probability and its spread
+        e = np.exp(-np.abs(z))
+        r = 1 / (1 + e)
+        residual = np.where(z >= 0, r, e * r)
+        residual -= y[:, None]
+        residual *= seen
+        r *= e * r
+        r *= seen
+        loss = np.log1p(e, out=e)
+        loss += np.maximum(z, 0)
+        z *= y[:, None]
+        loss -= z
+        loss *= seen
+        return np.concatenate([loss.sum(axis=0), (x.T @ residual).ravel(), ((x[:, i] * x[:, j]).T @ r).ravel()])
 
     v = _passed(rows, of, m * (1 + q + len(i)), q - 1, max(1, SCORES // m))
     h = np.zeros((m, q, q))
@@ -172,27 +187,32 @@ def fit_grid(
     l1, l2 = s * a, s * (1 - a)
     beta = np.zeros((len(out), len(columns) + 1))
     back, before, last = beta.copy(), np.full(len(out), np.inf), np.full(len(out), np.inf)
-    left, step = np.arange(len(out)), 0
-    while len(left):
-        step += 1
-        if step > max_iter:
-            raise ArithmeticError(f"{len(left)} models have not converged after {max_iter} steps: an estimate may be infinite")
-        loss, g, h = _derivatives(rows, beta[left], out[left])
-        b = beta[left]
-        value = loss / n[left] + l1[left] * np.abs(b[:, 1:]).sum(axis=1) + l2[left] * (b[:, 1:] ** 2).sum(axis=1) / 2
-        worse = value > before[left] + 1e-12 * np.abs(before[left], where=np.isfinite(before[left]), out=np.zeros(len(left)))
-        new = _solve(g / n[left][:, None], h / n[left][:, None, None], b, l1[left], l2[left])
-        new[worse] = (b[worse] + back[left[worse]]) / 2
-        good = left[~worse]
-        back[good], before[good] = beta[good], value[~worse]
-        # along inputs that depend on each other coefficients may go on moving after the loss has settled
-        settled = np.abs(value - last[left]) <= 1e-14 * np.abs(value)
-        last[left] = value
-        still = (np.abs(new - b).max(axis=1) > tol * np.maximum(1, np.abs(new).max(axis=1))) & ~settled
-        beta[left] = np.where(settled[:, None], b, new)
-        left = left[still]
+    steps, whole = 0, np.flatnonzero(out == -1)
+    for left in (whole, np.flatnonzero(out != -1)):
+        # a fold is left out from where the fit on all rows ended
+        beta[left] = np.tile(beta[whole], (len(left) // len(whole), 1))
+        back[left], step = beta[left], 0
+        while len(left):
+            step += 1
+            if step > max_iter:
+                raise ArithmeticError(f"{len(left)} models have not converged after {max_iter} steps: an estimate may be infinite")
+            loss, g, h = _derivatives(rows, beta[left], out[left])
+            b = beta[left]
+            value = loss / n[left] + l1[left] * np.abs(b[:, 1:]).sum(axis=1) + l2[left] * (b[:, 1:] ** 2).sum(axis=1) / 2
+            worse = value > before[left] + 1e-12 * np.abs(before[left], where=np.isfinite(before[left]), out=np.zeros(len(left)))
+            new = _solve(g / n[left][:, None], h / n[left][:, None, None], b, l1[left], l2[left])
+            new[worse] = (b[worse] + back[left[worse]]) / 2
+            good = left[~worse]
+            back[good], before[good] = beta[good], value[~worse]
+            # along inputs that depend on each other coefficients may go on moving after the loss has settled
+            settled = np.abs(value - last[left]) <= 1e-14 * np.abs(value)
+            last[left] = value
+            still = (np.abs(new - b).max(axis=1) > tol * np.maximum(1, np.abs(new).max(axis=1))) & ~settled
+            beta[left] = np.where(settled[:, None], b, new)
+            left = left[still]
+        steps += step
     scores = _scores(rows, beta, out, len(settings), used[1:], metric)
-    return GridFit(columns, settings, metric, scores, beta[: len(settings)], step)
+    return GridFit(columns, settings, metric, scores, beta[: len(settings)], steps)
 
 
 def _scores(rows: DataFrame, beta: np.ndarray, out: np.ndarray, k: int, used: list[int], metric: str) -> np.ndarray:
