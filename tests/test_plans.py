@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tideline.operators import measures, profile
+from tideline.operators import measures, models, profile
 from tideline.plans import fixtures as fx
 
 
@@ -54,6 +54,15 @@ def test_assembled_entities_read_orders_from_one_written_table(spark, sf):
     assert "orders.parquet" not in text and "tideline-stage" in text
 
 
+def test_permuted_rows_are_merged_not_broadcast(spark):
+    """Replicates of all rows never travel through the driver, small as their files may look."""
+    df = spark.range(200).select(F.col("id").alias("row"), (F.col("id") % 50).alias("id"), (F.col("id") * 1.0).alias("a"), (F.col("id") % 50 * 1.0).alias("b"))
+    out = models.permuted_rows(df, ["a", "b"], key=["row"], id="id", seed=3, static=["b"], replicates=4)
+    assert len(out.collect()) == 200 + 200 * 4 * 2
+    joins = [line for line in plan(out).split("\n") if "Join" in line and ("__pos" in line or "[id#" in line)]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_density_of_a_single_group(spark, sf):
     out = profile.density_curve(fx.table(spark, sf, "customer"), [], "c_acctbal", points=40).orderBy("x").collect()
     area = sum((b["x"] - a["x"]) * (a["density"] + b["density"]) / 2 for a, b in zip(out, out[1:]))

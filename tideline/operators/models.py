@@ -123,7 +123,7 @@ def permuted_rows(df: DataFrame, variables: Sequence[str], *, key: Sequence[str]
     if static:
         per_entity = df.groupBy(id).agg(F.max(F.struct(*static)).alias("__s"))
         moved = permute_column(per_entity, key=[id], column="__s", seed=seed, replicates=replicates, name="__static").select("replicate", id, "__static")
-        rows = lookup(rows, moved, [id, "replicate"], "left")
+        rows = lookup(rows, moved.hint("merge"), [id, "replicate"], "left")
     others = [c for c in df.columns if c not in set(variables)]
     versions = []
     for v in variables:

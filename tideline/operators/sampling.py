@@ -62,15 +62,16 @@ def permute_column(df: DataFrame, *, key: Sequence[str], column: str, seed, repl
     """Reassign ``column`` by a random permutation of the rows, per replicate.
 
     Positions come from two ordered scans (key order and keyed-hash order) and one equi
-    join on (replicate, position), so no task sees the whole table.  ``key`` identifies a
-    row and starts with a numeric column.
+    join on (replicate, position), so no task sees the whole table.  The join is a merge by
+    hint: repeated rows compress so well that Spark would take them for a small table and send
+    all replicates through the driver.  ``key`` identifies a row and starts with a numeric column.
     """
     key = list(key)
     reps = with_repetitions(df, replicates, "replicate")
     hashed = reps.withColumn("__u", keyed_uniform(seed, "permute", F.col("replicate"), *[F.col(k) for k in key]))
     source = ordered_scan(hashed.select("replicate", "__u", *key, F.col(column).alias(name)), ["replicate"], ["__u", *key], number="__pos", hot="all")
     target = ordered_scan(reps, ["replicate"], key, number="__pos", hot="all")
-    return target.join(source.select("replicate", "__pos", name), ["replicate", "__pos"]).drop("__pos")
+    return target.join(source.select("replicate", "__pos", name).hint("merge"), ["replicate", "__pos"]).drop("__pos")
 
 
 def permute_static(df: DataFrame, *, id: str, column: str, seed, replicates: int = 1, name: str = "permuted", hot: Sequence | None = None) -> DataFrame:
@@ -78,4 +79,4 @@ def permute_static(df: DataFrame, *, id: str, column: str, seed, replicates: int
     per_entity = df.groupBy(id).agg(F.max(column).alias(column))
     moved = permute_column(per_entity, key=[id], column=column, seed=seed, replicates=replicates, name=name)
     rows = with_repetitions(df, replicates, "replicate")
-    return lookup(rows, moved.select("replicate", id, name), [id, "replicate"], "left", hot=hot)
+    return lookup(rows, moved.select("replicate", id, name).hint("merge"), [id, "replicate"], "left", hot=hot)
