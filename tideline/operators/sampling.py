@@ -63,8 +63,8 @@ def permute_column(df: DataFrame, *, key: Sequence[str], column: str, seed, repl
 
     Positions come from two ordered scans (key order and keyed-hash order) and one equi
     join on (replicate, position), so no task sees the whole table.  The join is a merge by
-    hint: repeated rows compress so well that Spark would take them for a small table and send
-    all replicates through the driver.  ``key`` identifies a row and starts with a numeric column.
+    hint, since Spark may take the repeated rows for a small table and send all replicates
+    through the driver.  ``key`` identifies a row and starts with a numeric column.
     """
     key = list(key)
     reps = with_repetitions(df, replicates, "replicate")
