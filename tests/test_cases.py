@@ -236,3 +236,14 @@ def test_profile_and_names(spark):
     assert profile.profile_numeric(df, ["x"]).first()["n_missing"] == 1
     assert reshape.select_names(["mean_a", "max_b", "n_obs_a"], starts=["mean"], ends=["_b"]) == ["mean_a", "max_b"]
     assert profile.profile_text(df, ["c"]).first()["top_counts"] == "u: 2, v: 1"
+
+
+def test_interval_build_carries_each_measure_and_skips_missing_values(spark):
+    m = spark.createDataFrame(
+        [(1, "a", 0.0, 1.0), (1, "b", 0.0, None), (1, "b", 7.0, 5.0), (1, "a", 7.0, None), (1, "c", 9.0, 8.0), (3, "b", 0.0, 2.0), (3, "x", 0.0, 9.0)],
+        "id long, measure string, period double, value double",
+    )
+    for hot in ([], [1]):
+        out = intervals.interval_build(entities(spark).filter("id <> 2"), id="id", forecast=20.0, measures=m, measure_names=["b", "a", "c"], hot=hot)
+        assert out.columns == ["id", "start", "end", "treatment", "b", "a", "c", "landmark", "event"]
+        assert rows(out.select("id", "start", "end", "b", "a", "c")) == [(1, 0.0, 7.0, None, 1.0, None), (1, 7.0, 9.0, 5.0, 1.0, None), (1, 9.0, 130.0, 5.0, 1.0, 8.0), (3, 0.0, 20.0, 2.0, None, None)]

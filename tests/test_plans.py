@@ -77,3 +77,8 @@ def test_density_is_the_kernel_sum(spark):
     h = 0.9 * min(v.std(ddof=1), (q3 - q1) / 1.34) * len(v) ** -0.2
     exact = np.exp(-0.5 * ((out.x.to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
     assert np.abs(out.density - exact).max() < 1e-4 * exact.max(), np.abs(out.density - exact).max()
+
+
+def test_interval_measures_are_aggregated_once(spark, sf):
+    """Measurements meet their interval starts in one aggregation, without a pivot that first holds every cell."""
+    assert "pivotfirst" not in plan(entry.queries()["interval_build"](spark, sf))

@@ -55,7 +55,9 @@ def interval_build(entities: DataFrame, *, id: str, forecast: float | None = Non
     closing = base.filter(F.col("end") == F.col("landmark")).groupBy(id).agg(F.max("event").alias("closing_event"))
     limits = limits.join(closing, id, "left")
     usable = lookup(measures, limits.select(id, "landmark"), [id], "inner", hot=hot).filter(F.col("period") < F.col("landmark"))
-    wide = usable.groupBy(id, F.col("period").alias("start")).pivot("measure", list(measure_names)).agg(F.first("value", ignorenulls=True))
+    # one aggregation: a pivot of many values takes two, and holds every cell by itself before that
+    cell = lambda m: F.first(F.when(F.col("measure") == m, F.col("value")), ignorenulls=True).alias(m)
+    wide = usable.groupBy(id, F.col("period").alias("start")).agg(*[cell(m) for m in measure_names])
     rows = base.select(id, "start", "end", "treatment").join(wide, [id, "start"], "full")
     carried = ["treatment", *measure_names]
     scanned = ordered_scan(
