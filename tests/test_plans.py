@@ -82,3 +82,13 @@ def test_density_is_the_kernel_sum(spark):
 def test_interval_measures_are_aggregated_once(spark, sf):
     """Measurements meet their interval starts in one aggregation, without a pivot that first holds every cell."""
     assert "pivotfirst" not in plan(entry.queries()["interval_build"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["asof_at_event_times", "stitch_at_event_times", "cox_predict_event_times"])
+def test_event_times_come_from_the_rows_that_meet_them(spark, sf, name, monkeypatch):
+    """The intervals are built once: their event times are read from the written rows."""
+    from tideline.plans import cohorts
+
+    built, build = [], cohorts.survival_intervals
+    monkeypatch.setattr(cohorts, "survival_intervals", lambda *a, **k: built.append(a) or build(*a, **k))
+    assert "orders.parquet" not in plan(entry.queries()[name](spark, sf)) and len(built) == 1
