@@ -92,3 +92,14 @@ def test_event_times_come_from_the_rows_that_meet_them(spark, sf, name, monkeypa
     built, build = [], cohorts.survival_intervals
     monkeypatch.setattr(cohorts, "survival_intervals", lambda *a, **k: built.append(a) or build(*a, **k))
     assert "orders.parquet" not in plan(entry.queries()[name](spark, sf)) and len(built) == 1
+
+
+def test_model_rows_use_all_tasks_and_are_scored_once(spark, sf):
+    """Every pass of a fit over a small table uses the cores; two metrics read one written score."""
+    from tideline.plans import queries
+
+    t, _ = queries.model_table(spark, sf)
+    assert t.filter("split = 'train'").select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism // 2
+    m = models.logistic("ridge", 0.1, iterations=3).fit(t.filter("split = 'train'"))
+    text = plan(queries.test_metrics(t, m, "ridge"))
+    assert "UDF" not in text and "tideline-stage" in text

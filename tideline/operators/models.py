@@ -42,6 +42,12 @@ def fit_tasks(spark) -> int:
     return max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` written once, its rows dealt over ``fit_tasks`` by a hash of ``keys``: every pass of a fit uses all tasks."""
+    # by a hash: a shuffle by the keys themselves would be left out, or its parts be merged
+    return stage(df.repartition(fit_tasks(df.sparkSession), F.xxhash64(*keys)))
+
+
 def forest(trees: int = 500, min_leaf: int = 1, depth: int = 10, seed: int = 0) -> RandomForestClassifier:
     # nodes of many trees are split in one pass over the rows, as far as the histograms fit
     return RandomForestClassifier(numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
@@ -209,8 +215,7 @@ def impute_forest(
         counts = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).collect()  # one row per level of a categorical column
         first[c], levels[c] = counts[0][0], sorted(r[0] for r in counts)
     starts = {c: F.coalesce(F.col(c).cast("double"), F.lit(gaps[f"m_{c}"])) for c in used} | {c: F.coalesce(F.col(c), F.lit(first[c])) for c in texts}
-    # by a hash of the id: a shuffle by the id itself would be left out, or its parts be merged
-    cur = stage(indexed.withColumns(starts).repartition(fit_tasks(df.sparkSession), F.xxhash64(id)))
+    cur = dealt(indexed.withColumns(starts), [id])
     coders = {c: StringIndexerModel.from_labels(levels[c], inputCol=c, outputCol=f"__i_{c}") for c in texts}
     bins = max([32, *map(len, levels.values())])
     common = {"numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": bins}

@@ -824,7 +824,7 @@ def model_table(spark, d):
     t = features.standardize(t.withColumn("n_prior", F.col("n_prior").cast("double")), ["acctbal", "study_end", "n_prior"])
     t = sampling.split_assign(t, id="id", seed=fx.SEED, fractions=SPLIT)
     columns = models.model_columns(t, ["id", "event", "split"])
-    return sinks.stage(models.assemble(t, columns, "event")), columns
+    return models.dealt(models.assemble(t, columns, "event"), ["id"]), columns
 
 
 def fitted(spark, d, estimator):
@@ -834,7 +834,7 @@ def fitted(spark, d, estimator):
 
 def test_metrics(t, model, name):
     s = models.score(model, t.filter("split <> 'train'")).withColumn("model", F.lit(name))
-    s = metrics_cls.threshold_label(s, "score", "hard")
+    s = sinks.stage(metrics_cls.threshold_label(s, "score", "hard").drop("features"))  # read by two metrics: rows are scored once
     return metrics_cls.auroc_ap(s, ["model", "split"], "event", "score").join(metrics_cls.accuracy_f1(s, ["model", "split"], "event", "hard"), ["model", "split"])
 
 
