@@ -103,3 +103,17 @@ def test_model_rows_use_all_tasks_and_are_scored_once(spark, sf):
     m = models.logistic("ridge", 0.1, iterations=3).fit(t.filter("split = 'train'"))
     text = plan(queries.test_metrics(t, m, "ridge"))
     assert "UDF" not in text and "tideline-stage" in text
+
+
+def test_person_periods_are_dealt_before_the_fit(spark, monkeypatch):
+    """Rows that lie in one partition reach the forest in many, each with its own bin and outcome."""
+
+    class Fit:
+        def fit(self, df):
+            return df
+
+    monkeypatch.setattr(models, "forest", lambda *a, **k: Fit())
+    df = spark.range(200).coalesce(1).select((F.col("id") * 1.0).alias("x"), F.lit(0.0).alias("start"), (F.col("id") % 20 + 1.0).alias("end"), (F.col("id") % 2).cast("double").alias("event"))
+    out = models.hazard_forest(df, ["x"], [0.0, 5.0, 10.0, 20.0])
+    assert out.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism // 2
+    assert out.count() == 200 * 3 - 50 * 2 - 50 and out.agg(F.sum("label")).first()[0] == 100.0

@@ -173,6 +173,7 @@ def hazard_forest(train: DataFrame, covariates: Sequence[str], edges: Sequence[f
     estimator.
     """
     rows = person_period(train, start="start", end="end", event="event", edges=edges).withColumn("bin", F.col("bin").cast("double"))
+    rows = dealt(rows.select("start", "end", *covariates, "bin", "y"), ["start", "end", *covariates, "bin"])
     return forest(trees, min_leaf, depth, seed).fit(assemble(rows, [*covariates, "bin"], "y"))
 
 
