@@ -108,17 +108,22 @@ def stabbing_join(df: DataFrame, points: DataFrame, *, lower: str, upper: str, a
     of which becomes one row with a sorted list. A row is repeated for the buckets that it
     reaches, meets their lists in one equi-join and filters them: rows / ``per_bucket`` as many
     rows are shuffled as come out, plus one or two per row. Buckets are salted, since all
-    intervals of a landmark begin in the same one. Rows without ``lower`` and points without a time meet nothing.
+    intervals of a landmark begin in the same one. Up to ``per_bucket`` points are one list that comes with every row. Rows without ``lower`` and points without a time meet nothing.
     """
     points = stage(points.filter(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("double")))
     n = points.count()
     if n == 0:
         return df.filter(F.lit(False)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema])
-    cuts = cut_points(points, at, max(4, -(-n // per_bucket)))
     names = points.columns
+    inside = F.filter("__points", lambda q: (q[at] >= F.col(lower)) & (F.col(upper).isNull() | (q[at] < F.col(upper))))
+    as_list = F.array_sort(F.collect_list(F.struct(at, *[c for c in names if c != at]))).alias("__points")
+    if n <= per_bucket:  # one list, which every row can hold: nothing to shuffle
+        met = df.withColumn("__points", points.agg(as_list).scalar())
+        return met.select(*df.columns, F.inline(inside)).select(*df.columns, *names)
+    cuts = cut_points(points, at, max(4, -(-n // per_bucket)))
     # a time shared by very many points fills a bucket; it is dealt into lists of bounded length
     numbered = ordered_scan(points.withColumn("__cuts", cuts).withColumn("__b", bucket_of(F.col(at), F.col("__cuts"))).drop("__cuts"), ["__b"], [at], number="__i", hot="all")
-    lists = numbered.groupBy("__b", F.floor((F.col("__i") - 1) / (4 * per_bucket)).alias("__part")).agg(F.array_sort(F.collect_list(F.struct(at, *[c for c in names if c != at]))).alias("__points")).drop("__part")
+    lists = numbered.groupBy("__b", F.floor((F.col("__i") - 1) / (4 * per_bucket)).alias("__part")).agg(as_list).drop("__part")
     last = points.agg(F.max(at)).scalar()
     reach = df.filter(F.col(lower).isNotNull()).withColumn("__cuts", cuts).withColumn("__last", last)
     reach = reach.filter((F.col(lower) <= F.col("__last")) & (F.col(upper).isNull() | (F.col(upper) > F.col(lower))))
@@ -127,7 +132,6 @@ def stabbing_join(df: DataFrame, points: DataFrame, *, lower: str, upper: str, a
     # few lists are needed in many places, many lists spread the rows by themselves
     salts = max(8, min(shuffle_partitions(df.sparkSession), 4096 * per_bucket // n))
     met = lookup(pieces, lists, ["__b"], "inner", hot="all", salts=salts)
-    inside = F.filter("__points", lambda q: (q[at] >= F.col(lower)) & (F.col(upper).isNull() | (q[at] < F.col(upper))))
     return met.select(*df.columns, F.inline(inside)).select(*df.columns, *names)
 
 

@@ -20,7 +20,7 @@ from .dependence import forest_dependence
 from .intervals import in_force, person_period, stabbing_join, stitch_predictions
 from .metrics_surv import c_index
 from .ordered import lookup, ordered_scan, shuffle_partitions
-from .sampling import permute_column, with_repetitions
+from .sampling import permuted_lists, with_repetitions
 
 PENALTIES = {"none": (0.0, 0.0), "lasso": (1.0, 1.0), "ridge": (1.0, 0.0), "elastic": (1.0, 0.5)}
 
@@ -115,7 +115,7 @@ def partial_dependence(model: Model, df: DataFrame, columns: Sequence[str], feat
     return scored.groupBy(F.lit(feature).alias("feature"), F.col("__i").alias("point"), F.col("__g").alias("grid_value")).agg(F.avg("score").alias("average"))
 
 
-def permuted_rows(df: DataFrame, variables: Sequence[str], *, key: Sequence[str], id: str, seed, static: Sequence[str] = (), replicates: int = 20) -> DataFrame:
+def permuted_rows(df: DataFrame, variables: Sequence[str], *, key: Sequence[str], id: str, seed, static: Sequence[str] = (), replicates: int = 20, hot: Sequence | None = None) -> DataFrame:
     """``df`` once as it is (``variable`` NULL, ``replicate`` 0) and once for each variable and replicate with that one permuted.
 
     A replicate draws one permutation of the rows and one of the entities; ``static`` variables
@@ -123,17 +123,19 @@ def permuted_rows(df: DataFrame, variables: Sequence[str], *, key: Sequence[str]
     """
     variables, static = list(variables), [v for v in variables if v in set(static)]
     moving = [v for v in variables if v not in set(static)]
-    rows = with_repetitions(df, replicates, "replicate")
+    rows = df
     if moving:
-        rows = permute_column(df.withColumn("__m", F.struct(*moving)), key=key, column="__m", seed=seed, replicates=replicates, name="__moving").drop("__m")
+        rows = permuted_lists(rows.withColumn("__m", F.struct(*moving)), key=key, column="__m", seed=seed, replicates=replicates, name="__moving").drop("__m")
     if static:
         per_entity = df.groupBy(id).agg(F.max(F.struct(*static)).alias("__s"))
-        moved = permute_column(per_entity, key=[id], column="__s", seed=seed, replicates=replicates, name="__static").select("replicate", id, "__static")
-        rows = lookup(rows, moved.hint("merge"), [id, "replicate"], "left")
+        moved = permuted_lists(per_entity, key=[id], column="__s", seed=seed, replicates=replicates, name="__static").select(id, "__static")
+        rows = lookup(rows, moved.hint("merge"), [id], "left", hot=hot)
+    # the values of all replicates came as lists: from here on a row is repeated where it lies
+    rows = with_repetitions(rows, replicates, "replicate")
     others = [c for c in df.columns if c not in set(variables)]
     versions = []
     for v in variables:
-        new = F.col(f"__static.{v}" if v in static else f"__moving.{v}")
+        new = F.get("__static" if v in static else "__moving", F.col("replicate") - 1)[v]
         versions.append(F.struct(F.lit(v).alias("variable"), *[(new if c == v else F.col(c)).alias(c) for c in variables]))
     changed = rows.select("replicate", *others, F.inline(F.array(*versions)))
     return changed.unionByName(df.select("*", F.lit(None).cast("string").alias("variable"), F.lit(0).alias("replicate")))
@@ -152,9 +154,9 @@ def permutation_by_time(
     Times without a usable pair are left out.
     """
     rows = stage(in_force(df, id=id, start=start, end=end, hot=hot))
-    drawn = permuted_rows(rows, variables, key=key, id=id, seed=seed, static=static, replicates=replicates)
+    drawn = permuted_rows(rows, variables, key=key, id=id, seed=seed, static=static, replicates=replicates, hot=hot)
     scored = predict(stabbing_join(drawn, points, lower=start, upper="until_t", at="eval_t")).withColumn("__risk", -F.col("surv"))
-    c = c_index(scored, ["variable", "replicate", "eval_t"], time="follow_up", event=event, risk="__risk", tau="eval_t", weights=weights).filter(F.col("c_index").isNotNull())
+    c = c_index(scored, ["variable", "replicate", "eval_t"], time="follow_up", event=event, risk="__risk", tau="eval_t", weights=weights, largest=rows.count()).filter(F.col("c_index").isNotNull())
     c = stage(c)
     base = c.filter("variable IS NULL").select("eval_t", F.col("c_index").alias("original"))
     return c.filter("variable IS NOT NULL").groupBy("variable", "eval_t").agg(F.avg("c_index").alias("permuted")).join(base, "eval_t").select("variable", "eval_t", "original", "permuted")

@@ -58,20 +58,29 @@ def subsample(df: DataFrame, *, key: Sequence[str], seed, fraction: float) -> Da
     return df.filter(keyed_uniform(seed, "subsample", *[F.col(k) for k in key]) < F.lit(float(fraction)))
 
 
-def permute_column(df: DataFrame, *, key: Sequence[str], column: str, seed, replicates: int = 1, name: str = "permuted") -> DataFrame:
-    """Reassign ``column`` by a random permutation of the rows, per replicate.
+def permuted_lists(df: DataFrame, *, key: Sequence[str], column: str, seed, replicates: int = 1, name: str = "permuted") -> DataFrame:
+    """``df`` with ``name``, the list of the values of ``column`` that the replicates' random permutations of the rows put in a row's place.
 
-    Positions come from two ordered scans (key order and keyed-hash order) and one equi
-    join on (replicate, position), so no task sees the whole table.  The join is a merge by
-    hint, since Spark may take the repeated rows for a small table and send all replicates
+    Positions come from ordered scans (key order, and keyed-hash order by replicate) and one equi
+    join on the position, so no task sees the whole table. Rows are numbered and joined once,
+    whatever the number of replicates: only drawn values are sorted for each. The join is a merge by
+    hint, since Spark may take the lists for a small table and send all replicates
     through the driver.  ``key`` identifies a row and starts with a numeric column.
     """
     key = list(key)
-    reps = with_repetitions(df, replicates, "replicate")
-    hashed = reps.withColumn("__u", keyed_uniform(seed, "permute", F.col("replicate"), *[F.col(k) for k in key]))
-    source = ordered_scan(hashed.select("replicate", "__u", *key, F.col(column).alias(name)), ["replicate"], ["__u", *key], number="__pos", hot="all")
-    target = ordered_scan(reps, ["replicate"], key, number="__pos", hot="all")
-    return target.join(source.select("replicate", "__pos", name).hint("merge"), ["replicate", "__pos"]).drop("__pos")
+    drawn = with_repetitions(df.select(*key, F.col(column).alias("__v")), replicates, "__replicate")
+    hashed = drawn.withColumn("__u", keyed_uniform(seed, "permute", F.col("__replicate"), *[F.col(k) for k in key]))
+    source = ordered_scan(hashed, ["__replicate"], ["__u", *key], number="__pos", hot="all")
+    lists = source.select("__pos", "__replicate", "__v").repartition("__pos").groupBy("__pos").agg(F.collect_list(F.struct("__replicate", "__v")).alias("__l"))
+    in_turn = F.transform(F.array_sort("__l", lambda a, b: a["__replicate"] - b["__replicate"]), lambda x: x["__v"])
+    target = ordered_scan(df, [], key, number="__pos", hot="all")
+    return target.join(lists.select("__pos", in_turn.alias(name)).hint("merge"), "__pos").select(*df.columns, name)
+
+
+def permute_column(df: DataFrame, *, key: Sequence[str], column: str, seed, replicates: int = 1, name: str = "permuted") -> DataFrame:
+    """Reassign ``column`` by a random permutation of the rows, per replicate; see ``permuted_lists``."""
+    lists = permuted_lists(df, key=key, column=column, seed=seed, replicates=replicates, name="__lists")
+    return lists.select(*df.columns, F.posexplode("__lists").alias("__i", name)).select((F.col("__i") + 1).alias("replicate"), *df.columns, name)
 
 
 def permute_static(df: DataFrame, *, id: str, column: str, seed, replicates: int = 1, name: str = "permuted", hot: Sequence | None = None) -> DataFrame:
