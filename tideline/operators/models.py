@@ -7,15 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_uniform
 from ..sources.sinks import stage
+from . import forests
 from .dependence import forest_dependence
 from .intervals import in_force, person_period, stabbing_join, stitch_predictions
 from .metrics_surv import c_index
@@ -42,10 +42,10 @@ def fit_tasks(spark) -> int:
     return max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
 
 
-def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` written once, its rows dealt over ``fit_tasks`` by a hash of ``keys``: every pass of a fit uses all tasks."""
+def dealt(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """``df`` written once, its rows dealt over ``tasks`` (``fit_tasks``) by a hash of ``keys``: every pass of a fit uses all tasks."""
     # by a hash: a shuffle by the keys themselves would be left out, or its parts be merged
-    return stage(df.repartition(fit_tasks(df.sparkSession), F.xxhash64(*keys)))
+    return stage(df.repartition(tasks or fit_tasks(df.sparkSession), F.xxhash64(*keys)))
 
 
 def forest(trees: int = 500, min_leaf: int = 1, depth: int = 10, seed: int = 0) -> RandomForestClassifier:
@@ -203,55 +203,56 @@ def impute_forest(
     text cells that changed. When each kind that has gaps changed more than in the sweep before,
     that sweep's table is returned. Texts are few-valued: their levels are categories of the trees. The table
     is dealt over all tasks and written after every column, so that a fit reads files and not the forests
-    before it, and a lost executor repeats no training. A column without any value stays as it is and is no input.
+    before it, and a lost executor repeats no training. Only rows with a gap are predicted. A column without any value stays as it is and is no input.
     """
     numeric, complete, categorical = list(numeric), list(complete), list(categorical)
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in numeric + categorical], *[F.avg(c).alias(f"m_{c}") for c in numeric], F.count("*").alias("rows")).first()
-    if not gaps["rows"]:
-        return df.select(id, *complete, *numeric, *categorical)
-    empty = [c for c in numeric + categorical if gaps[f"n_{c}"] == gaps["rows"]]
+    kept = [*complete, *numeric, *categorical]
+    base = dealt(df.select(id, *kept, *[F.col(c).isNull().alias(f"__na_{c}") for c in numeric + categorical]), [id])
+    bad = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"b_{c}") for c in complete] + [F.count_if(F.isnan(F.col(c).cast("double"))).alias(f"b_{c}") for c in numeric]
+    gaps = base.agg(*[F.count_if(f"__na_{c}").alias(f"n_{c}") for c in numeric + categorical], *[F.avg(c).alias(f"m_{c}") for c in numeric], *bad, F.count("*").alias("rows")).first()
+    rows = gaps["rows"]
+    empty = [c for c in numeric + categorical if gaps[f"n_{c}"] == rows]
     used, texts = [c for c in numeric if c not in empty], [c for c in categorical if c not in empty]
     todo = sorted((c for c in used + texts if gaps[f"n_{c}"] > 0), key=lambda c: gaps[f"n_{c}"])
-    indexed = df.select(id, *complete, *numeric, *categorical).withColumns({f"__na_{c}": F.col(c).isNull() for c in todo})
+    inputs = [*complete, *used, *texts]
+    if not todo or len(inputs) == 1:
+        starts = {c: F.coalesce(F.col(c).cast("double"), F.lit(gaps[f"m_{c}"])) for c in used}
+        return base.withColumns(starts).select(id, *kept)
+    if invalid := [c for c in complete + used if gaps[f"b_{c}"]]:
+        raise ValueError(f"inputs with gaps or NaN: {invalid}")
     levels, first = {}, {}
     for c in texts:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).collect()  # one row per level of a categorical column
+        counts = base.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).collect()  # one row per level of a categorical column
         first[c], levels[c] = counts[0][0], sorted(r[0] for r in counts)
-    starts = {c: F.coalesce(F.col(c).cast("double"), F.lit(gaps[f"m_{c}"])) for c in used} | {c: F.coalesce(F.col(c), F.lit(first[c])) for c in texts}
-    cur = dealt(indexed.withColumns(starts), [id])
-    coders = {c: StringIndexerModel.from_labels(levels[c], inputCol=c, outputCol=f"__i_{c}") for c in texts}
-    bins = max([32, *map(len, levels.values())])
-    common = {"numTrees": trees, "maxDepth": depth, "seed": seed, "maxBins": bins}
-    name = lambda c: f"__i_{c}" if c in coders else c
-
-    def coded(t: DataFrame) -> DataFrame:
-        for c in texts:
-            t = coders[c].transform(t)
-        return t
-
+    number = lambda c: F.array_position(F.array(*[F.lit(v) for v in levels[c]]), F.coalesce(F.col(c), F.lit(first[c]))) - 1
+    starts = {c: F.coalesce(F.col(c).cast("double"), F.lit(gaps[f"m_{c}"])) for c in used} | {c: number(c).cast("double") for c in texts}
+    cur = base.withColumns(starts)
+    codings = forests.numeric_cuts(cur, complete + used) | {c: len(levels[c]) for c in texts}
+    # a row's draws depend on what was given, not on what is filled
+    key = F.xxhash64(id, *complete, *[F.when(~F.col(f"__na_{c}"), F.col(c)) for c in used + texts])
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(fit_tasks(df.sparkSession), rows // 20_000))  # small tables need no more
     last = {"numeric": float("inf"), "text": float("inf")}
-    for _ in range(sweeps if todo else 0):
-        new = cur
+    for _ in range(sweeps):
+        before, sums = cur, {"numeric": [0.0, 0.0], "text": [0.0, 0.0]}
         for c in todo:
-            inputs = [*complete, *[name(x) for x in used + texts if x != c]]
-            rows = coded(new)
-            maker = RandomForestClassifier(labelCol=name(c), **common) if c in coders else RandomForestRegressor(labelCol=c, **common)
-            fit = maker.fit(assemble(rows.filter(~F.col(f"__na_{c}")), inputs))
-            told = F.element_at(F.array(*[F.lit(v) for v in levels[c]]), F.col("prediction").cast("int") + 1) if c in coders else F.col("prediction")
-            filled = fit.transform(assemble(rows, inputs)).withColumn(c, F.when(F.col(f"__na_{c}"), told).otherwise(F.col(c)))
-            new = stage(filled.select(*new.columns))
-        pairs = new.select(id, *[F.col(c).alias(f"__x_{c}") for c in todo]).join(cur, id)
-        total = lambda of, e: F.sum(sum((F.when(F.col(f"__na_{c}"), e(c)).otherwise(0.0) for c in todo if (c in coders) == of), F.lit(0.0)))
-        r = pairs.agg(
-            total(False, lambda c: F.pow(F.col(f"__x_{c}") - F.col(c), F.lit(2.0))).alias("a"), total(False, lambda c: F.pow(F.col(f"__x_{c}"), F.lit(2.0))).alias("b"),
-            total(True, lambda c: (F.col(f"__x_{c}") != F.col(c)).cast("double")).alias("t"), total(True, lambda c: F.lit(1.0)).alias("k"),
-        ).first()
-        change = {}
-        if any(c not in coders for c in todo):
-            change["numeric"] = (r["a"] or 0.0) / (r["b"] or 1.0)
-        if any(c in coders for c in todo):
-            change["text"] = (r["t"] or 0.0) / (r["k"] or 1.0)
+            gap, others = F.col(f"__na_{c}"), [x for x in inputs if x != c]
+            fit = forests.fit_forest(
+                cur.filter(~gap), c, others, [codings[x] for x in others], key=key, rows=rows - gaps[f"n_{c}"], classes=len(levels.get(c, ())), centre=0.0 if c in levels else gaps[f"m_{c}"],
+                trees=trees, depth=depth, seed=seed,
+            )
+            filled = cur.filter(gap).withColumns({"__was": F.col(c), c: forests.predicted(fit)}).unionByName(cur.filter(~gap).withColumn("__was", F.col(c)))
+            new = dealt(filled, [id], tasks)
+            x, was = F.col(c), F.col("__was")
+            change, size = (F.sum(F.when(gap, v).otherwise(0.0)) for v in (((x != was).cast("double"), F.lit(1.0)) if c in levels else (F.pow(x - was, F.lit(2.0)), F.pow(x, F.lit(2.0)))))
+            r, kind = new.agg(change.alias("a"), size.alias("b")).first(), "text" if c in levels else "numeric"
+            sums[kind] = [sums[kind][0] + r["a"], sums[kind][1] + r["b"]]
+            cur = new.drop("__was")
+            if c in used:
+                codings |= forests.numeric_cuts(cur, [c])
+        change = {k: a / (b or 1.0) for k, (a, b) in sums.items() if any((c in levels) == (k == "text") for c in todo)}
         if all(v >= last[k] for k, v in change.items()):
+            cur = before
             break
-        cur, last = new, last | change
-    return cur.select(id, *complete, *numeric, *categorical)
+        last |= change
+    told = {c: F.element_at(F.array(*[F.lit(v) for v in levels[c]]), F.col(c).cast("int") + 1) for c in texts}
+    return cur.withColumns(told).select(id, *kept)
